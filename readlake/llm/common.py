@@ -45,13 +45,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def live_scratch() -> list[str]:

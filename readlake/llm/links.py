@@ -24,7 +24,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         small = large.join(low, "a").select("b", "m").union(low.select("a", "m")).toDF("a", "b").where(F.col("a") != F.col("b")).distinct()
         old, e = e, C.materialize(small, name)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        C.drop_scratch(e.sparkSession, old.inputFiles()[:0])
+        C.drop_scratch(e.sparkSession, [old.scratch])
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now

@@ -274,7 +274,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def hex_of(fp: str):
-    return F.lower(F.hex(F.reverse(F.col(fp)))) if False else F.lower(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), lambda i: F.hex(F.substring(F.col(fp), i, F.lit(1)))), ""))
+    """A 64-bit fingerprint as a number in hex."""
+    return F.lower(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), lambda i: F.hex(F.substring(F.col(fp), i, F.lit(1)))), ""))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
