@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_token_files, op3_url_rules, op4_mix, op6_ann, op7_reshard, op8_pack, op9_simhash, op10_repeats
+from . import op1_quality, op2_token_files, op3_url_rules, op4_mix, op5_brown, op6_ann, op7_reshard, op8_pack, op9_simhash, op10_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files.query,
         "op3_url_rules": op3_url_rules.query,
         "op4_mix": op4_mix.query,
+        "op5_brown_lm": op5_brown.query,
         "op6_ann_tree": op6_ann.query,
         "op7_reshard": op7_reshard.query,
         "op8_pack": op8_pack.query,
