@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readlake.llm import common as C
-from readlake.llm import op1_quality, op4_mix, op8_pack
+from readlake.llm import op1_quality, op4_mix, op8_pack, op9_simhash, op10_repeats
 
 #: SQL can't express the near-duplicate, suffix and tokenizer stages.
 ORACLE_SQL = None
@@ -33,6 +33,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op1_quality.keep(docs, C.table(spark, sf_dir, "labels"))
 
 
+@_stage
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8."""
+    return op9_simhash.keep(docs)
+
+
+@_stage
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages of 400 bytes and more that are there elsewhere too."""
+    return op10_repeats.cut(docs)
+
+
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
@@ -47,7 +59,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return op8_pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
