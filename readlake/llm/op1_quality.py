@@ -114,8 +114,11 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     slim = docs.select(id_col, text_col, stratum)
     feats = C.materialize(features(slim, text_col).drop(text_col), "quality")
     cuts = cutoffs(feats, labels, id_col, stratum)
-    whole = docs.select(F.struct("*").alias("_row"), F.col(text_col), F.col(stratum))
-    return verdict(features(whole, text_col), cuts, stratum).where("kept").select("_row.*")
+    whole = features(docs.select(F.struct("*").alias("_row"), F.col(text_col), F.col(stratum)), text_col)
+    names = [stratum, "base_failed", *(f"_{f}" for f in FEATURES)]
+    # Through an explode no predicate is pushed: the filter would take copies of all features' expressions with it.
+    held = whole.select("_row", F.explode(F.array(F.struct(*names))).alias("_f")).select("_row", *[F.col("_f")[n].alias(n) for n in names])
+    return verdict(held, cuts, stratum).where("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
