@@ -36,8 +36,11 @@ from .links import components
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCK = 8192
 BANDS, ROWS = 26, 3
-#: Five words and a similarity of 0.8: of 256 bits as many may differ as at that similarity on average, and two deviations more.
-WIDE_BITS, WIDE_RADIUS, WIDE_SHINGLE = 256, 50, 5
+#: Members of a component whose sets are compared in one task.
+VERIFY = 1024
+#: Five words and a similarity of 0.8: of 256 bits as many may differ as at that similarity on average, and four deviations more;
+#: the links are then held against the sets themselves.
+WIDE_BITS, WIDE_RADIUS, WIDE_SHINGLE, WIDE_SHARE = 256, 62, 5, 0.8
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -202,14 +205,19 @@ def group_links(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
     return np.stack([at, parent[at]], 1)
 
 
+def in_blocks(keyed: DataFrame, most: int) -> DataFrame:
+    """``keyed`` (key, fp, ...) with ``lo, hi``: a key of more than ``most`` rows in blocks, each row once for each block it is to meet."""
+    hot = keyed.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("cuts"))
+    cut = keyed.join(hot, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
+    met = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return met.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("cuts", "mine", "other")
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """``distinct`` (fp, keys) -> links (a, b) of fingerprints within the radius, fewer than rows for each group of a key."""
     spark = distinct.sparkSession
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
-    cut = keyed.join(hot, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
-    task = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
+    task = in_blocks(distinct.select("fp", F.explode("keys").alias("key")), BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -245,11 +253,80 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return task.repartition(C.parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a binary, b binary")
+    return task.select("key", "lo", "hi", "fp").repartition(C.parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a binary, b binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, share: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least ``share``."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small):
+        return not len(large)
+    if len(small) < share * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both >= share * (len(a) + len(b) - both)
+
+
+def group_verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
+    """Links that join trees of rows that are within the radius and have the similarity; nearest fingerprints are tried first."""
+    parent, out = list(range(len(sets))), []
 
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, keys: str = "blocks") -> DataFrame:
-    """``doc_id, fp, component_id``: a row for each document."""
+    for i in range(1, len(sets)):
+        far = np.bitwise_count(fps[:i] ^ fps[i]).sum(1)
+        near = np.flatnonzero(far <= radius)
+        for j in near[np.argsort(far[near], kind="stable")].tolist():
+            if root(i) != root(j) and alike(sets[i], sets[j], share):
+                parent[root(i)] = root(j)
+                out.append((i, j))
+    return out
+
+
+def verified(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, shingle: int, radius: int, share: float) -> DataFrame:
+    """Links (a, b) within components (``members``: fp, least, root) that hold by the sets of shingles themselves.
+
+    One text stands for each fingerprint. A component of more than ``VERIFY`` members is compared by pairs of blocks.
+    """
+    spark = docs.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["key", "fp", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fps, data = None, [], []
+
+        def found() -> pa.RecordBatch:
+            words = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+            got = group_verified(words, data, radius, share)
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in got], pa.binary()), pa.array([fps[j] for _, j in got], pa.binary())], names=["a", "b"])
+
+        for b in batches:
+            for key, lo, hi, fp, d in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key, lo, hi) != at:
+                    if fps:
+                        yield found()
+                    at, fps, data = (key, lo, hi), [], []
+                fps.append(fp)
+                data.append(np.frombuffer(d, np.uint64))
+        if fps:
+            yield found()
+
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    one = texts.join(members, texts["_id"] == members["least"]).select(F.col("root").alias("key"), "fp", "text")
+    by = ["key", "lo", "hi"]
+    task = in_blocks(C.materialize(one.mapInArrow(sets, "key binary, fp binary, data binary"), "shingle-sets"), VERIFY)
+    return task.select(*by, "fp", "data").repartition(C.parts(spark), *by).sortWithinPartitions(*by, "fp").mapInArrow(run, "a binary, b binary")
+
+
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, keys: str = "blocks", share: float | None = None) -> DataFrame:
+    """``doc_id, fp, component_id``: a row for each document. With ``share``, a link also takes that Jaccard similarity of shingles."""
     rows = C.materialize(fingerprints(docs, id_col, text_col, shingle, bits, keys), "fingerprints")
     by = ["fp"] + ["keys"] * (keys == "minhash")
     distinct = rows.groupBy(*by).agg(F.min("doc_id").alias("least"))
@@ -269,6 +346,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     tree = components(links(distinct, radius), "fingerprint-links")
     joined = distinct.groupBy("fp").agg(F.min("least").alias("least")).join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = C.materialize(joined, "fingerprint-roots")
+    if share is not None:
+        members = joined.join(tree.select("root").distinct(), "root")
+        tree = components(verified(docs, id_col, text_col, members, shingle, radius, share), "verified-links")
+        joined = C.materialize(joined.drop("root").join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "verified-roots")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "fp").join(joined.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -279,10 +360,11 @@ def hex_of(fp: str):
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: that of the least id (of repeated ids, one)."""
-    c = cluster(docs, id_col, text_col, WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS, "minhash")
+    """One document of each group of near-duplicates: that of the least id; of rows that agree in id and text, one. Rows without id stay."""
+    c = cluster(docs, id_col, text_col, WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS, "minhash", WIDE_SHARE)
     heads = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").dropDuplicates([id_col])
+    one = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").withColumn("_x", F.xxhash64(text_col)).dropDuplicates([id_col, "_x"]).drop("_x")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
