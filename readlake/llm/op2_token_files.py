@@ -45,7 +45,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> b
 
     from .tokens import encoder
 
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where(F.length("t") > 0).orderBy("h", "t").limit(SAMPLE).select("t").collect()
+    h = F.xxhash64(F.col(id_col))
+    least = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    if least is None:
+        return b""
+    rows = docs.where(h <= least).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), h.alias("h")).where(F.length("t") > 0).orderBy("h", "t").limit(SAMPLE).select("t").collect()
     enc = encoder(tokenizer_path)
     samples = [enc.encode(r["t"]) + END for r in rows]
     if len(samples) < 20:
@@ -69,7 +73,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         from .tokens import encoder
 
         enc, part, seg = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdCompressor(level=LEVEL)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        if words:
+            shared = zstandard.ZstdCompressionDict(words)
+            shared.precompute_compress(level=LEVEL)  # else every document would digest it again
+            pack = zstandard.ZstdCompressor(dict_data=shared)
         ids, counts, offsets, frames, raw = [], [], [0], [], 0
         kind = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())), ("payload", pa.binary()), ("dict_hash", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -113,7 +121,8 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     totals = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each range partition
     base = totals.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = seg.select("part", "seg", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inner"))
-    starts = inner.join(base, "part").select("part", "seg", (F.col("base") + F.col("inner")).alias("first"))
+    # Written, so that Spark sees how small it is beside the frames, and doesn't deal those out if it needn't.
+    starts = C.materialize(inner.join(base, "part").select("part", "seg", (F.col("base") + F.col("inner")).alias("first")), "segment-starts")
     out = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

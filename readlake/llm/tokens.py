@@ -20,7 +20,7 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters up to here have plain case and composition, but for those that are named.
 LAST = 0x24F
-ODD = re.compile(f"[^\x00-{chr(LAST)}]|İ|ẞ")
+ODD = re.compile(f"[^\x00-\x1b\x20-{chr(LAST)}]|İ")
 #: Pieces that are remembered by a worker at most; a matter of speed alone.
 MEMORY = 400_000
 
@@ -41,7 +41,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.seen: dict[str, bytes] = {}
         self.encode = {"byte": self._byte, "word": self._word}.get(self._kind(spec), self._library)
 
     def _kind(self, spec: dict) -> str:
@@ -70,9 +69,9 @@ class Encoder:
         steps = [n["type"] for n in (norm or {}).get("normalizers", [])]
         if end and split == [WORD_SPLIT, None] and steps == ["NFC", "Replace", "Lowercase"] and all(ranks.get(bytes([b, 255]), 1 << 30) < min(made) for b in range(255) if bytes([b]) in ranks):
             kind = {k: "".join(re.escape(chr(c)) for c in range(LAST + 1) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-            self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kind['L']}]+|[{kind['N']}]|[^\\s{kind['L']}{kind['N']}\x1c-\x1f]+|[\x1c-\x1f]+").findall
+            self.split = re.compile(f"[{kind['L']}]+|'(?:s|t|re|ve|m|ll|d)|[{kind['N']}]|[^\\s{kind['L']}{kind['N']}]+").findall
             ranks.setdefault(b"\xff", max(vocab.values()) + 1)
-            self.engine = tiktoken.Encoding("word", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+            self.seen = Pieces(tiktoken.Encoding("word", pat_str=".", mergeable_ranks=ranks, special_tokens={}))
             return "word"
         return "other"
 
@@ -85,19 +84,22 @@ class Encoder:
     def _word(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not text.isascii() and (ODD.search(text) or not unicodedata.is_normalized("NFC", text)) or "\x1c" <= min(text) <= "\x1f" or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return self._library(text)
-        seen, pieces = self.seen, self.split(text.lower())
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            if len(seen) > MEMORY:
-                seen.clear()
-            one = self.engine._core_bpe.encode_single_piece
-            for p in set(pieces):
-                if p not in seen:
-                    seen[p] = array("I", one(p.encode() + b"\xff")).tobytes()
-            return b"".join([seen[p] for p in pieces])
+        if len(self.seen) > MEMORY:
+            self.seen.clear()
+        return b"".join(map(self.seen.__getitem__, self.split(text.lower())))
+
+
+class Pieces(dict):
+    """Ids of word pieces, found when first asked for."""
+
+    def __init__(self, engine):
+        self.one = engine._core_bpe.encode_single_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = out = array("I", self.one(piece.encode() + b"\xff")).tobytes()
+        return out
 
 
 _HELD: dict[str, Encoder] = {}
