@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,12 @@ def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
             _LIVE.remove(p)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done: it does so when its driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     cut = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS)), GAP)

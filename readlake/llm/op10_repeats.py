@@ -6,8 +6,10 @@ windows of one mark are a run, and a run's bytes its context. Runs meet by mark:
 
 * a mark with one context that is there once (and doesn't repeat itself) has no repeated window;
 * a mark with one context that is there more than once is repeated as a whole;
-* the contexts of any other mark go, once each, to the shard of their mark, whose suffix array is built by external induced
-  sorting (``suffix``); windows that share ``length`` bytes with a neighbour in suffix order are repeated, and so are those of contexts
+* the contexts of any other mark go, once each, to the shard of their mark. There blocks of windows that are the same byte for byte are
+  repeated, and go on once. Windows whose first, middle and last ``gram`` bytes no
+  other window of the shard has are left out; of the rest the suffix array is built by external induced
+  sorting (``suffix``), and windows that share ``length`` bytes with a neighbour in suffix order are repeated, and so are those of contexts
   that are there more than once.
 
 Contexts of distinct symbols between them keep matches from running on. Repeated windows go back to all runs with their context, and
@@ -23,7 +25,6 @@ repeated rows count as other places; an empty table gives no rows. Extra columns
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM = 400, 32
-#: Windows of a run at most; bytes of a shard, about; contexts of a mark above which it is split, and marks a window has at most.
-RUN, SHARD, HOT, MARKS = 1024, 4 << 20, 20000, 3
+#: Windows of a run at most; bytes of a shard, about; contexts of a mark above which it is split, and marks a window has at most;
+#: windows of a block.
+RUN, SHARD, HOT, MARKS, GRID = 1024, 4 << 20, 20000, 3, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -183,12 +185,12 @@ def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gra
                 if held and row[:4] == held[-1][:4]:
                     continue  # one context that two copies of its text brought
                 if size >= SHARD and row[:2] != held[-1][:2]:
-                    yield shard(held, length, folder)
+                    yield shard(held, length, folder, gram)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[6])
         if held:
-            yield shard(held, length, folder)
+            yield shard(held, length, folder, gram)
 
     by = ["mark", "part"]
     return got.repartition(C.parts(spark), *by).sortWithinPartitions(*by, "ctx", "skip").mapInArrow(sort, "mark bigint, ctx bigint, a int, b int")
@@ -209,27 +211,93 @@ def pieces(data: bytes, windows: int, kinds: int, length: int, gram: int) -> Ite
         yield int(key[a : a + 1].view(np.int64)[0]), a, b - a
 
 
-def shard(rows: list[tuple], length: int, folder: str | None) -> pa.RecordBatch:
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (size[0] of them), at[1], ..."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def anchored(data: np.ndarray, place: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Of the windows at ``place`` those that begin, go through their middle and end as another one does: only these can be repeated."""
+    h = gram_hashes(data, gram)
+    key = h[place]
+    for k, at in enumerate(((length - gram) // 2, length - gram), 1):
+        key = remixed(key, k) ^ h[place + at]
+    o = np.argsort(key, kind="stable")
+    same = key[o][1:] == key[o][:-1]
+    out = np.zeros(len(place), bool)
+    out[o[1:]] = same
+    out[o[:-1]] |= same
+    return out
+
+
+def same_blocks(data: np.ndarray, at: np.ndarray, size: np.ndarray, windows: np.ndarray, marks: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window (in the order of contexts): whether its block is there again, and whether it is not the first of its kind.
+
+    A block is up to ``GRID`` windows in a row, cut where their distance to the context's mark is a multiple of that, so copies of a
+    passage have the same blocks but around what differs. Blocks of one hash are held against the first of them, word by word.
+    """
+    h = gram_hashes(data, gram)
+    hits = np.flatnonzero(h == np.repeat(marks, size + 1)[: len(h)])
+    k = np.minimum(np.searchsorted(hits, at), len(hits) - 1)
+    pin = np.where((hits[k] >= at) & (hits[k] < at + size), hits[k], at) if len(hits) else at
+    place = spread(at, windows)
+    ctx = np.repeat(np.arange(len(at)), windows)
+    cell = (pin[ctx] - place) // GRID
+    first = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (cell[1:] != cell[:-1]))))
+    many = np.diff(np.append(first, len(place)))
+    lo, long = place[first], many + length - 1
+    back = powers(pow(BASE, -1, 1 << 64), len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back, out=total[1:])
+    key = remixed((total[lo + long] - total[lo]) * powers(BASE, len(data))[lo], 1) ^ remixed(long.astype(np.uint64), 2)
+    o = np.argsort(key, kind="stable")
+    head = np.concatenate(([True], key[o][1:] != key[o][:-1]))
+    lead = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
+    pair, with_ = o[~head], lead[~head]
+    ok = long[pair] == long[with_]
+    pair, with_ = pair[ok], with_[ok]
+    word = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    for k in range(0, length + GRID, 8):
+        step = np.minimum(k, long[pair] - 8)
+        ok = word[lo[pair] + step] == word[lo[with_] + step]
+        pair, with_ = pair[ok], with_[ok]
+    again, late = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    again[pair] = again[with_] = late[pair] = True
+    return np.repeat(again, many), np.repeat(late, many)
+
+
+def shard(rows: list[tuple], length: int, folder: str | None, gram: int) -> pa.RecordBatch:
     """The repeated windows of a shard's contexts."""
-    from .suffix import suffix_array
+    from .suffix import repeated, suffix_array
 
-    many = len(rows)
     size = np.array([len(r[6]) for r in rows])
-    at = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    at = np.cumsum(size + 1) - (size + 1)
     data = np.frombuffer(b"\0".join(r[6] for r in rows) + b"\0", np.uint8)
-    text = data.astype(np.int64) + many
-    text[at + size] = np.arange(many - 1, -1, -1)  # after each context a symbol of its own, least at the end
-    starts = np.zeros(len(data), bool)
     windows = np.array([r[4] for r in rows])
-    place = np.repeat(at, windows) + np.arange(windows.sum()) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
-    starts[place] = True
-    with spill(folder) as own:
-        order = suffix_array(text, own)
-    from .suffix import repeated
-
-    hit = repeated(data, order, starts, length)
-    often = np.repeat([r[5] > 0 for r in rows], windows)
-    hit[place[often]] = True
+    place = spread(at, windows)
+    hit = np.zeros(len(data), bool)
+    marks = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    again, late = same_blocks(data, at, size, windows, marks, length, gram)
+    hit[place[again]] = True
+    once = place[~late]
+    some = once[anchored(data, once, length, gram)] if len(once) else once
+    if len(some):
+        # Runs of such windows, each with a symbol of its own after it, least at the end.
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(some) != 1)))
+        many = np.diff(np.append(cut, len(some)))
+        long = many + length - 1
+        to = np.cumsum(long + 1) - (long + 1)
+        short = np.zeros(int(long.sum() + len(long)), np.uint8)
+        short[spread(to, long)] = data[spread(some[cut], long)]
+        text = short.astype(np.int64) + len(cut)
+        text[to + long] = np.arange(len(cut) - 1, -1, -1)
+        starts = np.zeros(len(short), bool)
+        own = spread(to, many)
+        starts[own] = True
+        with spill(folder) as where:
+            order = suffix_array(text, where)
+        hit[some] |= repeated(short, order, starts, length)[own]
+    hit[place[np.repeat([r[5] > 0 for r in rows], windows)]] = True
     out: list[list[int]] = [[], [], [], []]
     for r, a in zip(rows, at.tolist(), strict=True):
         x = np.diff(np.concatenate(([0], hit[a : a + r[4]].view(np.int8), [0])))
@@ -259,27 +327,21 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: i
     spark = docs.sparkSession
     all_runs = C.materialize(runs(docs, text_col, length, gram), "runs")
     ctx = C.materialize(contexts(all_runs), "contexts")
-    free(spark)
+    C.free(spark)
     need = ctx.where((F.col("kinds") > 1) | (F.col("twice") > 0))
     sure = ctx.where((F.col("kinds") == 1) & (F.col("twice") == 0)).select("mark", "ctx", F.lit(0).alias("a"), F.col("windows").alias("b"))
     hit = C.materialize(windows_of(need, docs, text_col, length, gram).union(sure), "windows")
-    free(spark)
+    C.free(spark)
     text = F.col(text_col).cast("string")
     copies = docs.select(*text_key(text)).where(F.col("n_bytes") >= length).groupBy("tkey", "n_bytes").count().where(F.col("count") > 1)
     whole = copies.select("tkey", "n_bytes", F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b"))
     part = all_runs.join(hit, ["mark", "ctx"]).select("tkey", "n_bytes", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length - 1).alias("b"))
     each = part.union(whole).groupBy("tkey", "n_bytes").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = C.materialize(each, "spans")
-    free(spark)
+    C.free(spark)
     return out
 
 
-def free(spark) -> None:
-    """Let Spark drop the shuffle files of steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((x["a"], x["b"]) for x in found or []):

@@ -50,8 +50,9 @@ class Queue:
         self.runs.append([self._stored(run), 0])
 
     def pop(self, about: int) -> np.ndarray:
-        """The least items, all that are up to one key: about ``about`` of each run."""
-        upto = min(r[0, min(at + about, r.shape[1]) - 1] for r, at in self.runs)
+        """The least items, all that are up to one key: about ``about`` of a run at most, or all."""
+        ends = [r[0, at + about - 1] for r, at in self.runs if at + about < r.shape[1]]
+        upto = min(ends) if ends else max(r[0, -1] for r, _ in self.runs)
         got = []
         for x in self.runs:
             end = x[1] + int(np.searchsorted(x[0][0, x[1] :], upto, "right"))
@@ -61,11 +62,6 @@ class Queue:
         both = np.concatenate(got, 1)
         return both[:, np.argsort(both[0], kind="stable")] if len(got) > 1 else both
 
-    def put_back(self, items: np.ndarray) -> None:
-        """Items of the last pop; nothing that is left has as small a key."""
-        if items.shape[1]:
-            self.runs.append([items, 0])
-
     def close(self) -> None:
         self.runs = []
         for path in self.files:
@@ -126,9 +122,10 @@ def induce(key: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, folder: str |
         early = np.minimum.accumulate(made) < k
         cut = int(early.argmax()) if early.any() else len(k)
         about = min(1 << 20, about * 2) if cut == len(k) else max(256, min(about, cut * 2))
-        q.put_back(np.stack([k[cut:], p[cut:]]))
         out.append(p[:cut])
-        q.push(made[:cut][ok[:cut]], before[:cut][ok[:cut]])
+        ok = ok[:cut]
+        # What wasn't taken goes back ahead of what is new, as it came first.
+        q.push(np.concatenate([k[cut:], made[:cut][ok]]), np.concatenate([p[cut:], before[:cut][ok]]))
     q.close()
     return np.concatenate(out)
 
