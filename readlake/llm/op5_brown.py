@@ -34,6 +34,8 @@ FOLDS, HELD = 7, 2
 #: Classes: 0 the end mark, 1 words seen once and unknown ones, the others by exchange. Pseudo-count of the smoothing.
 END, RARE, KAPPA = 0, 1, 50.0
 END_WORD = b"\n"
+#: Bits of a word's number in its block.
+PLACE = 26
 BLOCKS = "block bigint, words array<bigint>, counts array<bigint>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary"
 
 
@@ -63,7 +65,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, n).view(np.int64)
             counts = np.bincount(np.concatenate(train), minlength=n) if train else np.zeros(n, np.int64)
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(tokens).tobytes()], pa.binary())], schema=kind)
+            return pa.RecordBatch.from_arrays([pa.array([part << 12 | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(tokens).tobytes()], pa.binary())], schema=kind)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -205,7 +207,7 @@ def numbers_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def place_words(held: DataFrame, at: np.ndarray, classes: np.ndarray, bigrams: np.ndarray) -> DataFrame:
-    """``block, pos, n, cls, first``: each word of each block with its count over all training texts and its class."""
+    """``place`` (block and number in it), ``value`` (count over all training texts and class) and ``first`` (once a word) of each block's words."""
     spark, end = held.sparkSession, end_hash()
     pull = np.log(bigrams + 0.1)
     size = np.log(bigrams.sum(0) + 1), np.log(bigrams.sum(1) + 1)
@@ -224,7 +226,7 @@ def place_words(held: DataFrame, at: np.ndarray, classes: np.ndarray, bigrams: n
                 edge = np.searchsorted(t[o], np.arange(len(w) + 1)) * 2
                 ctx = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(both.astype(np.uint8))])
                 block = b.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), block)), pa.array(np.arange(len(w)), pa.int32()), pa.array(counts, pa.int64()), ctx], names=["w", "block", "pos", "n", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array((block << PLACE) + np.arange(len(w))), pa.array(counts, pa.int64()), ctx], names=["w", "place", "n", "ctx"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late: list[pa.RecordBatch] = []
@@ -251,7 +253,7 @@ def place_words(held: DataFrame, at: np.ndarray, classes: np.ndarray, bigrams: n
                 k = np.minimum(np.searchsorted(at, u), len(at) - 1)
                 cls = np.where(at[k] == u, classes[k], cls)
             cls[u == end] = END
-            return pa.RecordBatch.from_arrays([pa.array(t["block"].to_numpy()), pa.array(t["pos"].to_numpy()), pa.array(total[group]), pa.array(cls[group], pa.int32()), pa.array(first)], names=["block", "pos", "n", "cls", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(t["place"].to_numpy()), pa.array((total << 8 | cls)[group]), pa.array(first)], names=["place", "value", "first"])
 
         for b in batches:
             if not len(b):
@@ -267,16 +269,16 @@ def place_words(held: DataFrame, at: np.ndarray, classes: np.ndarray, bigrams: n
         if late:
             yield done(pa.Table.from_batches(late))
 
-    rows = held.select("block", "words", "counts", "held", "sizes", "tokens").mapInArrow(contexts, "w bigint, block bigint, pos int, n bigint, ctx binary")
-    return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, "block bigint, pos int, n bigint, cls int, first boolean")
+    rows = held.select("block", "words", "counts", "held", "sizes", "tokens").mapInArrow(contexts, "w bigint, place bigint, n bigint, ctx binary")
+    return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, "place bigint, value bigint, first boolean")
 
 
 def join_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block with its words' counts and classes instead of their hashes."""
     if not left.num_rows:
         return pa.table({"doc_ids": pa.array([], pa.list_(pa.int64())), "held": pa.array([], pa.list_(pa.bool_())), "sizes": pa.array([], pa.list_(pa.int32())), "tokens": pa.array([], pa.binary()), "n": pa.array([], pa.binary()), "cls": pa.array([], pa.binary())})
-    o = np.argsort(right["pos"].to_numpy())
-    n, cls = right["n"].to_numpy()[o], right["cls"].to_numpy()[o].astype(np.uint8)
+    value = right["value"].to_numpy()[np.argsort(right["place"].to_numpy())]
+    n, cls = value >> 8, (value & 255).astype(np.uint8)
     return left.select(["doc_ids", "held", "sizes", "tokens"]).append_column("n", pa.array([n.astype(np.int64).tobytes()], pa.binary())).append_column("cls", pa.array([cls.tobytes()], pa.binary()))
 
 
@@ -304,14 +306,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each document."""
     held = C.materialize(blocks(docs, id_col, text_col), "lm-blocks")
     at, classes, bigrams = top_classes(held)
+    C.free(docs.sparkSession)
     words = C.materialize(place_words(held, at, classes, bigrams), "lm-words")
-    once = F.col("first") & (F.col("n") > 0)
-    s = words.where(once).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
+    words_n, cls = F.shiftright("value", 8), F.col("value").bitwiseAND(F.lit(255))
+    once = F.col("first") & (words_n > 0)
+    s = words.where(once).agg(F.count("*").alias("v"), F.sum(words_n).alias("n"), F.sum((words_n == 1).cast("long")).alias("n1"), F.sum((words_n == 2).cast("long")).alias("n2")).first()
     v, total, n1, n2 = (int(s[k] or 0) for k in ("v", "n", "n1", "n2"))
-    per = {r["cls"]: int(r["n"]) for r in words.where(once).groupBy("cls").agg(F.sum("n").alias("n")).collect()}
-    sides = held.select("block", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(words.select("block", "pos", "n", "cls").groupBy("block"))
+    per = {r["cls"]: int(r["n"]) for r in words.where(once).groupBy(cls.alias("cls")).agg(F.sum(words_n).alias("n")).collect()}
+    C.free(docs.sparkSession)
+    by_block = words.select(F.shiftright("place", PLACE).alias("block"), "place", "value")
+    sides = held.select("block", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(by_block.groupBy("block"))
     ready = C.materialize(sides.applyInArrow(join_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready")
     C.drop_scratch(docs.sparkSession, [held.scratch, words.scratch])
+    C.free(docs.sparkSession)
     pairs = transitions(ready)
     share = np.zeros(CLASSES)
     for k, n in per.items():
