@@ -113,16 +113,15 @@ def after_of(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange(pairs: np.ndarray, start: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Classes of words by exchange. ``pairs[a, b]``: times that b follows a; words with a negative start are fixed at -start - 1."""
-    c = np.where(start < 0, -start - 1, start)
+def exchange(pairs: np.ndarray, start: np.ndarray, movable: np.ndarray, free: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Classes of words by exchange. ``pairs[a, b]``: times that b follows a. The ``movable`` words are moved in their order, to the ``free``
+    classes; a word may start in a class that isn't free, where it waits for its first move."""
+    c = start.copy()
     one = np.zeros((len(pairs), classes))
     one[np.arange(len(pairs)), c] = 1
     left, right = pairs.T @ one, pairs @ one  # classes before and after each word
     n = one.T @ right
     xlx = lambda x: x * np.log(np.maximum(x, 1e-300))
-    movable = np.flatnonzero(start >= 0)
-    free = np.unique(c[movable]) if len(movable) else np.zeros(0, int)
     self_pairs = np.diag(pairs)
     for _ in range(rounds):
         moved = 0
@@ -136,8 +135,7 @@ def exchange(pairs: np.ndarray, start: np.ndarray, classes: int, rounds: int = R
             out_n, in_n = n.sum(1), n.sum(0)
             tot_out, tot_in = rw.sum() + s, lw.sum() + s
             gain = (xlx(n[:, free] + lw[:, None]) - xlx(n[:, free])).sum(0) + (xlx(n[free] + rw) - xlx(n[free])).sum(1) - (xlx(out_n[free] + tot_out) - xlx(out_n[free])) - (xlx(in_n[free] + tot_in) - xlx(in_n[free]))
-            if s:
-                gain += xlx(n[free, free] + s + lw[free] + rw[free]) - xlx(n[free, free] + lw[free]) - xlx(n[free, free] + rw[free]) + xlx(n[free, free])
+            gain += xlx(n[free, free] + s + lw[free] + rw[free]) - xlx(n[free, free] + lw[free]) - xlx(n[free, free] + rw[free]) + xlx(n[free, free])
             b = free[int(np.argmax(gain))]
             lw[b] += s
             rw[b] += s
@@ -183,9 +181,11 @@ def top_classes(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = np.zeros(size * size)
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     pairs = pairs.reshape(size, size)
+    # The most frequent words have a class each at first; the others wait with the rare ones and come in by frequency.
     order = {w: k for k, w in enumerate(rank)}
-    start = np.array([-END - 1, -RARE - 1] + [2 + order[w] % (CLASSES - 2) for w in at.tolist()])
-    c = exchange(pairs, start, CLASSES)
+    start = np.array([END, RARE] + [2 + order[w] if order[w] < CLASSES - 2 else RARE for w in at.tolist()])
+    turn = np.argsort([order[w] for w in at.tolist()], kind="stable") + 2
+    c = exchange(pairs, start, turn, np.arange(2, CLASSES), CLASSES) if len(at) else start
     one = np.eye(CLASSES)[c]
     return at, c[2:], one.T @ pairs @ one
 
