@@ -14,6 +14,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import cached_property
 
 #: The splits of the two kinds, as the tokenizer files write them.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -22,7 +23,7 @@ BYTE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LAST = 0x24F
 ODD = re.compile(f"[^\x00-\x1b\x20-{chr(LAST)}]|İ")
 #: Pieces that are remembered by a worker at most; a matter of speed alone.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def byte_values() -> dict[str, int]:
@@ -34,11 +35,7 @@ def byte_values() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.encode = {"byte": self._byte, "word": self._word}.get(self._kind(spec), self._library)
@@ -75,6 +72,15 @@ class Encoder:
             return "word"
         return "other"
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        return t
+
     def _library(self, text: str | None) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
