@@ -112,7 +112,7 @@ SQL = {
     "q_pack2bit": f"""WITH {PAIR} SELECT p_partkey, {PACK('substr(a, 1, 31)')} AS packed, array_to_string(list_transform(range(0, 16), lambda i: printf('%02x', list_reduce(list_transform([1, 2, 3, 4], lambda j: (instr('ACTG', substr(a, (i * 4 + j)::int, 1)) - 1)::bigint), lambda p, q: p * 4 + q))), '') AS bytes FROM pr""",
     "q_revcomp": f"WITH {PAIR} SELECT p_partkey, {RC('a')} AS rc FROM pr",
     "q_hamming": f"WITH {PAIR} SELECT p_partkey, hamming(a, b) AS mm FROM pr",
-    "q_packed_hamming": f"WITH {PAIR}, x AS (SELECT p_partkey, xor({PACK('substr(a, 1, 31)')}, {PACK('substr(b, 1, 31)')}) AS x FROM pr) SELECT p_partkey, bit_count((x | (x >> 1)) & {FIELDS}) AS mm FROM x",
+    "q_packed_hamming": f"WITH {PAIR}, x AS (SELECT p_partkey, xor({PACK('substr(a, 1, 31)')}, {PACK('substr(b, 1, 31)')}) AS x FROM pr) SELECT p_partkey, bit_count((x | (x >> 1)) & {FIELDS})::bigint AS mm FROM x",
     "q_diff_keep": f"WITH {PAIR} SELECT p_partkey, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN substr(a, i::int, 1) = substr(b, i::int, 1) THEN 0 ELSE instr('ACTG', substr(a, i::int, 1)) - 1 END), '') AS diff FROM pr",
     "q_diff_xor": f"WITH {PAIR} SELECT p_partkey, {XOR('a', 'b')} AS diff FROM pr",
     "q_ref_substr": f"WITH {REF}, {WIN(100, 64)} SELECT pos, kmer AS seq, {CODES('kmer')} AS codes FROM win",
