@@ -40,7 +40,7 @@ from . import common as C
 LENGTH, GRAM = 400, 32
 #: Windows of a run at most; bytes of a shard, about; contexts of a mark above which it is split, and marks a window has at most;
 #: windows of a block.
-RUN, SHARD, HOT, MARKS, GRID = 1024, 4 << 20, 20000, 3, 8
+RUN, SHARD, HOT, MARKS, GRID = 1024, 4 << 20, 1000, 3, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -148,7 +148,7 @@ def contexts(all_runs: DataFrame) -> DataFrame:
     return c.join(many.select("mark", "kinds"), "mark")
 
 
-def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gram: int, hot: int) -> DataFrame:
     """(mark, ctx, a, b): the windows a to b of each context that are repeated, by the suffix arrays of the marks' shards."""
     spark = docs.sparkSession
     folder = spill_folder(spark)
@@ -169,7 +169,7 @@ def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gra
                 for x in wanted:
                     a, m = x["first"], x["windows"]
                     data = raw[a : a + m + length - 1]
-                    for part, skip, size in pieces(data, m, x["kinds"], length, gram):
+                    for part, skip, size in pieces(data, m, x["kinds"], length, gram, hot):
                         out.append({"mark": x["mark"], "part": part, "ctx": x["ctx"], "skip": skip, "windows": size, "often": x["often"], "data": data[skip : skip + size + length - 1]})
                 if len(out) > 20000:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -196,9 +196,9 @@ def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gra
     return got.repartition(C.parts(spark), *by).sortWithinPartitions(*by, "ctx", "skip").mapInArrow(sort, "mark bigint, ctx bigint, a int, b int")
 
 
-def pieces(data: bytes, windows: int, kinds: int, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
+def pieces(data: bytes, windows: int, kinds: int, length: int, gram: int, hot: int = HOT) -> Iterator[tuple[int, int, int]]:
     """A context whole, or, where its mark has very many contexts, cut into runs of windows that agree in further marks too."""
-    if kinds <= HOT:
+    if kinds <= hot:
         yield 0, 0, windows
         return
     h = gram_hashes(np.frombuffer(data, np.uint8), gram)
@@ -322,7 +322,7 @@ def spill(folder: str | None):
     return tempfile.TemporaryDirectory(prefix="suffix-", dir=where)
 
 
-def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``tkey, n_bytes, spans`` (array of a, b; may overlap) of each text with anything to remove."""
     spark = docs.sparkSession
     all_runs = C.materialize(runs(docs, text_col, length, gram), "runs")
@@ -330,7 +330,7 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: i
     C.free(spark)
     need = ctx.where((F.col("kinds") > 1) | (F.col("twice") > 0))
     sure = ctx.where((F.col("kinds") == 1) & (F.col("twice") == 0)).select("mark", "ctx", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    hit = C.materialize(windows_of(need, docs, text_col, length, gram).union(sure), "windows")
+    hit = C.materialize(windows_of(need, docs, text_col, length, gram, hot).union(sure), "windows")
     C.free(spark)
     text = F.col(text_col).cast("string")
     copies = docs.select(*text_key(text)).where(F.col("n_bytes") >= length).groupBy("tkey", "n_bytes").count().where(F.col("count") > 1)
@@ -352,7 +352,7 @@ def merged(found: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +369,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text))
-    return d.join(spans(docs, text_col, length), ["tkey", "n_bytes"], "left").select("doc_id", "text", "spans").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return d.join(spans(docs, text_col, length, hot=hot), ["tkey", "n_bytes"], "left").select("doc_id", "text", "spans").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept(raw: bytes, cut: list[tuple[int, int]]) -> bytes:

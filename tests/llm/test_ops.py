@@ -500,14 +500,15 @@ def test_repeats(spark, docs, empty):
     assert op10_repeats.digest(empty).count() == op10_repeats.cut(empty).count() == 0
 
 
-def test_repeats_with_many_contexts(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [op10_repeats.HOT, 3])
+def test_repeats_with_many_contexts(spark, hot):
     """Marks that very many contexts share are split by further marks, with the same result."""
     r = random.Random(13)
     passage = "".join(r.choice("abcdef ") for _ in range(600))
     rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.randint(0, 500))) + passage[r.randint(0, 150) : 450 + r.randint(0, 150)] + "".join(r.choice("abcdef ") for _ in range(300))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = bag((i, *x) for (i, _), x in zip(rows, repeats([t.encode() for _, t in rows], 400), strict=True))
-    assert bag(map(tuple, op10_repeats.digest(df).collect())) == want
+    assert bag(map(tuple, op10_repeats.digest(df, hot=hot).collect())) == want
     assert list(op10_repeats.pieces(b"x" * 500, 101, op10_repeats.HOT + 1, 400, 32)) and list(op10_repeats.pieces(rows[0][1].encode()[:600], 201, op10_repeats.HOT + 1, 400, 32))[0][1] == 0
 
 
