@@ -61,12 +61,16 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Powers that are kept; longer runs are worked out when needed.
+KEPT_POWERS = 1 << 17
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), base, np.uint64)]))
+    if n > KEPT_POWERS:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+    if base not in _POWERS:
+        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(KEPT_POWERS, base, np.uint64)]))
     return _POWERS[base][:n]
 
 
