@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import reference as ref
+from .operators.integrity import file_fingerprint
 from .sources import archive
 from .sources.fasta import FastaSource, contigs
 from .sources.fastq import FastqSource
@@ -32,14 +35,18 @@ def open_reference(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("fasta").load(path)
 
 
-def compress(spark: SparkSession, path: str, out: str, reference: str | None = None, force: bool = False, remove: bool = False) -> None:
-    """FASTQ files to an archive. ``remove`` deletes the input, after the archive was read back and found whole."""
+def fingerprint(path: str) -> str:
+    with open(local_paths(path)[0], "rb") as f:
+        return file_fingerprint(f)
+
+
+def compress(spark: SparkSession, path: str, out: str, reference: str | None = None, force: bool = False, remove: bool = False, pack: bool = False) -> None:
+    """FASTQ files to an archive. ``remove`` deletes the input, after the archive was read back and found whole; ``pack`` keeps what is
+    needed of the reference in the archive."""
     segments = open_reference(spark, reference) if reference else None
-    facts = {} if segments is None else {"reference": reference, "reference_len": int(segments.agg(F.sum(F.length("seq"))).first()[0] or 0)}
-    archive.write(open_reads(spark, path, "FAILFAST"), out, segments, "overwrite" if force else "errorifexists", facts)
+    facts = {} if segments is None else {"reference": os.path.basename(reference), "reference_len": int(segments.agg(F.sum(F.length("seq"))).first()[0] or 0), "reference_fp": fingerprint(reference)}
+    archive.write(open_reads(spark, path, "FAILFAST"), out, segments, "overwrite" if force else "errorifexists", facts, pack)
     if remove:
-        import os
-
         if archive.damaged(spark, out, segments).limit(1).count():
             raise ValueError(f"{out} is damaged; the input stays")
         for p in local_paths(path):
@@ -54,7 +61,7 @@ def decompress(spark: SparkSession, path: str, out: str, reference: str | None =
 
 def check_reference(spark: SparkSession, path: str, reference: str | None) -> DataFrame | None:
     facts = archive.meta(spark, path)
-    if not facts.get("mapped"):
+    if not facts.get("mapped") or facts.get("packed"):
         return None
     if reference is None:
         raise ValueError("this archive needs its reference")
@@ -62,6 +69,8 @@ def check_reference(spark: SparkSession, path: str, reference: str | None) -> Da
     n = int(segments.agg(F.sum(F.length("seq"))).first()[0] or 0)
     if n != facts["reference_len"]:
         raise ValueError(f"the archive's reference has {facts['reference_len']} bases, this one {n}")
+    if fingerprint(reference) != facts["reference_fp"]:
+        log.warning("another file than %s, of the same length: blocks' checksums will tell", facts["reference"])
     return segments
 
 
@@ -73,11 +82,34 @@ def index(spark: SparkSession, reference: str, out: str, force: bool = False) ->
     contigs(segments).write.mode(mode).parquet(f"{out}/contigs")
 
 
+def cached_index(spark: SparkSession, reference: str, cache: str) -> DataFrame:
+    """The postings of a reference from a cache folder: built where there are none for this file by name, fingerprint, time and size.
+
+    An index is written beside its place and then renamed, and the manifest after it, so a reader never sees half of one.
+    """
+    os.makedirs(cache, exist_ok=True)
+    manifest, name = os.path.join(cache, "manifest.json"), os.path.basename(reference)
+    known = json.load(open(manifest)) if os.path.exists(manifest) else {}
+    stat = os.stat(reference)
+    facts = {"index": f"{name}.{fingerprint(reference)}", "mtime": int(stat.st_mtime), "size": stat.st_size}
+    place = os.path.join(cache, facts["index"])
+    if known.get(name) != facts or not os.path.isdir(place):
+        fresh = f"{place}.{os.getpid()}"
+        index(spark, reference, fresh, force=True)
+        if os.path.isdir(place):
+            os.rename(place, f"{fresh}.old")
+        os.rename(fresh, place)
+        with open(f"{manifest}.{os.getpid()}", "w") as f:
+            json.dump(known | {name: facts}, f, indent=1, sort_keys=True)
+        os.replace(f"{manifest}.{os.getpid()}", manifest)
+    return spark.read.parquet(f"{place}/postings")
+
+
 def query(spark: SparkSession, path: str, region: str, reference: str) -> DataFrame:
     """The reads of an archive that map to ``contig:from-to`` (from 1, ends included)."""
-    segments = check_reference(spark, path, reference)
-    if segments is None:
+    if not archive.meta(spark, path).get("mapped"):
         raise ValueError("this archive was written without a reference")
+    segments = check_reference(spark, path, reference) or open_reference(spark, reference)
     name, _, span = region.partition(":")
     at = contigs(segments).where(F.col("contig") == name).first()
     if at is None:

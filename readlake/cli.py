@@ -1,10 +1,14 @@
-"""Command line: compress, decompress, index, query, version."""
+"""Command line: compress, decompress, index, query, version. ``-`` is standard input or output."""
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
 import os
+import shutil
+import sys
+import tempfile
 
 from . import __version__
 
@@ -17,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("compress")
     c.add_argument("-e", "--remove", action="store_true", help="delete the input after the archive was verified")
+    c.add_argument("-i", "--pack", action="store_true", help="keep what is needed of the reference in the archive")
     d = sub.add_parser("decompress")
     d.add_argument("-z", "--gzip", action="store_true")
     i = sub.add_parser("index")
@@ -32,6 +37,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+@contextlib.contextmanager
+def spooled(path: str):
+    """Standard input as a file, for as long as it is needed; any other path as it is."""
+    if path != "-":
+        yield path
+        return
+    with tempfile.NamedTemporaryFile(prefix="readlake-", suffix=".fastq") as f:
+        shutil.copyfileobj(sys.stdin.buffer, f)
+        f.flush()
+        yield f.name
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "version":
@@ -48,7 +65,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.folder:
         os.makedirs(a.folder, exist_ok=True)
     if a.command == "compress":
-        api.compress(spark, a.input, a.output or output_name(a.input, a.folder), a.reference, a.force, a.remove)
+        with spooled(a.input) as path:
+            api.compress(spark, path, a.output or output_name(a.input, a.folder), a.reference, a.force, a.remove and path == a.input, a.pack)
+    elif a.command == "decompress" and a.output == "-":
+        from .sources import archive
+
+        for text in archive.text(archive.read(spark, a.input, api.check_reference(spark, a.input, a.reference))).toLocalIterator(prefetchPartitions=True):
+            sys.stdout.write(text["value"] + "\n")
     elif a.command == "decompress":
         api.decompress(spark, a.input, a.output or restored_name(a.input, a.folder, a.gzip), a.reference, a.gzip, a.force)
     elif a.command == "index":

@@ -25,8 +25,9 @@ def block_md5(reads: DataFrame) -> DataFrame:
     return d.select("file_idx", "block_id", "n_rec", "n_bytes", F.md5(F.array_join(F.transform("r", lambda x: x["m"]), "")).alias("md5"))
 
 
-def write(reads: DataFrame, path: str, segments: DataFrame | None = None, mode: str = "errorifexists", meta: dict | None = None) -> None:
-    """Write an archive; ``reads`` as the fastq source gives them. With reference segments, bases are kept as place and difference."""
+def write(reads: DataFrame, path: str, segments: DataFrame | None = None, mode: str = "errorifexists", meta: dict | None = None, pack: bool = False) -> None:
+    """Write an archive; ``reads`` as the fastq source gives them. With reference segments, bases are kept as place and difference; ``pack``
+    puts the parts of the reference that reads map to into the archive."""
     spark = reads.sparkSession
     kind = F.when(F.col("comment") == "+", "PLUS").when(F.expr("substring(comment, 2) = substring(id, 2)"), "ID").otherwise("OTHER")
     d = reads.withColumn("comment_kind", kind).withColumn("comment", F.when(kind == "OTHER", F.col("comment")))
@@ -41,11 +42,22 @@ def write(reads: DataFrame, path: str, segments: DataFrame | None = None, mode:
     pos = spark.read.parquet(f"{path}/reads").groupBy("file_idx", "block_id").agg(F.min("mpos").alias("min_pos"), F.max("mpos").alias("max_pos"))
     types = R.classify(reads.withColumn("block_id", F.struct("file_idx", "block_id"))).select(F.col("block_id.file_idx").alias("file_idx"), F.col("block_id.block_id").alias("block_id"), "block_type")
     block_md5(reads).join(pos, ["file_idx", "block_id"]).join(types, ["file_idx", "block_id"]).write.mode(mode).parquet(f"{path}/blocks")
-    head = {"writer": "readlake", "version": VERSION, "hashmethod": "md5", "mapped": segments is not None} | (meta or {})
+    if pack and segments is not None:
+        packed(segments, spark.read.parquet(f"{path}/reads")).write.mode(mode).option("compression", "zstd").parquet(f"{path}/reference")
+    head = {"writer": "readlake", "version": VERSION, "hashmethod": "md5", "mapped": segments is not None, "packed": pack and segments is not None} | (meta or {})
     spark.createDataFrame([(json.dumps(head, sort_keys=True),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
 
 
+def packed(segments: DataFrame, mapped: DataFrame, cell: int = 4096) -> DataFrame:
+    """The reference with A's for the segments that no read maps to: positions stay, and what isn't needed takes no room."""
+    ends = F.floor(F.col("mpos") / cell), F.floor((F.col("mpos") + F.length("diff") - 1) / cell)
+    hit = mapped.where(F.col("mdir") < 2).select(F.explode(F.sequence(*ends)).alias("c")).distinct()
+    own = segments.select("base0", "seq", F.explode(F.sequence(F.floor(F.col("base0") / cell), F.floor((F.col("base0") + F.length("seq") - 1) / cell))).alias("c"))
+    used = own.join(hit, "c", "left_semi").select("base0").distinct().withColumn("used", F.lit(1))
+    return segments.join(used, "base0", "left").select("base0", F.when(F.col("used") == 1, F.col("seq")).otherwise(F.repeat(F.lit("A"), F.length("seq"))).alias("seq"))
+
+
 def lower_places():
     return F.filter(F.transform(F.split("bases", ""), lambda x, i: F.when(x != F.upper(x), i)), lambda x: x.isNotNull())
 
@@ -60,6 +72,8 @@ def read(spark: SparkSession, path: str, segments: DataFrame | None = None, posi
     if positions is not None:
         d = d.where((F.col("mpos") >= positions[0]) & (F.col("mpos") < positions[1]) & (F.col("mdir") < 2))
     if meta(spark, path).get("mapped"):
+        if meta(spark, path).get("packed"):
+            segments = spark.read.parquet(f"{path}/reference")
         if segments is None:
             raise ValueError("this archive needs its reference")
         d = d.withColumn("rid", F.col("file_idx").cast("long") * (1 << 44) + F.col("rec"))
@@ -80,8 +94,13 @@ def damaged(spark: SparkSession, path: str, segments: DataFrame | None = None) -
     return old.join(now, ["file_idx", "block_id"], "left").where(~F.col("md5").eqNullSafe(F.col("now")))
 
 
+def text(reads: DataFrame) -> DataFrame:
+    """Reads as text in order, over sorted ranges."""
+    d = reads.repartitionByRange("file_idx", "block_id", "rec").sortWithinPartitions("file_idx", "block_id", "rec")
+    return d.select(F.expr("concat_ws('\n', id, bases, comment, qual)").alias("value"))
+
+
 def write_text(reads: DataFrame, path: str, zipped: bool = False, mode: str = "errorifexists") -> None:
     """Reads as text files in order."""
-    d = reads.repartitionByRange("file_idx", "block_id", "rec").sortWithinPartitions("file_idx", "block_id", "rec")
-    w = d.select(F.expr("concat_ws('\n', id, bases, comment, qual)").alias("value")).write.mode(mode)
+    w = text(reads).write.mode(mode)
     (w.option("compression", "gzip") if zipped else w).text(path)

@@ -118,6 +118,47 @@ def test_region_query_and_index(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "g.index/postings")).count() == 3000 // 32
 
 
+def test_packed_reference(spark, tmp_path):
+    g = genome(20000)
+    (tmp_path / "g.fa").write_text(">c1\n" + g[:5000] + "\n>c2\n" + g[5000:] + "\n")
+    text = mapped_reads(g[:6000], 50)
+    (tmp_path / "r.fastq").write_text(text)
+    api.compress(spark, str(tmp_path / "r.fastq"), str(tmp_path / "r.rla"), str(tmp_path / "g.fa"), pack=True)
+    assert rows(archive.read(spark, str(tmp_path / "r.rla"))) == records(text)
+    kept = spark.read.parquet(str(tmp_path / "r.rla/reference"))
+    assert kept.where("seq = repeat('A', length(seq))").count() > 0 and kept.count() == api.open_reference(spark, str(tmp_path / "g.fa")).count()
+
+
+def test_wrong_reference(spark, tmp_path):
+    g = genome(3000)
+    (tmp_path / "g.fa").write_text(">c1\n" + g + "\n")
+    (tmp_path / "h.fa").write_text(">c1\n" + g[:-5] + "\n")
+    (tmp_path / "r.fastq").write_text(mapped_reads(g, 10))
+    api.compress(spark, str(tmp_path / "r.fastq"), str(tmp_path / "r.rla"), str(tmp_path / "g.fa"))
+    with pytest.raises(ValueError, match="3000 bases"):
+        api.decompress(spark, str(tmp_path / "r.rla"), str(tmp_path / "x"), str(tmp_path / "h.fa"))
+
+
+def test_index_cache(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">c1\n" + genome(3000) + "\n")
+    for _ in range(2):
+        assert api.cached_index(spark, str(tmp_path / "g.fa"), str(tmp_path / "cache")).count() == 93
+    (tmp_path / "g.fa").write_text(">c1\n" + genome(6400) + "\n")
+    assert api.cached_index(spark, str(tmp_path / "g.fa"), str(tmp_path / "cache")).count() == 200
+    assert len([p for p in (tmp_path / "cache").iterdir() if p.is_dir()]) == 2
+
+
+def test_pipes(spark, tmp_path, monkeypatch, capsys):
+    import io
+    import sys
+
+    text = fastq(12)
+    monkeypatch.setattr(sys, "stdin", type("In", (), {"buffer": io.BytesIO(text.encode())}))
+    assert cli.main(["compress", "-", "-o", str(tmp_path / "a.rla")]) == 0
+    assert cli.main(["decompress", str(tmp_path / "a.rla"), "-o", "-"]) == 0
+    assert capsys.readouterr().out == text
+
+
 def test_command_line(tmp_path, capsys):
     assert cli.main(["version"]) == 0 and capsys.readouterr().out.strip()
     a = cli.parser().parse_args(["compress", "x.fastq.gz", "-f", "-r", "g.fa"])
