@@ -6,8 +6,8 @@ the good documents that a candidate would reject are counted, and a candidate is
 distribution says so: with n good documents of which k are rejected, P(Bin(n, r) <= k) <= delta, that is, the exact upper
 confidence bound of the false-rejection rate is r at most. r is the stratum's allowed rate shared over the rules, and delta
 the allowed failure probability divided by the number of all tests (Bonferroni over strata, rules and candidates), so with
-probability 1 - DELTA no stratum's rules reject more than RISK of its good documents. Of the safe candidates the one that
-rejects most bad documents is taken, the most lenient of equals; where none is safe, or none rejects any bad document, the
+probability 1 - DELTA no stratum's rules reject more than RISK of its good documents. Of the safe candidates the one with the
+greatest lead of bad over good documents rejected is taken, the most lenient of equals; where none is safe, or none is in the lead, the
 rule is off in that stratum.
 
 All on DataFrame functions: features are narrow, hold-out counts are one aggregation with map-side sums, and the cut-offs
@@ -90,7 +90,8 @@ def cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum
     per = per.withColumn("most", most_rejected(F.col("n"), RISK / len(FEATURES), F.lit(DELTA) / tests))
 
     def cut(f: str) -> Column:
-        safe = [F.when((F.col(f"{f}_{k}_good") <= F.col("most")) & (F.col(f"{f}_{k}_bad") > 0), F.struct(F.col(f"{f}_{k}_bad").alias("hits"), F.lit(c).alias("cut"))) for k, c in enumerate(GRID)]
+        gain = lambda k: F.col(f"{f}_{k}_bad") - F.col(f"{f}_{k}_good")
+        safe = [F.when((F.col(f"{f}_{k}_good") <= F.col("most")) & (gain(k) > 0), F.struct(gain(k).alias("gain"), F.lit(c).alias("cut"))) for k, c in enumerate(GRID)]
         return F.array_max(F.array(*safe))["cut"]
 
     return C.materialize(per.select("_stratum", *[cut(f).alias(f"_cut_{f}") for f in FEATURES]), "cutoffs")

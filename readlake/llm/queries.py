@@ -55,7 +55,7 @@ def _quality_sql() -> str:
     strata AS (SELECT lang, sum((q > 0)::int)::bigint AS n, count(*) OVER () * {len(FEATURES) * len(GRID)} AS tests FROM h GROUP BY 1),
     terms AS (SELECT lang, tests, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({rate}) + (n - k) * ln(1 - {rate})) AS p FROM (SELECT *, unnest(range(0, least(n, ceil(n * {rate})::bigint) + 1)) AS k FROM strata)),
     most AS (SELECT lang, max(CASE WHEN p <= {DELTA} / tests THEN k ELSE -1 END) AS most FROM (SELECT lang, tests, k, sum(p) OVER (PARTITION BY lang ORDER BY k) AS p FROM terms) GROUP BY 1),
-    cuts AS (SELECT lang, rule, cut FROM (SELECT hits.lang, rule, cut, row_number() OVER (PARTITION BY hits.lang, rule ORDER BY bad DESC, cut DESC) AS r FROM hits JOIN most ON hits.lang IS NOT DISTINCT FROM most.lang WHERE good <= most AND bad > 0) WHERE r = 1),
+    cuts AS (SELECT lang, rule, cut FROM (SELECT hits.lang, rule, cut, row_number() OVER (PARTITION BY hits.lang, rule ORDER BY bad - good DESC, cut DESC) AS r FROM hits JOIN most ON hits.lang IS NOT DISTINCT FROM most.lang WHERE good <= most AND bad > good) WHERE r = 1),
     wide AS (SELECT lang, {", ".join(f"max(CASE WHEN rule = '{x}' THEN cut END) AS cut_{x}" for x in FEATURES)} FROM cuts GROUP BY 1)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"coalesce({x} > cut_{x}, false)" for x in FEATURES)}) AS kept FROM f LEFT JOIN wide ON f.lang IS NOT DISTINCT FROM wide.lang"""
 
