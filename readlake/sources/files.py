@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import gzip
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -33,6 +34,16 @@ def lines(path: str, start: int = 0) -> Iterator[tuple[int, bytes]]:
             at += len(line)
 
 
+def content_md5(path: str) -> tuple[str, int]:
+    """MD5 and length of a file's content, gzip or not, read in pieces."""
+    sum_, n = hashlib.md5(), 0
+    with (gzip.open(path, "rb") if is_gzip(path) else open(path, "rb")) as f:
+        while part := f.read(1 << 20):
+            sum_.update(part)
+            n += len(part)
+    return sum_.hexdigest(), n
+
+
 def output_name(path: str, folder: str | None = None, suffix: str = ".rla") -> str:
     """Name of the archive of a file: without .gz, with the archive's suffix, in ``folder`` if given."""
     name = path.removesuffix(".gz") + suffix

@@ -64,6 +64,13 @@ def test_blank_lines(tmp_path):
     assert [x for _, x in files.lines(str(tmp_path / "t"))] == [b"", b"A", b"", b"BC", b"", b""]
 
 
+def test_content_md5(tmp_path):
+    text = b">chr1\nATCG\n" * 100
+    (tmp_path / "a.fa").write_bytes(text)
+    (tmp_path / "b").write_bytes(gzip.compress(text))
+    assert files.content_md5(str(tmp_path / "a.fa")) == files.content_md5(str(tmp_path / "b")) and files.content_md5(str(tmp_path / "b"))[1] == len(text)
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 first\nATCG\nNNAC\n\n>chr2\nGG\n")
     df = api.open_reference(spark, str(tmp_path / "g.fa"))
