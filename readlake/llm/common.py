@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="readlake-")
+        own = tempfile.mkdtemp(prefix="readlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
