@@ -38,9 +38,9 @@ BLOCK = 8192
 BANDS, ROWS = 26, 3
 #: Members of a component whose sets are compared in one task.
 VERIFY = 1024
-#: Five words and a similarity of 0.8: of 256 bits as many may differ as at that similarity on average, and four deviations more;
-#: the links are then held against the sets themselves.
-WIDE_BITS, WIDE_RADIUS, WIDE_SHINGLE, WIDE_SHARE = 256, 62, 5, 0.8
+#: Five words and a similarity of 0.8: of 256 bits as many may differ as at that similarity on average (39), and more than five
+#: deviations (of 5.7) more; the links are then held against the sets themselves.
+WIDE_BITS, WIDE_RADIUS, WIDE_SHINGLE, WIDE_SHARE = 256, 70, 5, 0.8
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -82,10 +82,10 @@ def fingerprint(h: np.ndarray, bits: int) -> bytes:
 
 
 def min_keys(h: np.ndarray) -> list[int]:
+    """Bands of min-wise hashes of a set."""
     if not len(h):
         return [0]
-    u = np.unique(h)
-    least = [int(mixed(u, 100 + j).min()) for j in range(BANDS * ROWS)]
+    least = [int(mixed(h, 100 + j).min()) for j in range(BANDS * ROWS)]
     return [hash((b, *least[b * ROWS : (b + 1) * ROWS])) for b in range(BANDS)]
 
 
@@ -98,9 +98,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits
             fps, ks = [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
-                fps.append(fingerprint(h, bits))
-                if with_keys:
+                if with_keys:  # the similarity is that of sets
+                    h = np.unique(h)
                     ks.append(min_keys(h))
+                fps.append(fingerprint(h, bits))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())] + [pa.array(ks, pa.list_(pa.int64()))] * with_keys, names=["doc_id", "fp"] + ["keys"] * with_keys)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
