@@ -143,8 +143,9 @@ def shifted(p: np.ndarray, words: np.ndarray, d: int) -> np.ndarray:
 
 def close(p: np.ndarray, words: np.ndarray, live: np.ndarray, d: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Words and the lanes in them that may be within the radius of the lane d further on: counted carry-save, abandoned early."""
-    width = radius.bit_length()  # the counter overflows at 2^width > radius
-    count = [np.zeros(len(words), np.uint64) for _ in range(width)]
+    width = max(1, radius.bit_length())
+    start = (1 << width) - 1 - radius  # so that the counter overflows just above the radius
+    count = [np.full(len(words), (2**64 - 1) * (start >> c & 1), np.uint64) for c in range(width)]
     step = 8 if width < 4 else 32
     for at in range(0, len(p), step):
         x = p[at : at + step, words] ^ shifted(p[at : at + step], words, d)

@@ -416,7 +416,7 @@ def test_simhash(spark, docs, empty):
     assert op9_simhash.cluster(empty).count() == 0 and op9_simhash.keep(empty).count() == 0
 
 
-@pytest.mark.parametrize("bits,radius", [(64, 3), (64, 1), (256, 70)])
+@pytest.mark.parametrize("bits,radius", [(64, 3), (64, 1), (64, 0), (64, 6), (256, 70)])
 def test_bit_sliced_links(bits, radius):
     r = np.random.default_rng(bits + radius)
     size = [1, 2, 3, 70, 200, 5]
