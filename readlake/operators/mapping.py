@@ -5,8 +5,8 @@ by (offset, posting), else the one with fewest mismatches, is taken. Reads of up
 stay unmapped (position 0, direction 2).
 
 Two physical forms give the same rows. ``map_reads`` picks by the size of the index: up to ``IN_TASK`` seeds it goes to all tasks as sorted arrays
-and a vectorised kernel does all of it without a shuffle; a larger one stays a table, probes are joined to it by key, candidates fetch
-their windows from overlapping chunks, and a window function picks the best.
+and a vectorised kernel does all of it without a shuffle; a larger one stays a table, probes are joined to it by key, candidates are
+compared piece by piece with the chunks that they reach, and a window function picks the best.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -42,19 +42,41 @@ def candidates(reads: DataFrame, index: DataFrame, total: int) -> DataFrame:
     return hit.select("rid", "off", "rn", mpos.cast("long").alias("mpos"), strand.alias("mdir"), "len").where((F.col("mpos") >= 0) & (F.col("mpos") + F.col("len") <= total))
 
 
-def extend(cands: DataFrame, reads: DataFrame, segments: DataFrame) -> DataFrame:
-    """Candidates with mismatches and the window's XOR: windows come from chunks that overlap, by chunk number."""
-    from .reference import windows
+def chunks(segments: DataFrame) -> DataFrame:
+    """``c, s``: the reference in chunks by number, the last one as long as it is."""
+    own, end = F.col("base0"), F.col("base0") + F.length("seq")
+    d = segments.where(F.length("seq") > 0).select("base0", "seq", F.explode(F.sequence(F.floor(own / CHUNK), F.floor((end - 1) / CHUNK))).alias("c"))
+    lo = F.greatest(F.col("c") * CHUNK, own)
+    d = d.select("c", lo.alias("lo"), F.substring("seq", (lo - own + 1).cast("int"), (F.least((F.col("c") + 1) * CHUNK, end) - lo).cast("int")).alias("s"))
+    return d.groupBy("c").agg(_in_order("lo", "s").alias("s"))
+
+
+def _in_order(key: str, text: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, text))), lambda x: x[text]), "")
+
+
+def _cut(text: Column) -> Column:
+    """A text that begins at ``mpos`` as an array of ``c, piece``: what lies in each chunk that it reaches."""
+    pos, end = F.col("mpos"), F.col("mpos") + F.length(text)
+
+    def piece(c: Column) -> Column:
+        lo = F.greatest(c * CHUNK, pos)
+        return F.struct(c.alias("c"), F.substring(text, (lo - pos + 1).cast("int"), (F.least((c + 1) * CHUNK, end) - lo).cast("int")).alias("piece"))
 
-    longest = 2 * CHUNK
-    chunks = windows(segments, 4, 4).select((F.floor(F.col("pos") / CHUNK)).alias("c"), "pos", "kmer")
-    cells = chunks.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kmer"))), lambda x: x["kmer"]), "").alias("s"))
-    wide = cells.select("c", F.lit(0).alias("part"), "s").unionByName(cells.select((F.col("c") - 1).alias("c"), F.lit(1).alias("part"), "s"))
-    wide = wide.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), "").alias("s"))
-    d = cands.withColumn("c", F.floor(F.col("mpos") / CHUNK)).join(wide, "c").join(reads.select("rid", "bases"), "rid")
-    window = F.substring("s", (F.col("mpos") - F.col("c") * CHUNK + 1).cast("int"), F.least(F.length("bases"), F.lit(longest)))
-    d = d.withColumn("w", window).withColumn("turned", F.when(F.col("mdir") == 1, B.revcomp("bases")).otherwise(B.decode_bases(B.encode_bases("bases"))))
-    return d.withColumn("mm", B.hamming("turned", "w").cast("int")).withColumn("diff", B.diff_xor("turned", "w"))
+    return F.transform(F.sequence(F.floor(pos / CHUNK), F.floor((end - 1) / CHUNK)), piece)
+
+
+def _under_piece() -> Column:
+    return F.substring("s", (F.greatest(F.lit(0), F.col("mpos") - F.col("c") * CHUNK) + 1).cast("int"), F.length("piece"))
+
+
+def extend(cands: DataFrame, reads: DataFrame, segments: DataFrame) -> DataFrame:
+    """Candidates with mismatches and the window's XOR: a read of any length meets the chunks that it reaches, piece by piece."""
+    d = cands.join(reads.select("rid", "bases"), "rid")
+    d = d.withColumn("turned", F.when(F.col("mdir") == 1, B.revcomp("bases")).otherwise(B.decode_bases(B.encode_bases("bases"))))
+    d = d.select(*cands.columns, F.inline(_cut(F.col("turned")))).join(chunks(segments), "c").withColumn("w", _under_piece())
+    d = d.select(*cands.columns, "c", B.hamming("piece", "w").alias("mm"), B.diff_xor("piece", "w").alias("diff"))
+    return d.groupBy(*cands.columns).agg(F.sum("mm").cast("int").alias("mm"), _in_order("c", "diff").alias("diff"))
 
 
 def best(extended: DataFrame) -> DataFrame:
@@ -109,8 +131,9 @@ class Index:
             return mpos, mdir, mm, diff
         # A read's candidates are in the order of offset and posting; the same place again can't win.
         wrong = np.zeros(len(read), np.int32)
-        for a in range(0, len(read), 1 << 16):
-            s = slice(a, a + (1 << 16))
+        some = max(1, min(1 << 16, (1 << 23) // size))
+        for a in range(0, len(read), some):
+            s = slice(a, a + some)
             own = np.where((strand[s] == 1)[:, None], turned[read[s]], reads[read[s]])
             wrong[s] = (own != self.codes[at[s][:, None] + np.arange(size)]).sum(1)
         rank = np.where(wrong <= CLOSE, 0, wrong)
@@ -146,9 +169,10 @@ def map_in_tasks(reads: DataFrame, segments: DataFrame, n_seeds: int) -> DataFra
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
                 codes = CODE[np.frombuffer("".join(lines[i] for i in rows).encode(), np.uint8)].reshape(len(rows), n)
-                for a in range(0, len(rows), 2048):
-                    part = rows[a : a + 2048]
-                    *cols, d = index.map(codes[a : a + 2048])
+                some = max(1, min(2048, (1 << 18) // max(1, n)))
+                for a in range(0, len(rows), some):
+                    part = rows[a : a + some]
+                    *cols, d = index.map(codes[a : a + some])
                     for col, v in zip(out, cols, strict=True):
                         col[part] = v
                     text = (d + 48).tobytes().decode()
@@ -168,13 +192,8 @@ def map_reads(reads: DataFrame, segments: DataFrame) -> DataFrame:
 
 def restored(mapped: DataFrame, reads: DataFrame, segments: DataFrame) -> DataFrame:
     """``rid, bases``: reads from their place and difference (N comes back as G, case as upper; see ``restore_n``)."""
-    from .reference import windows
-
-    cells = windows(segments, 4, 4).select(F.floor(F.col("pos") / CHUNK).alias("c"), "pos", "kmer")
-    cells = cells.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kmer"))), lambda x: x["kmer"]), "").alias("s"))
-    nxt = cells.select((F.col("c") - 1).alias("c"), F.col("s").alias("s2"))
-    wide = cells.join(nxt, "c", "left").select("c", F.concat("s", F.coalesce("s2", F.lit(""))).alias("s"))
-    d = mapped.withColumn("c", F.floor(F.col("mpos") / CHUNK)).join(wide, "c", "left")
-    w = F.substring("s", (F.col("mpos") - F.col("c") * CHUNK + 1).cast("int"), F.length("diff"))
-    own = B.decode_bases(B.diff_xor(w, B.decode_bases("diff")))
-    return d.select("rid", F.when(F.col("mdir") == 2, B.decode_bases("diff")).when(F.col("mdir") == 1, B.revcomp(own)).otherwise(own).alias("bases"))
+    whole = F.array(F.struct((-1 - F.pmod(F.col("rid"), F.lit(CHUNK))).cast("long").alias("c"), F.col("diff").alias("piece")))  # in no chunk
+    d = mapped.select("rid", "mpos", "mdir", F.inline(F.when(F.col("mdir") == 2, whole).otherwise(_cut(F.col("diff"))))).join(chunks(segments), "c", "left")
+    own = B.decode_bases(F.when(F.col("mdir") == 2, F.col("piece")).otherwise(B.diff_xor(_under_piece(), B.decode_bases("piece"))))
+    d = d.select("rid", "mdir", "c", own.alias("own")).groupBy("rid").agg(F.max("mdir").alias("mdir"), _in_order("c", "own").alias("bases"))
+    return d.select("rid", F.when(F.col("mdir") == 1, B.revcomp("bases")).otherwise(F.col("bases")).alias("bases"))
