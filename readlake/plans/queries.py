@@ -171,7 +171,7 @@ def map_roundtrip(spark, sf: str) -> DataFrame:
 
 def _cover(work):
     def run(spark, sf: str) -> DataFrame:
-        m = mapped(spark, sf).where((F.col("mdir") < 2) & (F.col("rid") % 3 == 0)).select("mpos", F.length("diff").alias("len"))
+        m = mapped(spark, sf).where(F.col("mdir") < 2).select("mpos", F.length("diff").alias("len"))
         return work(m, views.segments(spark, sf))
 
     return run

@@ -3,8 +3,12 @@
 import random
 
 from readlake.operators import mapping as M
+from readlake.plans import views
+from readlake.plans.queries import QUERIES
 from readlake.sources import archive
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_long_reads_come_back_whole(spark, tmp_path):
     r = random.Random(11)
@@ -23,3 +27,16 @@ def test_long_reads_come_back_whole(spark, tmp_path):
     archive.write(fq, str(tmp_path / "a"), seg)
     assert {x["rec"]: x["bases"] for x in archive.read(spark, str(tmp_path / "a"), seg).collect()} == dict(enumerate(reads))
     assert archive.damaged(spark, str(tmp_path / "a"), seg).count() == 0
+
+
+def test_coverage_counts_every_mapped_read(spark):
+    placed = [x["mpos"] for x in QUERIES["q_map_best"](spark, SF).collect() if x["mdir"] < 2 and x["mpos"] > 0]
+    bases = sorted({p for m in placed for p in range(m, m + 100)})
+    covered = {p // 4 for p in bases}
+    assert {x["byte"] for x in QUERIES["q_coverage_bytes"](spark, SF).collect()} == covered
+    los = [p for i, p in enumerate(bases) if i == 0 or bases[i - 1] != p - 1]
+    his = [p + 1 for i, p in enumerate(bases) if i + 1 == len(bases) or bases[i + 1] != p + 1]
+    assert sorted((x["lo"], x["hi"]) for x in QUERIES["q_coverage_intervals"](spark, SF).collect()) == list(zip(los, his, strict=True))
+    s = "".join(x["seq"] for x in views.segments(spark, SF).orderBy("base0").collect())
+    value = lambda b: sum("ACTG".index(c) << (6 - 2 * i) for i, c in enumerate(s[4 * b : 4 * b + 4]))
+    assert {x["byte"]: x["value"] for x in QUERIES["q_ref_mask"](spark, SF).collect()} == {b: value(b) if b in covered else 0 for b in range(len(s) // 4)}
