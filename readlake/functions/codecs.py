@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Blocks within these bounds may take the whole-block coder.
 WHOLE = (32, 2146435072)
+#: Characters that are transformed together at most; a matter of memory.
+BLOCK = 1 << 20
 
 
 def compress(df: DataFrame, data: str, level: int = 3) -> DataFrame:
@@ -33,25 +36,67 @@ def _mapped(df: DataFrame, data: str, work) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def _codes(text: str, end: str) -> np.ndarray:
+    """Characters as dense ranks from 1; the end mark, which is less than all of them, is 0."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(c.max()) + 1, np.int32)
+    used[c] = 1
+    used[ord(end)] = 0
+    rank = np.cumsum(used)
+    rank[ord(end)] = 0
+    return rank[c]
+
+
+def _rotations(codes: np.ndarray) -> np.ndarray:
+    """Where the sorted rotations begin: prefix doubling from packed characters, of which each round sorts what is still equal."""
+    n = len(codes)
+    bits = int(codes.max()).bit_length() or 1
+    width = max(1, min(62 // bits, n))
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = (key << bits) | np.roll(codes, -k)
+    at = np.argsort(key)
+    rank = np.empty(n, np.int64)
+
+    def regroup(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Ranks of sorted ``slots`` by their keys; the slots that aren't alone."""
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        rank[at[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        return slots[~(new & np.append(new[1:], True))]
+
+    left = regroup(np.arange(n), key[at])
+    while len(left):
+        own = at[left]
+        key = rank[own] * n + rank[(own + width) % n]
+        o = np.argsort(key)
+        at[left] = own[o]
+        left, width = regroup(left, key[o]), width * 2
+    return at
+
+
 def bwt(text: str, end: str = "\0") -> str:
     """Last column of the sorted rotations of ``text`` and an end mark."""
     s = text + end
-    rank = {c: i for i, c in enumerate(sorted(set(s)))}
-    order, width = [rank[c] for c in s], 1
-    while len(set(order)) < len(s):  # prefix doubling
-        pair = [(order[i], order[(i + width) % len(s)]) for i in range(len(s))]
-        rank2 = {p: i for i, p in enumerate(sorted(set(pair)))}
-        order, width = [rank2[p] for p in pair], width * 2
-    at = sorted(range(len(s)), key=order.__getitem__)
-    return "".join(s[i - 1] for i in at)
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return c[_rotations(_codes(s, end)) - 1].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def unbwt(last: str, end: str = "\0") -> str:
     """The text whose transform this is, by the last-to-first mapping."""
-    n = len(last)
-    order = sorted(range(n), key=lambda i: (last[i], i))
-    out, i = [], order[last.index(end)]
-    for _ in range(n - 1):
-        out.append(last[i])
-        i = order[i]
-    return "".join(out)
+    order = np.argsort(_codes(last, end), kind="stable")
+    nxt, out = order.tolist(), []
+    i = nxt[nxt[0]]
+    for _ in range(len(last) - 1):
+        out.append(i)
+        i = nxt[i]
+    c = np.frombuffer(last.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return c[np.array(out)].tobytes().decode("utf-32-le", "surrogatepass") if out else ""
+
+
+def bwt_blocks(text: str, size: int = BLOCK) -> str:
+    """The transforms of a text's blocks of ``size`` characters, one after the other; each has one character more than its block."""
+    return "".join(bwt(text[a : a + size]) for a in range(0, max(1, len(text)), size))
+
+
+def unbwt_blocks(last: str, size: int = BLOCK) -> str:
+    return "".join(unbwt(last[a : a + size + 1]) for a in range(0, len(last), size + 1))

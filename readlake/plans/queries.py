@@ -104,11 +104,10 @@ def skip_damaged(docs: DataFrame) -> DataFrame:
 def bwt(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            t = pdf["t"].map(codecs.bwt)
-            yield pdf.assign(bwt=t, ok=[int(codecs.unbwt(b) == x) for b, x in zip(t, pdf["t"], strict=True)]).drop(columns="t")
+            t = pdf["t"].map(codecs.bwt_blocks)
+            yield pdf.assign(bwt=t, ok=[int(codecs.unbwt_blocks(b) == x) for b, x in zip(t, pdf["t"], strict=True)]).drop(columns="t")
 
-    heads = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("t"))
-    return heads.select("doc_id", F.coalesce("t", F.lit("")).alias("t")).mapInPandas(run, "doc_id bigint, bwt string, ok int")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).mapInPandas(run, "doc_id bigint, bwt string, ok int")
 
 
 def _pair(spark, sf: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import random
 
+from readlake.functions import codecs
 from readlake.operators import mapping as M
-from readlake.plans import views
+from readlake.plans import queries, views
 from readlake.plans.queries import QUERIES
 from readlake.sources import archive
 
@@ -40,3 +41,18 @@ def test_coverage_counts_every_mapped_read(spark):
     s = "".join(x["seq"] for x in views.segments(spark, SF).orderBy("base0").collect())
     value = lambda b: sum("ACTG".index(c) << (6 - 2 * i) for i, c in enumerate(s[4 * b : 4 * b + 4]))
     assert {x["byte"]: x["value"] for x in QUERIES["q_ref_mask"](spark, SF).collect()} == {b: value(b) if b in covered else 0 for b in range(len(s) // 4)}
+
+
+def test_bwt_takes_every_line(spark):
+    texts = ["\none\ntwo\n", "abc\n" * 500, "", "é\n😀x\n", "no line feed"] + ["".join(random.Random(i).choice("ab\n") for _ in range(i)) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in queries.bwt(d).collect():
+        t = texts[x["doc_id"]] + "\0"
+        assert x["bwt"] == "".join(r[-1] for r in sorted(t[i:] + t[:i] for i in range(len(t)))) and x["ok"] == 1
+
+
+def test_bwt_blocks():
+    for n in (0, 1, 6, 7, 8, 21, 50):
+        t = ("abcab\n" * 9)[:n]
+        b = codecs.bwt_blocks(t, 7)
+        assert codecs.unbwt_blocks(b, 7) == t and len(b) == n + max(1, -(-n // 7))
