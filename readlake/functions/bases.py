@@ -38,6 +38,14 @@ def pack(c: Column | str) -> Column:
     return F.aggregate(chars(encode_bases(c)), F.lit(0).cast("long"), lambda a, x: a * 4 + x.cast("long"))
 
 
+def pack_words(c: Column | str) -> Column:
+    """Bases of any number as longs of up to 31 each."""
+    c = _col(c)
+    n = F.ceil(F.length(c) / 31).cast("int")
+    at = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
+    return F.transform(at, lambda i: pack(F.substring(c, i * 31 + 1, F.lit(31))))
+
+
 def pack_bytes(c: Column | str) -> Column:
     """Four bases a byte, the last byte filled with zeros, as hex."""
     code = encode_bases(c)
@@ -57,6 +65,11 @@ def packed_hamming(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(FIELDS))).cast("long")
 
 
+def packed_words_hamming(a: Column, b: Column) -> Column:
+    """Different bases of two equally long sequences, packed to words."""
+    return F.aggregate(F.zip_with(a, b, packed_hamming), F.lit(0).cast("long"), lambda n, x: n + x)
+
+
 def diff_keep(a: Column | str, b: Column | str) -> Column:
     """For each base of ``a`` 0 if ``b`` has it too, else its code."""
     return F.array_join(F.zip_with(chars(encode_bases(a)), chars(encode_bases(b)), lambda x, y: F.when(x == y, F.lit("0")).otherwise(x)), "")

@@ -282,10 +282,10 @@ QUERIES = {
     "q_sample_fingerprint": _docs(lambda d: d.select("doc_id", V.sampled_fingerprint(F.col("text")).alias("fp"))),
     "q_skip_damaged": _docs(skip_damaged),
     "q_bwt": _docs(bwt),
-    "q_pack2bit": _seg(lambda d: d.select("p_partkey", B.pack(F.substring("a", 1, 31)).alias("packed"), B.pack_bytes("a").alias("bytes"))),
+    "q_pack2bit": _seg(lambda d: d.select("p_partkey", B.pack_words("a").alias("packed"), B.pack_bytes("a").alias("bytes"))),
     "q_revcomp": _seg(lambda d: d.select("p_partkey", B.revcomp("a").alias("rc"))),
     "q_hamming": _seg(lambda d: d.select("p_partkey", B.hamming("a", "b").alias("mm"))),
-    "q_packed_hamming": _seg(lambda d: d.select("p_partkey", B.packed_hamming(B.pack(F.substring("a", 1, 31)), B.pack(F.substring("b", 1, 31))).alias("mm"))),
+    "q_packed_hamming": _seg(lambda d: d.select("p_partkey", B.packed_words_hamming(B.pack_words("a"), B.pack_words("b")).alias("mm"))),
     "q_diff_keep": _seg(lambda d: d.select("p_partkey", B.diff_keep("a", "b").alias("diff"))),
     "q_diff_xor": _seg(lambda d: d.select("p_partkey", B.diff_xor("a", "b").alias("diff"))),
     "q_ref_substr": ref_substr,

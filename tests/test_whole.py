@@ -2,6 +2,7 @@
 
 import random
 
+from readlake.functions import bases as B
 from readlake.functions import codecs
 from readlake.operators import mapping as M
 from readlake.plans import queries, views
@@ -56,3 +57,15 @@ def test_bwt_blocks():
         t = ("abcab\n" * 9)[:n]
         b = codecs.bwt_blocks(t, 7)
         assert codecs.unbwt_blocks(b, 7) == t and len(b) == n + max(1, -(-n // 7))
+
+
+def test_packed_words_hold_every_base(spark):
+    whole = {x["p_partkey"]: x["mm"] for x in QUERIES["q_hamming"](spark, SF).collect()}
+    assert {x["p_partkey"]: x["mm"] for x in QUERIES["q_packed_hamming"](spark, SF).collect()} == whole
+    for x in QUERIES["q_pack2bit"](spark, SF).collect():
+        bits = "".join(f"{w:0{2 * n}b}" for w, n in zip(x["packed"], (31, 31, 2), strict=True))
+        assert f"{int(bits, 2):032x}" == x["bytes"]
+    r = random.Random(4)
+    rows = [(n, "".join(r.choice("ACGT") for _ in range(n)), "".join(r.choice("ACGT") for _ in range(n))) for n in (0, 1, 31, 32, 62, 63, 200)]
+    d = spark.createDataFrame(rows, "n int, a string, b string").select("n", B.pack_words("a").alias("w"), B.packed_words_hamming(B.pack_words("a"), B.pack_words("b")).alias("p"), B.hamming("a", "b").alias("h"))
+    assert all(x["p"] == x["h"] and len(x["w"]) == -(-x["n"] // 31) for x in d.collect())
