@@ -130,12 +130,12 @@ def canonical_kmer(spark, sf: str) -> DataFrame:
 
 
 def kmer_count(spark, sf: str) -> DataFrame:
-    w = views.segments(spark, sf).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(views.SEG - 7)), lambda i: F.substring("seq", i, F.lit(8)))).alias("kmer"))
+    w = X.windows(views.segments(spark, sf), 8, 1)
     return w.groupBy(B.pack("kmer").alias("key")).agg(F.count("*").alias("n"))
 
 
 def seed_topk(spark, sf: str) -> DataFrame:
-    w = views.segments(spark, sf).select("base0", F.explode(F.sequence(F.lit(1), F.lit(views.SEG - 5))).alias("i"), "seq").select((F.col("base0") + F.col("i") - 1).alias("pos"), F.substring("seq", F.col("i"), F.lit(6)).alias("kmer"))
+    w = X.windows(views.segments(spark, sf), 6, 1)
     return X.postings(w.select("pos", B.pack(B.canonical("kmer", 3)).alias("key"), B.flipped("kmer", 3).alias("dir")))
 
 

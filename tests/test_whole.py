@@ -1,6 +1,7 @@
 """Each query does the whole of its job: what a shorter way would leave out is looked for here."""
 
 import random
+from collections import Counter
 
 from readlake.functions import bases as B
 from readlake.functions import codecs
@@ -69,3 +70,17 @@ def test_packed_words_hold_every_base(spark):
     rows = [(n, "".join(r.choice("ACGT") for _ in range(n)), "".join(r.choice("ACGT") for _ in range(n))) for n in (0, 1, 31, 32, 62, 63, 200)]
     d = spark.createDataFrame(rows, "n int, a string, b string").select("n", B.pack_words("a").alias("w"), B.packed_words_hamming(B.pack_words("a"), B.pack_words("b")).alias("p"), B.hamming("a", "b").alias("h"))
     assert all(x["p"] == x["h"] and len(x["w"]) == -(-x["n"] // 31) for x in d.collect())
+
+
+def test_kmers_cross_segment_borders(spark):
+    s = "".join(x["seq"] for x in views.segments(spark, SF).orderBy("base0").collect())
+    key = lambda k: sum("ACTG".index(c) * 4 ** (len(k) - 1 - i) for i, c in enumerate(k))
+    counts = Counter(key(s[i : i + 8]) for i in range(len(s) - 7))
+    assert {x["key"]: x["n"] for x in QUERIES["q_kmer_count"](spark, SF).collect()} == counts
+    places = {}
+    for i in range(len(s) - 5):
+        k = s[i : i + 6]
+        flip = int(k[2] not in "GT")
+        places.setdefault(key(k[::-1].translate(str.maketrans("ACGT", "TGCA")) if flip else k), []).append((flip, i))
+    want = {(k, p, f, n + 1) for k, v in places.items() for n, (f, p) in enumerate(sorted(v)[:16])}
+    assert {(x["key"], x["pos"], x["dir"], x["rn"]) for x in QUERIES["q_seed_topk"](spark, SF).collect()} == want
