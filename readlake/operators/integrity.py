@@ -53,3 +53,20 @@ def file_fingerprint(file: BinaryIO) -> str:
         file.seek(at)
         parts.append(file.read(size))
     return hashlib.md5(b"".join(parts) + n.to_bytes(8, "little")).hexdigest()[:8]
+
+
+def sequence_facts(segments: DataFrame) -> dict:
+    """Length and checksum of a sequence in segments (``base0, seq``), however it is cut: pieces between the multiples of 4096 bases count."""
+    cell = 4096
+    own, end = F.col("base0"), F.col("base0") + F.length("seq")
+    d = segments.where(F.length("seq") > 0).select("base0", "seq", F.explode(F.sequence(F.floor(own / cell), F.floor((end - 1) / cell))).alias("c"))
+    lo = F.greatest(F.col("c") * cell, own)
+    d = d.select("c", lo.alias("lo"), F.substring("seq", (lo - own + 1).cast("int"), (F.least((F.col("c") + 1) * cell, end) - lo).cast("int")).alias("s"))
+    cells = d.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lo", "s"))), lambda x: x["s"]), "").alias("s"))  # one cell's bases
+    r = cells.agg(F.sum(F.length("s")).alias("len"), F.sum(F.xxhash64("c", F.upper("s")).cast("decimal(38,0)")).alias("sum")).first()
+    return {"len": int(r["len"] or 0), "sum": str(int(r["sum"] or 0))}
+
+
+def compare_facts(stored: dict, found: dict) -> str:
+    """``same``, or what differs first: ``length``, ``content``."""
+    return "length" if stored["len"] != found["len"] else "content" if stored["sum"] != found["sum"] else "same"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from ..functions.bases import FIELDS
 from ..functions.quality import quant
 from ..operators.reads import LEVELS
@@ -29,6 +31,8 @@ CANON = lambda c, m=16: f"CASE WHEN substr({c}, {m}, 1) IN ('G', 'T') THEN {c} E
 FLIP = lambda c, m=16: f"CASE WHEN substr({c}, {m}, 1) IN ('G', 'T') THEN 0 ELSE 1 END"
 CODES = lambda c: f"translate(upper({c}), 'ACTGN', '01233')"
 WIN = lambda width, step: f"win AS (SELECT p AS pos, substr(s, (p + 1)::int, {width}) AS kmer FROM (SELECT s, n, unnest(range(0, n - {width} + 1, {step})) AS p FROM ref))"
+#: All windows of a few bases, a segment at a time with the one after it.
+NEXT = lambda width: f"nx AS (SELECT p_partkey * 64 + i - 1 AS pos, substr(a||b, i::int, {width}) AS k FROM (SELECT p_partkey, a, b, unnest(range(1, 65)) AS i FROM pr) WHERE i <= {65 - width} OR p_partkey < (SELECT max(p_partkey) FROM part))"
 READS = f"""rd AS (SELECT rid, CASE WHEN rid % 2 = 1 THEN {RC('w2')} ELSE w2 END AS bases FROM (
  SELECT rid, substr(w, 1, p - 1)||translate(substr(w, p, 1), 'ACGT', 'CATG')||substr(w, p + 1) AS w2 FROM (
   SELECT rid, substr(s, (place + 1)::int, 100) AS w, (rid % 100 + 1)::int AS p FROM (SELECT o_orderkey AS rid, (o_orderkey * 37) % (n - 100) AS place, s FROM orders, ref))))"""
@@ -39,12 +43,14 @@ EXT = f"""ex AS (SELECT ca.rid, off, rn, mdir, mpos, CASE WHEN mdir = 1 THEN {RC
 BEST = """be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN mm <= 2 THEN 0 ELSE 1 END, CASE WHEN mm <= 2 THEN 0 ELSE mm END, off, rn) AS r FROM (SELECT *, hamming(own, w) AS mm FROM ex)) WHERE r = 1)"""
 MAP = "WITH " + ", ".join([REF, WIN(31, 32), READS, PROBES, POST, CAND, EXT, BEST])
 XOR = lambda a, b: f"array_to_string(list_transform(range(1, length({a}) + 1), lambda i: xor(instr('ACTG', substr({a}, i::int, 1)) - 1, instr('ACTG', substr({b}, i::int, 1)) - 1)), '')"
-COVER = f"{MAP}, mp AS (SELECT mpos, 100 AS len FROM be WHERE rid % 3 = 0 AND mpos > 0)"
+COVER = f"{MAP}, mp AS (SELECT mpos, 100 AS len FROM be WHERE mpos > 0)"
 BYTES = "by_ AS (SELECT DISTINCT unnest(range(mpos // 4, (mpos + len - 1) // 4 + 1)) AS byte FROM mp)"
 LCP = lambda a, b: f"CASE WHEN least(length({a}), length({b})) = 0 THEN 0 ELSE len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, 1, i::int) = substr({b}, 1, i::int))) END"
 AFFIX = f"""d0 AS (SELECT p_partkey, p_brand||' '||p_type||' '||p_name AS t, p_partkey // 500 AS g FROM part), d1 AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY g ORDER BY p_partkey), '') AS prev FROM d0),
  d2 AS (SELECT *, {LCP('t', 'prev')} AS prefix FROM d1), d3 AS (SELECT *, reverse(substr(t, (prefix + 1)::int)) AS a, reverse(substr(prev, (prefix + 1)::int)) AS b FROM d2), d4 AS (SELECT *, {LCP('a', 'b')} AS suffix FROM d3),
  d5 AS (SELECT *, substr(t, (prefix + 1)::int, (length(t) - prefix - suffix)::int) AS middle FROM d4)"""
+#: CRC-32 of each half byte, by the polynomial.
+CRC = "[" + ", ".join(f"{reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), i)}::bigint" for i in range(16)) + "]"
 QUANT = "[" + ", ".join(str(quant(i)) for i in range(128)) + "]"
 
 
@@ -106,22 +112,28 @@ SQL = {
     "q_block_md5": "SELECT doc_id, md5(text) AS md5, strlen(text) AS n FROM documents",
     "q_verify_md5": "SELECT doc_id, (doc_id % 13 = 0)::int AS damaged, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE length(text) END AS n FROM documents",
     "q_coder_choice": "SELECT doc_id, strlen(text) AS n, CASE WHEN strlen(text) > 32 AND strlen(text) < 2146435072 THEN 'fc' ELSE 'bwt' END AS coder FROM documents",
+    "q_crc": f"""WITH h AS (SELECT doc_id, text, string_split(hex(encode(text)), '') AS h FROM documents),
+     n AS (SELECT doc_id, text, list_transform(range(1, len(h) + 1), lambda i: (instr('0123456789ABCDEF', h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1)::bigint) AS n FROM h WHERE text <> '')
+     SELECT doc_id, md5(text) AS md5, xor(list_reduce(list_prepend(4294967295::bigint, n), lambda c, x: xor(c >> 4, {CRC}[(xor(c, x) & 15) + 1])), 4294967295) AS crc FROM n UNION ALL SELECT doc_id, md5(text), 0 FROM documents WHERE text = ''""",
+    "q_archive_roundtrip": _fq(
+        "SELECT block_id, n_rec, n_bytes, md5, md5 AS back, 1 AS ok FROM (SELECT block_id, count(*) AS n_rec, sum(strlen(t))::bigint AS n_bytes, md5(string_agg(md5(t), '' ORDER BY rec)) AS md5 FROM (SELECT block_id, rec, id||chr(10)||bases||chr(10)||comment||chr(10)||qual||chr(10) AS t FROM fq) GROUP BY 1)"
+    ),
     "q_ratio": "SELECT lang, sum(a)::bigint AS read, sum(b)::bigint AS written, round(sum(b) * 100.0 / sum(a), 6)::double AS ratio FROM (SELECT lang, strlen(text) AS a, (list_sum(list_transform(list_distinct(l), lambda x: length(x))) + len(list_distinct(l)) - 1) AS b FROM (SELECT lang, text, string_split(text, chr(10)) AS l FROM documents)) GROUP BY 1",
     "q_sample_fingerprint": "SELECT doc_id, substr(md5(CASE WHEN q < 1024 THEN text ELSE substr(text, 1, 1024)||substr(text, q + 1, 1024)||substr(text, 2 * q + 1, 1024)||substr(text, 3 * q + 1, 1024) END||':'||length(text)), 1, 8) AS fp FROM (SELECT doc_id, text, length(text) // 4 AS q FROM documents)",
     "q_skip_damaged": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE doc_id % 13 <> 0",
-    "q_pack2bit": f"""WITH {PAIR} SELECT p_partkey, {PACK('substr(a, 1, 31)')} AS packed, array_to_string(list_transform(range(0, 16), lambda i: printf('%02x', list_reduce(list_transform([1, 2, 3, 4], lambda j: (instr('ACTG', substr(a, (i * 4 + j)::int, 1)) - 1)::bigint), lambda p, q: p * 4 + q))), '') AS bytes FROM pr""",
+    "q_pack2bit": f"""WITH {PAIR} SELECT p_partkey, {' || \',\' || '.join(f"({PACK(f'substr(a, {i}, 31)')})" for i in (1, 32, 63))} AS packed, array_to_string(list_transform(range(0, 16), lambda i: printf('%02x', list_reduce(list_transform([1, 2, 3, 4], lambda j: (instr('ACTG', substr(a, (i * 4 + j)::int, 1)) - 1)::bigint), lambda p, q: p * 4 + q))), '') AS bytes FROM pr""",
     "q_revcomp": f"WITH {PAIR} SELECT p_partkey, {RC('a')} AS rc FROM pr",
     "q_hamming": f"WITH {PAIR} SELECT p_partkey, hamming(a, b) AS mm FROM pr",
-    "q_packed_hamming": f"WITH {PAIR}, x AS (SELECT p_partkey, xor({PACK('substr(a, 1, 31)')}, {PACK('substr(b, 1, 31)')}) AS x FROM pr) SELECT p_partkey, bit_count((x | (x >> 1)) & {FIELDS})::bigint AS mm FROM x",
+    "q_packed_hamming": f"WITH {PAIR}, x AS (SELECT p_partkey, {', '.join(f"xor({PACK(f'substr(a, {i}, 31)')}, {PACK(f'substr(b, {i}, 31)')}) AS x{i}" for i in (1, 32, 63))} FROM pr) SELECT p_partkey, ({' + '.join(f'bit_count((x{i} | (x{i} >> 1)) & {FIELDS})' for i in (1, 32, 63))})::bigint AS mm FROM x",
     "q_diff_keep": f"WITH {PAIR} SELECT p_partkey, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN substr(a, i::int, 1) = substr(b, i::int, 1) THEN 0 ELSE instr('ACTG', substr(a, i::int, 1)) - 1 END), '') AS diff FROM pr",
     "q_diff_xor": f"WITH {PAIR} SELECT p_partkey, {XOR('a', 'b')} AS diff FROM pr",
     "q_ref_substr": f"WITH {REF}, {WIN(100, 64)} SELECT pos, kmer AS seq, {CODES('kmer')} AS codes FROM win",
     "q_seed_extract": f"WITH {REF}, {WIN(31, 32)} SELECT pos, kmer FROM win",
     "q_canonical_kmer": f"WITH {REF}, {WIN(31, 32)} SELECT pos, {CANON('kmer')} AS kmer, {FLIP('kmer')} AS dir FROM win",
-    "q_kmer_count": f"WITH {PAIR} SELECT {PACK('k')} AS key, n FROM (SELECT k, count(*) AS n FROM (SELECT substr(a, i::int, 8) AS k FROM (SELECT a, unnest(range(1, 58)) AS i FROM pr)) GROUP BY 1)",
-    "q_seed_topk": f"""WITH {PAIR}, s AS (SELECT pos, {CANON('k', 3)} AS c, {FLIP('k', 3)} AS dir FROM (SELECT p_partkey * 64 + i - 1 AS pos, substr(a, i::int, 6) AS k FROM (SELECT p_partkey, a, unnest(range(1, 60)) AS i FROM pr))),
-     r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY dir, pos) AS rn FROM s) SELECT {PACK('c')} AS key, pos, dir, rn FROM r WHERE rn <= 16""",
-    "q_ref_match": f"WITH {PAIR} SELECT sum(length(a))::bigint AS len, count(*) AS segments, sum(('0x'||substr(md5(a), 1, 8))::bigint)::bigint AS sum, (sum(length(a)) = count(*) * 64)::int AS ok FROM pr",
+    "q_kmer_count": f"WITH {PAIR}, {NEXT(8)} SELECT {PACK('k')} AS key, count(*) AS n FROM nx GROUP BY k",
+    "q_seed_topk": f"""WITH {PAIR}, {NEXT(6)}, s AS (SELECT pos, {CANON('k', 3)} AS c, {FLIP('k', 3)} AS dir FROM nx), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY dir, pos) AS rn FROM s) SELECT {PACK('c')} AS key, pos, dir, rn FROM r WHERE rn <= 16""",
+    "q_ref_match": f"""WITH {REF}, v AS (SELECT 'same' AS name, s FROM ref UNION ALL SELECT 'short', substr(s, 1, length(s) - 64) FROM ref UNION ALL SELECT 'other', overlay FROM (SELECT substr(s, 1, 70)||CASE WHEN substr(s, 71, 1) = 'A' THEN 'C' ELSE 'A' END||substr(s, 72) AS overlay FROM ref))
+     SELECT name, length(v.s) AS len, CASE WHEN length(v.s) <> length(ref.s) THEN 'length' WHEN v.s <> ref.s THEN 'content' ELSE 'same' END AS verdict FROM v, ref""",
     "q_probe_kmers": f"WITH {REF}, {READS}, {PROBES} SELECT rid, count(*) AS n, sum(flip)::bigint AS flips, sum({PACK('key')} % 1000003)::bigint AS sum FROM pb GROUP BY 1",
     "q_seed_join": f"WITH {REF}, {WIN(31, 32)}, {READS}, {PROBES}, {POST}, {CAND} SELECT rid, off, rn, mpos, mdir FROM ca",
     "q_extend_score": f"WITH {REF}, {WIN(31, 32)}, {READS}, {PROBES}, {POST}, {CAND}, {EXT} SELECT rid, mpos, mdir, count(*) AS hits, min(hamming(own, w)) AS mm FROM ex GROUP BY 1, 2, 3",
