@@ -10,6 +10,9 @@ from readlake.llm import op1_quality, op4_mix, op8_pack, op9_simhash, op10_repea
 #: SQL can't express the near-duplicate, suffix and tokenizer stages.
 ORACLE_SQL = None
 
+#: Bytes of a passage: one of 50 words is longer, and prose doesn't repeat so much by chance.
+PASSAGE = 200
+
 _SCRATCH: list[str] = []
 
 
@@ -41,8 +44,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages of 400 bytes and more that are there elsewhere too."""
-    return op10_repeats.cut(docs)
+    """The documents without the passages of ``PASSAGE`` bytes and more that are there elsewhere too."""
+    return op10_repeats.cut(docs, length=PASSAGE)
 
 
 @_stage

@@ -1,19 +1,22 @@
 """Token-id files with a shared zstandard dictionary.
 
-Documents are range-partitioned by id and sorted. Each partition encodes its documents, serializes the ids as
-little-endian unsigned 32-bit integers and compresses every document on its own with one shared dictionary, which was
-trained on serialized id arrays. Frames are gathered into segments. A file of the format is a Parquet table of
-segments, so that Spark's committer, retries and any store that Spark writes to serve it; a segment has
+Documents are range-partitioned by id (and the beginning of the text, so that an id that very many rows share is more than one
+range) and sorted. Each partition encodes its documents, serializes the ids as little-endian unsigned 32-bit integers and compresses every document
+on its own with one shared dictionary, which was trained on serialized id arrays. A file set has three Parquet tables, so that Spark's
+committer, retries and any store that Spark writes to serve it:
 
-    part, seg      place of the segment in the order of the ids
-    doc_ids        ids of its documents
-    n_ids          ids of each document, with the end id
-    offsets        where each document's frame begins in ``payload``, and its end: a short document is had by one slice
-    payload        the frames
-    dict_hash      SHA-256 of the dictionary that the frames need ('' for none)
+    segments    part, seg    place of the segment in the order of the ids
+                doc_ids, n_ids, offsets    ids, counts of ids and where each document's frame begins in the payload, and its end
+                payload      the frames, of about ``SEGMENT`` bytes of ids
+                dict_hash    SHA-256 of the dictionary that the frames need ('' for none)
+    index       doc_id, part, seg, offset, length, n_ids    a row for each document, in order
+    dictionary  one row
 
-and the dictionary is a table of one row beside it. Only the dictionary is fitted on a bounded sample (``SAMPLE``
-documents by least hash of the id): it bears on size alone, never on what is read back.
+To read one document, its row of the index is found by the row groups' and pages' least and greatest ids, then its segment alone by part
+and number: a row group of segments is ``GROUP`` bytes, so a short document costs no more than that, whatever the size of the corpus.
+
+Only the dictionary is fitted on a bounded sample (``SAMPLE`` documents by least hash of the id, ``SAMPLE_BYTES`` of each): it bears on
+size alone, never on what is read back. It is encoded in tasks.
 
 Edge cases: null text is an empty document, which still has its end id; a null id comes first; repeated ids stand in
 the order of their texts; too few documents for a dictionary: none is used; an empty table gives no segments and no rows.
@@ -32,8 +35,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents that the dictionary is trained on at most, its bytes, compression level; bytes of a segment before compression.
-SAMPLE, DICT_BYTES, LEVEL, SEGMENT = 2000, 64 << 10, 3, 8 << 20
+#: Documents that the dictionary is trained on at most, bytes of ids of each; its bytes; compression level.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES, LEVEL = 2000, 16 << 10, 64 << 10, 3
+#: Bytes of a segment before compression, of a row group of segments, and of a page.
+SEGMENT, GROUP, PAGE = 1 << 20, 4 << 20, 64 << 10
+#: Characters of a text by which rows of one id are dealt out.
+HEAD = 32
 END_ID = 1
 SCHEMA = "part int, seg int, doc_ids array<bigint>, n_ids array<int>, offsets array<int>, payload binary, dict_hash string, n_docs bigint, n_tokens bigint"
 END = END_ID.to_bytes(4, "little")
@@ -49,9 +56,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> b
     least = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes alone are sorted
     if least is None:
         return b""
-    rows = docs.where(h <= least).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), h.alias("h")).where(F.length("t") > 0).orderBy("h", "t").limit(SAMPLE).select("t").collect()
-    enc = encoder(tokenizer_path)
-    samples = [enc.encode(r["t"]) + END for r in rows]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(enc.encode(t.as_py()) + END)[:SAMPLE_BYTES] for t in b.column(1)], pa.binary())], names=["h", "ids"])
+
+    rows = docs.where(h <= least).select(h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") > 0)
+    got = rows.mapInArrow(encode, "h bigint, ids binary").orderBy("h", "ids").limit(SAMPLE).select("ids").collect()  # at most SAMPLE * SAMPLE_BYTES
+    samples = [bytes(r["ids"]) for r in got]
     if len(samples) < 20:
         return b""
     try:
@@ -61,7 +73,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> b
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the files of ``docs`` under ``path``: ``segments`` and ``dictionary``."""
+    """Write the files of ``docs`` under ``path``: ``segments``, ``index`` and ``dictionary``."""
     spark = docs.sparkSession
     words = train(docs, id_col, text_col, tokenizer_path)
     digest = hashlib.sha256(words).hexdigest() if words else ""
@@ -100,8 +112,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
             yield row()
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.repartitionByRange(C.parts(spark), "id").sortWithinPartitions("id", "text")
-    d.mapInArrow(encode, SCHEMA).write.parquet(f"{path}/segments")
+    d = d.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange(C.parts(spark), "id", "head").sortWithinPartitions("id", "text").drop("head")
+    d.mapInArrow(encode, SCHEMA).write.option("parquet.block.size", GROUP).option("parquet.page.size", PAGE).parquet(f"{path}/segments")
+    seg = spark.read.schema(SCHEMA).parquet(f"{path}/segments").select("part", "seg", "doc_ids", "n_ids", "offsets")
+    each = F.arrays_zip("doc_ids", "n_ids", F.slice("offsets", F.lit(1), F.size("doc_ids")).alias("lo"), F.slice("offsets", F.lit(2), F.size("doc_ids")).alias("hi"))
+    row = seg.select("part", "seg", F.explode(each).alias("z"))
+    row.select(F.col("z.doc_ids").alias("doc_id"), "part", "seg", F.col("z.lo").alias("offset"), (F.col("z.hi") - F.col("z.lo")).alias("length"), F.col("z.n_ids").alias("n_ids")).write.option("parquet.page.size", PAGE).parquet(f"{path}/index")
     spark.createDataFrame([(digest, bytearray(words))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
@@ -148,15 +164,20 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document (of each, if its id is repeated) by its segments' offset index, without reading others' frames."""
+    """The ids of one document (of each, if its id is repeated): its rows of the index by pushed id, then the segments that they name by
+    pushed part and number; of other segments nothing but statistics is read."""
     import zstandard
 
     words = dictionary(spark, path)
     pack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdDecompressor()
-    hit = spark.read.parquet(f"{path}/segments").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
-    at = hit.select("payload", "n_ids", F.arrays_zip("doc_ids", F.slice("offsets", F.lit(1), F.size("doc_ids")).alias("lo"), F.slice("offsets", F.lit(2), F.size("doc_ids")).alias("hi")).alias("z")).select("payload", F.explode("z").alias("z"))
-    rows = at.where(F.col("z")[F.lit("doc_ids")] == doc_id).select(F.expr("substring(payload, z.lo + 1, z.hi - z.lo)").alias("frame")).collect()
-    return [list(memoryview(pack.decompress(bytes(r["frame"]))).cast("I")) for r in rows]
+    found = spark.read.parquet(f"{path}/index").where(F.col("doc_id") == F.lit(doc_id).cast("long")).orderBy("part", "seg", "offset").toLocalIterator()
+    out, at, payload = [], None, b""
+    for r in found:
+        if at != (r["part"], r["seg"]):
+            at = r["part"], r["seg"]
+            payload = bytes(spark.read.parquet(f"{path}/segments").where((F.col("part") == at[0]) & (F.col("seg") == at[1])).select("payload").first()["payload"])
+        out.append(list(memoryview(pack.decompress(payload[r["offset"] : r["offset"] + r["length"]])).cast("I")))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Bounded-space online best-fit packing.
 
-Every partition packs its own documents as they come, with at most ``OPEN`` open bins; pieces of up to ``WAIT`` tokens wait
-together and go in largest first, which leaves few gaps. Bins are kept by free space, and
-a bitset has bit f set while any open bin has f tokens free: the tightest bin that still takes a piece is the lowest set
-bit at or above its length. A full bin closes; where one more than ``OPEN`` would be open, the fullest closes first.
+Every partition packs its own documents as they come, with at most ``OPEN`` open bins: each piece is put, for good, as soon as it is
+read. Bins are kept by free space, and a bitset has bit f set while any open bin has f tokens free: the tightest bin that still takes a piece
+is the lowest set bit at or above its length. A full bin closes; where one more than ``OPEN`` would be open, the fullest closes first.
 A document longer than a sequence is cut so that all its pieces but the first fill a sequence each.
 
 State is the bitset and the free lists, whatever the number of documents, and nothing is shuffled; partitions share no
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, OPEN, END_ID = 1024, 2048, 2
-#: Tokens that wait for each other, about.
-WAIT = 2_000_000
+#: Pieces of a batch of results.
+ROWS = 1 << 14
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
@@ -84,28 +83,24 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         out: list[list] = [[] for _ in names]
         held: list[bytes] = []
 
-        def packed() -> pa.RecordBatch:
-            put = {i: bins.put(out[3][i]) for i in sorted(range(len(out[3])), key=out[3].__getitem__, reverse=True)}
-            out[5], out[6] = [put[i][0] for i in range(len(put))], [put[i][1] for i in range(len(put))]
+        def batch() -> pa.RecordBatch:
             cols = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(cols + [pa.array(held, pa.binary())] * ids, names=names + ["ids"] * ids)
 
-        waiting = 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = enc.encode(text.as_py()) + end
                 for k, (start, n) in enumerate(cut(len(got) // 4)):
                     part = got[4 * start : 4 * (start + n)]
-                    for col, v in zip(out, (doc, k, start, n, zlib.crc32(part)), strict=False):
+                    for col, v in zip(out, (doc, k, start, n, zlib.crc32(part), *bins.put(n)), strict=True):
                         col.append(v)
                     if ids:
                         held.append(part)
-                waiting += len(got) // 4
-                if waiting >= WAIT:
-                    yield packed()
-                    out, held, waiting = [[] for _ in names], [], 0
-        if waiting:
-            yield packed()
+                if len(out[0]) >= ROWS:
+                    yield batch()
+                    out, held = [[] for _ in names], []
+        if out[0]:
+            yield batch()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return d.mapInArrow(run, SCHEMA + ", ids binary" * ids)

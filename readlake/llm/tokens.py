@@ -4,7 +4,8 @@ The tokenizers library is the measure; its own encoder keeps offsets and makes o
 tokenizer file is of one of two known kinds, its merges run in a leaner engine that gives the same ids (the tests hold both against
 each other): byte-level BPE with the usual split, and word BPE with an end-of-word mark. The mark becomes byte 0xFF, which no
 UTF-8 text holds: a word's last byte and the mark merge first, as the file's ids 256 to 511 are those pairs. Texts with
-characters whose case or composition is more than a table look-up go to the library itself, as do files of any other kind.
+characters whose case or composition is more than a table look-up go to the library itself, as do texts that may hold one of the file's
+added tokens (which the library finds in texts and gives their own ids), and files of any other kind.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ class Encoder:
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.encode = {"byte": self._byte, "word": self._word}.get(self._kind(spec), self._library)
+        # How added tokens begin, up to the first letter: a text without any of these holds none of them, whatever is done to its case.
+        self.marks = {re.match(r"[^\w\s]*", x["content"])[0] for x in spec.get("added_tokens", [])}
+        kind = "other" if "" in self.marks else self._kind(spec)
+        self.encode = {"byte": self._byte, "word": self._word}.get(kind, self._library)
 
     def _kind(self, spec: dict) -> str:
         import tiktoken
@@ -77,20 +81,23 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        return t
+        return Tokenizer.from_file(self.path)
+
+    def _marked(self, text: str) -> bool:
+        return any(m in text for m in self.marks)
 
     def _library(self, text: str | None) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
     def _byte(self, text: str | None) -> bytes:
-        return array("I", self.engine.encode_ordinary(text)).tobytes() if text else b""
+        if not text:
+            return b""
+        return self._library(text) if self._marked(text) else array("I", self.engine.encode_ordinary(text)).tobytes()
 
     def _word(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        if self._marked(text) or ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return self._library(text)
         if len(self.seen) > MEMORY:
             self.seen.clear()

@@ -33,7 +33,7 @@ def texts() -> list[tuple]:
     near[50] = "changed"
     out = [None, "", " \n\t ", "one", "Two words", "a b c", "A B C", base, base, base, " ".join(near), base.upper(), "same\nsame\nsame\n\nother", "# $ % & | < > * # #", "\x1c odd \x0b gap\r\n", "日本語 の テキスト 😀 Σ İ", "aaaa" * 400, "ab" * 700]
     out += [f"{prose(30)} {passage} {prose(40)}" for _ in range(4)] + [prose(5000), f"{prose(60)}\n{prose(60)}\n"] + [prose(r.randint(20, 120)) for _ in range(14)]
-    out += ["x y z " * 60, "w " * 120, prose(3) + " " + "tail " * 3]
+    out += ["x y z " * 60, "w " * 120, prose(3) + " " + "tail " * 3, "a<|endoftext|>b <|StartOfText|> <|endoftext|", "<|endoftext|>"]
     rows = [(i, t) for i, t in enumerate(out)]
     rows += [rows[30], (31, "another text of an id that is there before"), (None, prose(80))]
     return [(i, t, [None, "en", "de"][k % 3], [None, "src0", "src0", "src1", "src2"][k % 5], len(t or ""), *(["x"] * 10)) for k, (i, t) in enumerate(rows)]
@@ -135,11 +135,29 @@ def test_encoders_agree_with_the_library(name):
 def ids_of(name: str, text: str | None, end: int) -> list[int]:
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(public_tokenizers.path(name))  # as it is: what it makes of special tokens in a text counts
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
+def test_special_tokens_have_their_ids():
+    """Held against the ids that the vocabulary files give them."""
+    from readlake.llm.tokens import Encoder
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(public_tokenizers.path(name))
+        for content, i in ((x.content, k) for k, x in e.tokenizer.get_added_tokens_decoder().items()):
+            assert list(memoryview(e.encode(content)).cast("I")) == [i]
+
+
+def test_a_hot_id_is_several_ranges(spark):
+    rows = [(7, f"{i:04d} text of one id") for i in range(400)] + [(i, "other") for i in range(100)]
+    path = C.new_path(spark, "t")
+    op2_token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), path, public_tokenizers.path("word_bpe_49k.json"))
+    assert spark.read.parquet(f"{path}/index").where("doc_id = 7").select("part").distinct().count() > 1
+    got = op2_token_files.read(spark, path).orderBy("start").collect()
+    assert [x["doc_id"] for x in got] == sorted(i for i, _ in rows)
+
+
 def crc(ids: list[int]) -> int:
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
@@ -157,6 +175,9 @@ def test_token_files(spark, docs, empty):
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in got)
     assert op2_token_files.dictionary(spark, path)
     assert op2_token_files.fetch(spark, path, 7) == [ids_of("word_bpe_49k.json", ROWS[7][1], 1)]
+    assert op2_token_files.fetch(spark, path, 31) == [ids_of("word_bpe_49k.json", t, 1) for t in sorted(t or "" for i, t, *_ in ROWS if i == 31)]
+    assert op2_token_files.fetch(spark, path, 999) == []
+    assert spark.read.parquet(f"{path}/index").count() == len(ROWS)
     path = C.new_path(spark, "t")
     op2_token_files.write(empty, path, public_tokenizers.path("word_bpe_49k.json"))
     assert op2_token_files.read(spark, path).count() == 0
