@@ -323,18 +323,48 @@ def test_neighbours(spark):
     assert op6_ann.search(df.limit(0)).count() == 0
 
 
-def test_reshard(spark, docs, empty):
-    path = C.new_path(spark, "s")
-    op7_reshard.write(docs, path)
-    got = op7_reshard.read(spark, path).collect()
-    assert bag((x["doc_id"], x["text"]) for x in got) == bag((i, t) for i, t, *_ in ROWS)
-    by = collections.defaultdict(list)
+def check_layout(got, rows):
+    """The query's columns against brute force: whole, gapless, of the stated sizes."""
+    crc32 = lambda t: zlib.crc32((t or "").encode())
+    assert bag((x["doc_id"], x["size"], x["text_crc32"]) for x in got) == bag((i, len((t or "").encode()) + 8, crc32(t)) for i, t in rows)
+    by, size = collections.defaultdict(list), collections.Counter()
     for x in got:
         by[x["shard"]].append(x["slot"])
+        size[x["shard"]] += x["size"]
+        assert x["law"] == "bytes" and x["grown_shard"] is None
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(24))
+    return size
+
+
+def test_reshard(spark, docs, empty):
+    path = C.new_path(spark, "s")
+    op7_reshard.write(docs, f"{path}/old", shards=16)
+    move = op7_reshard.reshard(spark, f"{path}/old", f"{path}/new")
+    rows = op7_reshard.read(spark, move)
+    assert bag((x["doc_id"], x["text"]) for x in rows.collect()) == bag((i, t) for i, t, *_ in ROWS)
+    check_layout(op7_reshard.digest(rows).collect(), [(i, t) for i, t, *_ in ROWS])
+    path = C.new_path(spark, "s")
+    op7_reshard.write(empty, f"{path}/old", shards=16)
+    assert op7_reshard.read(spark, op7_reshard.reshard(spark, f"{path}/old", f"{path}/new")).count() == 0
+
+
+def test_reshard_with_a_hot_and_many_null_ids(spark):
+    r = random.Random(12)
+    rows = [(7 if i % 10 < 3 else None if i % 10 < 5 else i, "".join(r.choice("abcdé ") for _ in range(r.randint(0, 400)))) for i in range(6000)]
     path = C.new_path(spark, "s")
-    op7_reshard.write(empty, path)
-    assert op7_reshard.read(spark, path).count() == 0
+    op7_reshard.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), f"{path}/old", shards=16)
+    move = op7_reshard.reshard(spark, f"{path}/old", f"{path}/new")
+    size = check_layout(op7_reshard.digest(op7_reshard.read(spark, move)).collect(), rows)
+    assert len(size) == 24 and max(size.values()) - min(size.values()) <= 0.03 * max(size.values())
+    # About a third has to move; what stays lies in files that nobody touched, but for one a shard.
+    assert move.least <= move.moved <= move.least + 0.01 * move.total and move.moved <= move.rewritten <= move.moved + move.total / op7_reshard.FILES
+    assert spark.read.parquet(move.manifest).where("not new").count() > 0
+
+
+def test_reshard_query(spark):
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    size = check_layout(queries()["op7_reshard"](spark, SF).collect(), rows)
+    assert max(size.values()) - min(size.values()) <= 2 * max(len((t or "").encode()) + 8 for _, t in rows)
 
 
 def test_flow_moves_the_fewest_bytes():
