@@ -2,18 +2,23 @@
 
 Targets: every source has a weight and the wanted words are shared by weight; no source may give more than ``repeat``
 times its size, and what is above that goes to the others by weight (water filling in closed form over the sources).
-Blocks of equally many words then go to sources by highest quotients t/(2k+1): with block size B the quotients of at
-least B/2 win, so a source has floor(t/B + 1/2) blocks, and the first j of M shards together have floor(t*j/(M*B) + 1/2):
-each a Sainte-Laguë apportionment, and their differences are the integer quotas per shard. A source's documents stand
-in a line in seeded order, closed to a ring, and its blocks are consecutive block-sized runs of the ring from a seeded
-start, so a source that gives more than it has goes round again and no document is taken more than ``repeat`` times.
+
+Blocks of equally many words then go to sources by highest quotients: of all quotients target / (2k + 1), with k from 0 below the number of
+blocks that the source can give, as many as the house has seats win a block each, the greatest first. The house is the wanted words in blocks,
+about ``BLOCKS`` of them at any size of the input. Seats are house-monotone: the first h quotients are the apportionment of h
+blocks. So the seats in order are dealt to the shards in runs of equal length, which gives integer quotas per shard, and the first j shards
+together always hold an apportionment.
+
+Then blocks are chosen. A source's documents stand in a line in seeded order, closed to a ring that is gone round ``repeat`` times from a
+seeded start, and cut into blocks. Of these, in seeded order (those of the first round first), as many as the source has seats are taken, the
+k-th for the shard of its k-th seat. No word is in more than ``repeat`` blocks, so no document is taken more often.
 
 Places in the line are prefix sums, by (source, hash range) and within it, so a source with a third of all rows is
-spread over ``RANGES`` windows.
+spread over ``RANGES`` windows. Which blocks are taken is an array a source, of at most ``repeat`` / ``share`` * 2 * ``BLOCKS`` numbers altogether.
 
 Edge cases: null text has no words and gives none; a null source is a source of its own, after all others; an empty
-table gives no rows. Rows that agree in id and size are interchangeable: the multiset of results is fixed. A document
-of no words is taken 0 times. Extra columns are ignored by ``plan`` and kept by ``emit``.
+table gives no rows. Rows that agree in id and text are interchangeable: the multiset of results is fixed. A document
+of no words is taken 0 times. Extra columns are ignored by ``plan`` and kept by ``emit``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from . import common as C
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEAT, SEED = 1.5, 2, "mix-1"
-#: Blocks that all sources have together, about; a block is at least one word. Hash ranges of a source.
-BLOCKS, SHARDS, RANGES = 1 << 17, 16, 4096
+#: Blocks that all sources have together, at least, if there are words for them (and less than twice as many); hash ranges of a source.
+BLOCKS, SHARDS, RANGES = 1 << 14, 16, 4096
 
 
 def seeded(id_col: str, seed: str) -> Column:
@@ -34,7 +39,7 @@ def seeded(id_col: str, seed: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
-    """``sizes`` (source, source_size) with weight, target and the quota in blocks. As many rows as there are sources."""
+    """``sizes`` (source, source_size) with weight, target, words of a block, the blocks it can give, and the house. A row a source."""
     w = Window.partitionBy(F.lit(0))
     pos = F.row_number().over(w.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (pos % len(weights)) + 1)
@@ -47,80 +52,114 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int
     s = s.withColumn("rest", F.col("want") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest_w", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing)))
     level = F.min(F.when(F.col("rest") / F.col("rest_w") <= F.col("fill"), F.struct("fill", (F.col("rest") / F.col("rest_w")).alias("level")))).over(w)["level"]
     t = s.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * level)))
-    block = F.greatest(F.lit(1), F.floor(F.col("want") / F.lit(BLOCKS))).cast("long")
-    t = t.withColumn("block", block)
-    quota = F.least(F.floor(F.col("target") / F.col("block") + 0.5), F.floor(F.col("cap") / F.col("block"))).cast("long")
-    return t.select("source", "source_size", "weight", "target", "block", quota.alias("quota"))
+    t = t.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("want") / F.lit(BLOCKS))).cast("long"))
+    can, house = F.floor(F.col("cap") / F.col("block")).cast("long"), F.floor(F.col("want") / F.col("block") + 0.5).cast("long")
+    return t.select("source", "source_size", "weight", "target", "block", can.alias("can"), house.alias("house"))
+
+
+def seats(t: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``source, k, shard``: a row for each block that a source has, by highest quotients. As many rows as the house has seats, at most."""
+    q = t.where(F.col("can") > 0).select("source", "house", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("can") - 1)).alias("k"))
+    q = q.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
+    # One window over all quotients: less than 2 * repeat / share * BLOCKS of them and one a source, however large the input is.
+    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "k"))
+    q = q.withColumn("seat", r.cast("long")).where(F.col("seat") <= F.col("house"))
+    return q.select("source", "k", F.floor((F.col("seat") - 1) * shards / F.col("house")).cast("int").alias("shard"))
+
+
+def chosen(t: DataFrame, won: DataFrame, seed: str) -> DataFrame:
+    """``source, i, shard``: the blocks of each source's ring in order, with the shard that takes them, or null."""
+    b = t.where(F.col("can") > 0).select("source", F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("block"))).alias("round"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("can") - 1)).alias("i"))
+    h = F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("")), F.lit("#"), F.col("i").cast("string")))
+    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.floor(F.col("i") / F.col("round")), h, "i"))
+    b = b.withColumn("turn", (turn - 1).cast("long"))
+    return b.alias("b").join(won.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.turn") == F.col("s.k")), "left").select("b.source", "i", "shard")
 
 
 def shard_quotas(t: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Blocks of each source in each shard; the first j shards together hold a Sainte-Laguë apportionment."""
-    upto = lambda j: F.least(F.col("quota"), F.floor(F.col("target") * j / (F.col("block") * shards) + 0.5).cast("long"))
-    last = F.col("shard") == shards - 1
-    out = t.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return out.select("source", "shard", (F.when(last, F.col("quota")).otherwise(upto(F.col("shard") + 1)) - upto(F.col("shard"))).alias("blocks"))
+    """``source, shard, blocks``."""
+    return seats(t, shards).groupBy("source", "shard").agg(F.count("*").alias("blocks"))
 
 
-def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """doc id, source, size and seeded key of each document, written once."""
-    return C.materialize(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), C.n_words(F.col(text_col)).alias("size"), seeded(id_col, seed).alias("h")).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "mix")
+def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """Id, source, size and seeded key of each document."""
+    text = F.col(text_col)
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), C.n_words(text).alias("size"), seeded(id_col, seed).alias("h"), F.xxhash64(text).alias("x"), *more)
+    return d.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
 
 
-def ring(rows: DataFrame, id_col: str, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Each range of each source: where it begins in the source's line; with the source's target, quota and start."""
-    by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    sums = C.materialize(by_range, "mix-ranges")  # at most RANGES rows a source
+def rings(sums: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Where each range of a source begins in its line, and each source's target, start of its ring and blocks taken before each block."""
     t = C.materialize(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size"))), "mix-targets")
     base = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = sums.select("source", "range", base.alias("base"))
     turn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long")
-    heads = t.withColumn("first", F.when(F.col("source_size") > 0, turn % F.col("source_size")).otherwise(F.lit(0)))
-    out = at.alias("a").join(heads.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source"))).select("a.source", "range", "base", "source_size", "target", "block", "quota", "first")
-    return out, t
+    heads = t.select("source", "source_size", "target", "block", "can", F.when(F.col("source_size") > 0, turn % F.col("source_size")).otherwise(F.lit(0).cast("long")).alias("first"))
+    upto = F.sum(F.col("shard").isNotNull().cast("int")).over(Window.partitionBy("source").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    got = chosen(t, seats(t), seed).select("source", "i", upto.alias("n")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", F.col("n").cast("int").alias("n")))).alias("z"))
+    got = got.select(F.col("source").alias("s"), F.concat(F.array(F.lit(0)), F.transform("z", lambda z: z["n"])).alias("taken_before"))
+    ring = heads.join(got, heads["source"].eqNullSafe(got["s"]), "left").drop("s").withColumn("taken_before", F.coalesce("taken_before", F.array(F.lit(0))))
+    return at, C.materialize(ring, "mix-rings")
 
 
-def taken_of() -> Column:
-    """Words of the run [first, first + quota * block) on the ring that fall on [lo, lo + size)."""
-    run = F.col("quota") * F.col("block")
-    whole = F.when(F.col("source_size") > 0, F.floor(run / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return whole * F.col("size") + _overlap(run - whole * F.col("source_size"))
+def words_before(x: Column) -> Column:
+    """Taken words before place ``x`` of a ring that is gone round ``REPEAT`` times."""
+    i = F.least(F.floor(x / F.col("block")), F.col("can")).cast("int")
+    n = F.get("taken_before", i)
+    return n * F.col("block") + F.coalesce(F.get("taken_before", i + 1) - n, F.lit(0)) * (x - i * F.col("block"))
 
 
-def _overlap(part: Column) -> Column:
-    lo, hi, first, n = F.col("lo"), F.col("lo") + F.col("size"), F.col("first"), F.col("source_size")
-    zero = F.lit(0).cast("long")
-    straight = F.greatest(zero, F.least(hi, first + part) - F.greatest(lo, first))
-    turned = F.greatest(zero, F.least(hi, first + part - n) - lo)
-    return straight + turned
+def located(rows: DataFrame, sums: DataFrame, seed: str) -> DataFrame:
+    """``rows`` with their source's ring, their place ``at`` on it, and ``rounds``: the words taken of them each time round."""
+    at, ring = rings(sums, seed)
+    w = Window.partitionBy("source", "range").orderBy("h", "id", "size", "x").rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("in", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    d = d.alias("d").join(at.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.range") == F.col("a.range"))).select("d.*", "base")
+    d = d.alias("d").join(ring.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.*", *[F.col(f"r.{c}") for c in ring.columns if c != "source"])
+    n, size = F.col("source_size"), F.col("size")
+    d = d.withColumn("at", F.when(n > 0, F.pmod(F.col("base") + F.col("in") - F.col("first"), n)).otherwise(F.lit(0).cast("long")))
+
+    def taken(lap: int) -> Column:
+        lo = F.col("at") + lap * n
+        hi = lo + size
+        plain = words_before(hi) - words_before(lo)
+        # What runs over the end of the last round is at the ring's beginning.
+        return plain if lap < REPEAT - 1 else F.when(hi <= REPEAT * n, plain).otherwise(words_before(REPEAT * n) - words_before(lo) + words_before(hi - REPEAT * n))
+
+    return d.withColumn("rounds", F.array(*[F.when(size > 0, taken(k)).otherwise(F.lit(0)).cast("long") for k in range(REPEAT)]))
+
+
+def ranges(rows: DataFrame) -> DataFrame:
+    return C.materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges")  # at most RANGES rows a source
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """A row for each document: ``id_col, source, size, source_size, target, taken``."""
-    rows = place(docs, id_col, text_col, source_col, seed)
-    at, _ = ring(rows, id_col, seed)
-    w = Window.partitionBy("source", "range").orderBy("h", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("in", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    out = inner.alias("d").join(at.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.range") == F.col("a.range")))
-    out = out.select(F.col(f"d.{id_col}"), "d.source", "size", "source_size", "target", "block", "quota", "first", (F.col("base") + F.col("in")).alias("lo"))
-    return out.select(id_col, "source", "size", "source_size", "target", taken_of().cast("long").alias("taken"))
+    rows = C.materialize(place(docs, id_col, text_col, source_col, seed), "mix")
+    total = F.aggregate("rounds", F.lit(0).cast("long"), lambda a, x: a + x)
+    return located(rows, ranges(rows), seed).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", total.alias("taken"))
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and the words of a run's end as a shorter text.
-
-    Rows of one id are told apart by size; rows that agree in both are taken as often as the mean of them, rounded up.
-    """
-    p = plan(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_n")).agg(F.ceil(F.avg("taken")).cast("long").alias("_t"))
+    """The mix itself: a row for each time that a document is taken: whole, or the words of it that lie in taken blocks."""
     names = docs.columns
-    d = docs.withColumn("_w", C.n_words(F.col(text_col)))
-    j = d.join(p, d[id_col].eqNullSafe(p["_id"]) & (d["_w"] == p["_n"])).where(F.col("_t") > 0)
-    rest = F.col("_t") % F.col("_n")
-    copies = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("_t") / F.col("_n")).cast("int")), F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    cut = F.array_join(F.slice(C.words(F.col(text_col)), F.lit(1), F.greatest(rest.cast("int"), F.lit(1))), " ")
-    e = j.withColumn("_whole", F.explode(copies)).withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut))
+    slim = place(docs, id_col, text_col, source_col, seed)
+    d = located(place(docs, id_col, text_col, source_col, seed, F.struct("*").alias("row")), ranges(slim), seed)
+    d = d.select("row", "size", "at", "block", "can", "source_size", "taken_before", F.posexplode("rounds").alias("lap", "n")).where(F.col("n") > 0)
+    text = F.col("row")[text_col]
+
+    def lies_in(j: Column) -> Column:
+        x = F.pmod(F.col("at") + F.col("lap") * F.col("source_size") + j, REPEAT * F.col("source_size"))
+        i = F.floor(x / F.col("block")).cast("int")
+        return (i < F.col("can")) & (F.get("taken_before", i + 1) > F.get("taken_before", i))
+
+    whole = F.col("n") == F.col("size")
+    part = F.array_join(F.filter(C.words(text), lambda w, j: lies_in(j)), " ")
+    e = d.select("row", whole.alias("whole"), F.when(whole, text).otherwise(part).alias("words"))
+    col = {n: F.col("row")[n].alias(n) for n in names} | {text_col: F.col("words").cast(docs.schema[text_col].dataType).alias(text_col)}
     if "n_chars" in names:
-        e = e.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return e.select(*names)
+        col["n_chars"] = F.when(F.col("whole"), F.col("row")["n_chars"]).otherwise(F.length("words")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return e.select(*[col[n] for n in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -75,6 +75,10 @@ def _url_sql() -> str:
 def _mix_sql() -> str:
     from .op4_mix import BLOCKS, REPEAT, SEED, SHARE, WEIGHTS
 
+    # Every quotient is a row; the greatest win. W: words in taken blocks before a place of a ring.
+    before = lambda x: f"(n_before[least({x} // block, can) + 1] * block + coalesce(n_before[least({x} // block, can) + 2] - n_before[least({x} // block, can) + 1], 0) * ({x} - least({x} // block, can) * block))"
+    end = f"({REPEAT} * source_size)"
+    laps = " + ".join(f"{before(f'least(pos + {k} * source_size + size, {end})')} - {before(f'(pos + {k} * source_size)')}" for k in range(REPEAT))
     return f"""WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('{SEED}:'||coalesce(doc_id::varchar, '')) AS h FROM documents),
     s0 AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY 1),
     s1 AS (SELECT *, {list(map(float, WEIGHTS))}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::int] AS weight, source_size * {float(REPEAT)} AS cap FROM s0),
@@ -82,8 +86,12 @@ def _mix_sql() -> str:
     s3 AS (SELECT *, want - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM s2),
     lv AS (SELECT arg_min(rest / rest_w, fill) AS level FROM s3 WHERE rest / rest_w <= fill),
     s4 AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target, greatest(1, floor(want / {BLOCKS}))::bigint AS block FROM s3, lv),
-    s5 AS (SELECT *, least(floor(target / block + 0.5), floor(cap / block))::bigint AS quota, CASE WHEN source_size > 0 THEN ('0x'||substr(md5('{SEED}/'||coalesce(source, '')), 1, 8))::bigint % source_size ELSE 0 END AS first FROM s4),
+    s5 AS (SELECT *, floor(cap / block)::bigint AS can, floor(want / block + 0.5)::bigint AS house, CASE WHEN source_size > 0 THEN ('0x'||substr(md5('{SEED}/'||coalesce(source, '')), 1, 8))::bigint % source_size ELSE 0 END AS first FROM s4),
+    qu AS (SELECT source, house, k, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, can)) AS k FROM s5)),
+    won AS (SELECT source, k FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) AS seat FROM qu) WHERE seat <= house),
+    bl AS (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY i // greatest(1, source_size // block), md5('{SEED}/'||coalesce(source, '')||'#'||i), i) - 1 AS turn FROM (SELECT *, unnest(range(0, can)) AS i FROM s5)),
+    ch AS (SELECT bl.source, i, sum((won.k IS NOT NULL)::int) OVER (PARTITION BY bl.source ORDER BY i) AS n FROM bl LEFT JOIN won ON bl.source IS NOT DISTINCT FROM won.source AND turn = k),
+    ar AS (SELECT source, list_prepend(0, list(n ORDER BY i)) AS n_before FROM ch GROUP BY 1),
     p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS lo FROM d),
-    q AS (SELECT p.doc_id, p.size, p.lo, p.lo + p.size AS hi, s5.*, CASE WHEN source_size > 0 THEN (quota * block) // source_size ELSE 0 END AS whole FROM p JOIN s5 ON p.source IS NOT DISTINCT FROM s5.source),
-    t AS (SELECT *, quota * block - whole * source_size AS part FROM q)
-    SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(hi, first + part) - greatest(lo, first)) + greatest(0, least(hi, first + part - source_size) - lo))::bigint AS taken FROM t"""
+    q AS (SELECT p.doc_id, p.size, s5.*, coalesce(n_before, [0]) AS n_before, CASE WHEN source_size > 0 THEN (lo - first + source_size) % source_size ELSE 0 END AS pos FROM p JOIN s5 ON p.source IS NOT DISTINCT FROM s5.source LEFT JOIN ar ON p.source IS NOT DISTINCT FROM ar.source)
+    SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN {laps} + {before(f'greatest(pos + size - source_size, 0)')} ELSE 0 END::bigint AS taken FROM q"""

@@ -244,18 +244,35 @@ def test_mix(spark, docs, empty):
     assert bag(map(tuple, got)) == bag(map(tuple, op4_mix.plan(docs.repartition(5)).collect()))
     mixed = op4_mix.emit(docs)
     assert mixed.columns == docs.columns
-    words = sum(len(WORD.findall(x["text"])) for x in mixed.collect())
-    assert abs(words - sum(taken.values())) <= max(len(WORD.findall(t or "")) for _, t, *_ in ROWS if t and t.startswith("another")) + 100
+    words = collections.Counter()
+    for x in mixed.collect():
+        words[x["source"]] += len(WORD.findall(x["text"]))
+        assert x["text"] and any(x["doc_id"] == i and set(WORD.findall(x["text"])) <= set(WORD.findall(t or "")) for i, t, *_ in ROWS)
+    assert words == collections.Counter({s: n for s, n in taken.items() if n})
     assert op4_mix.plan(empty).count() == op4_mix.emit(empty).count() == 0
 
 
-def test_shard_quotas(spark):
-    t = op4_mix.targets(spark.createDataFrame([("a", 1000000), ("b", 300), (None, 70000), ("c", 0)], "source string, source_size bigint"))
-    q = collections.Counter()
-    for x in op4_mix.shard_quotas(t).collect():
-        assert x["blocks"] >= 0
-        q[x["source"]] += x["blocks"]
-    assert dict(q) == {x["source"]: x["quota"] for x in t.collect()}
+def test_quotas_by_highest_quotients(spark):
+    """Each shard's blocks fill its share of the house, and those of the first j shards are the apportionment of as many seats."""
+    size = {"a": 1000000, "b": 300, None: 70000, "c": 0, "d": 400000}
+    t = op4_mix.targets(spark.createDataFrame(list(size.items()), "source string, source_size bigint")).collect()
+    house = t[0]["house"]
+    got = collections.defaultdict(collections.Counter)
+    df = spark.createDataFrame(t)
+    for x in op4_mix.shard_quotas(df).collect():
+        got[x["shard"]][x["source"]] += x["blocks"]
+    assert op4_mix.BLOCKS <= house < 2 * op4_mix.BLOCKS and sum(sum(c.values()) for c in got.values()) == house
+    assert all(sum(got[j].values()) == -(-(j + 1) * house // 16) - -(-j * house // 16) for j in range(16))
+    order = sorted(((-x["target"] / (2 * k + 1), x["source"] is None, x["source"] or "", k, x["source"]) for x in t for k in range(x["can"])), key=lambda y: y[:4])
+    total = collections.Counter()
+    for j in range(16):
+        total += got[j]
+        assert total == collections.Counter(y[4] for y in order[: sum(total.values())])
+    blocks = op4_mix.chosen(df, op4_mix.seats(df), "s").where("shard is not null").groupBy("source").count().collect()
+    assert {x["source"]: x["count"] for x in blocks} == dict(total)
+    again = op4_mix.chosen(df, op4_mix.seats(df), "s").where("shard is not null").select("source", "i", "shard").collect()
+    other = op4_mix.chosen(df, op4_mix.seats(df), "t").where("shard is not null").select("source", "i", "shard").collect()
+    assert len({(x["source"], x["i"]) for x in again}) == house and bag(map(tuple, again)) != bag(map(tuple, other))
 
 
 def test_language_model(spark, docs, empty):
