@@ -3,12 +3,16 @@
 The tree is fitted on a bounded sample (``SAMPLE`` vectors by least hash of the id); every vector is indexed, by going down
 to the nearest centre at each node. A query traverses the tree best bin first: a priority queue holds nodes by the inner
 product of their centre with the query, the best is opened, and leaves come out in the order in which they are to be visited.
-How many leaves are visited is calibrated: ``CALIBRATE`` queries are answered by brute force over all vectors, and visits widen
+How many leaves are visited is calibrated: ``CALIBRATE`` rows that are no queries are answered by brute force over all vectors, and visits widen
 until the share of true neighbours in visited leaves reaches ``RECALL``. A query visits more leaves as long as those hold too
 few candidates.
 
 Leaves are packed into groups of about ``GROUP`` vectors; a leaf with more is spread over groups of its own. Queries and
-vectors meet by group, and a group gives at most k rows a query, so no pair table and no group grows with a hot leaf.
+vectors meet by group and run of queries (``QUERIES`` of them, about), so no task's rows grow with the corpus; queries of a run are scored against a
+group as matrices, with the leaves that a query doesn't visit masked out, and a group gives at most k rows a query.
+
+How much of an index a search has to visit lies in the vectors: where they have clusters, a few leaves; where they are alike in all
+directions, as many dimensions leave no near places, a share of all leaves that shrinks only slowly with their number.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components, and rows with
 a null id, take no part. Repeated rows of an id are candidates each; as a query an id counts once, by its least vector. Fewer
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, EVERY = 20, 20
-SAMPLE, BRANCH, LEAF, ROUNDS = 1 << 16, 8, 32, 6
-CALIBRATE, RECALL, GROUP = 200, 0.96, 4096
+SAMPLE, BRANCH, LEAF, ROUNDS = 1 << 16, 64, 32, 6
+CALIBRATE, RECALL, GROUP, QUERIES = 200, 0.95, 4096, 1 << 14
+#: Queries that are scored against a group at once.
+AT_ONCE = 256
 NEAR = "query_id bigint, leaf int, vec_id bigint, score double"
 
 
@@ -119,6 +125,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def groups_of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of each leaf: consecutive leaves share a group up to ``GROUP`` vectors, larger ones have several of their own."""
+    first, spans = np.zeros(len(count), np.int64), np.ones(len(count), np.int64)
+    last, used = -1, GROUP
+    for leaf, n in enumerate(count.tolist()):
+        if n > GROUP or used + n > GROUP:
+            last, used = last + 1, 0
+        first[leaf], spans[leaf] = last, max(1, -(-n // GROUP))
+        last, used = last + int(spans[leaf]) - 1, used + n if spans[leaf] == 1 else GROUP
+    return first, spans
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score`` for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -138,35 +156,41 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     count = np.zeros(tree.n_leaves, np.int64)
     for r in idx.groupBy("leaf").count().collect():  # a row a leaf; the tree is bounded by its sample
         count[r["leaf"]] = r["count"]
-    widest = calibrate(idx, queries, tree, k)
-
-    # Leaves to groups; a leaf above a group's size has several of its own.
-    group, last, used = [], -1, GROUP
-    for n in count:
-        if n > GROUP or used + n > GROUP:
-            last, used = last + 1, 0
-        span = max(1, -(-int(n) // GROUP))
-        group.append((last, span))
-        last, used = last + span - 1, used + int(n) if span == 1 else GROUP
-    first, spans = [g for g, _ in group], [s for _, s in group]
+    widest = calibrate(idx, tree, k, every)
+    first, spans = groups_of(count)
+    # Groups whose vectors a leaf's visit reads, and the leaves of a group: consecutive ones.
+    lo = {}
+    for leaf in range(tree.n_leaves):
+        for g in range(first[leaf], first[leaf] + spans[leaf]):
+            lo.setdefault(g, [leaf, leaf])[1] = leaf
+    runs = max(1, -(-queries.count() // QUERIES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("group", pa.int32()), ("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("visits", pa.binary())])
         for b in batches:
-            out = []
+            out: list[list] = [[], [], [], []]
             for q, v in zip(b.column(0).to_pylist(), matrix(b.column(1)), strict=True):
-                seen, found, by = 0, 0, {}
+                seen, found, mask = 0, 0, np.zeros(tree.n_leaves, bool)
                 for leaf in tree.visits(v):
                     if seen >= widest and found > k:
                         break
-                    seen, found = seen + 1, found + count[leaf]
-                    for g in range(first[leaf], first[leaf] + spans[leaf]):
-                        by.setdefault(g, []).append(leaf)
-                out += [{"group": g, "query_id": q, "query": v.tolist(), "leaves": leaves} for g, leaves in by.items()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group", pa.int32()), ("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int32()))]))
-
-    at = F.lit(first)[F.col("leaf")] + F.pmod(F.xxhash64("vec_id"), F.lit(spans)[F.col("leaf")]).cast("int")
-    asked = queries.select("vec_id", "vector").mapInArrow(ask, "group int, query_id bigint, query array<double>, leaves array<int>")
-    near = asked.groupBy("group").cogroup(idx.withColumn("group", at).groupBy("group")).applyInArrow(lambda q, v: in_group(q, v, k), "query_id bigint, vec_id bigint, score double")
+                    seen, found, mask[leaf] = seen + 1, found + count[leaf], True
+                line = pa.scalar(v.tolist(), pa.list_(pa.float64()))
+                for g, (a, z) in lo.items():
+                    if mask[a : z + 1].any():
+                        for col, x in zip(out, (g, q, line, mask[a : z + 1].tobytes()), strict=True):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    n, meet = C.parts(spark), ["group", "run"]
+    run = F.pmod(F.xxhash64("query_id"), F.lit(runs)).cast("int")
+    at = F.lit(first.tolist())[F.col("leaf")] + F.pmod(F.xxhash64("vec_id"), F.lit(spans.tolist())[F.col("leaf")]).cast("int")
+    asked = queries.select("vec_id", "vector").repartition(n, "vec_id").mapInArrow(ask, "group int, query_id bigint, query array<double>, visits binary").withColumn("run", run)
+    lowest = F.lit([lo[g][0] for g in range(len(lo))])[F.col("group")]
+    index_ = idx.withColumn("group", at.cast("int")).withColumn("lowest", lowest).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    # Dealt out by number, so that small tables are searched by as many tasks too.
+    both = asked.repartition(n, *meet).groupBy(*meet).cogroup(index_.repartition(n, *meet).groupBy(*meet))
+    near = both.applyInArrow(lambda q, v: in_group(q, v, k), "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -176,28 +200,36 @@ def in_group(q: pa.Table, v: pa.Table, k: int) -> pa.Table:
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     if q.num_rows and v.num_rows:
         leaf, ids, x = v["leaf"].to_numpy(), v["vec_id"].to_numpy(), matrix(v["vector"])
-        order = np.argsort(leaf, kind="stable")
-        leaf, ids, x = leaf[order], ids[order], x[order]
-        cut = {int(n): (a, b) for n, a, b in zip(*(lambda u, s: (u, s, [*s[1:], len(leaf)]))(*np.unique(leaf, return_index=True)), strict=True)}
-        for who, y, leaves in zip(q["query_id"].to_pylist(), matrix(q["query"]), q["leaves"].to_pylist(), strict=True):
-            parts = [np.arange(*cut[n]) for n in leaves if n in cut]
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            rows = rows[ids[rows] != who]
-            score = x[rows] @ y
-            top = best(score, ids[rows], k)
-            out[0].append(np.full(len(top), who))
-            out[1].append(ids[rows][top])
-            out[2].append(score[top])
+        who, y = q["query_id"].to_numpy(), matrix(q["query"])
+        masks = np.frombuffer(b"".join(q["visits"].to_pylist()), bool).reshape(len(who), -1)
+        lowest = v["lowest"][0].as_py()
+        for a in range(0, len(who), AT_ONCE):
+            s = slice(a, a + AT_ONCE)
+            score = y[s] @ x.T
+            score[~masks[s][:, leaf - lowest]] = -np.inf
+            score[who[s][:, None] == ids[None, :]] = -np.inf
+            if score.shape[1] > k:
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                row, col = np.nonzero((score >= (least - 1e-9)[:, None]) & (score > -np.inf))
+            else:
+                row, col = np.nonzero(score > -np.inf)
+            exact = np.einsum("ij,ij->i", x[col], y[s][row])  # in one order of additions, so that equal vectors have equal scores
+            o = np.lexsort((ids[col], -exact, row))
+            row, col, exact = row[o], col[o], exact[o]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = place < k
+            out[0].append(who[s][row[ok]])
+            out[1].append(ids[col[ok]])
+            out[2].append(exact[ok])
     return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
 
-def calibrate(idx: DataFrame, queries: DataFrame, tree: Tree, k: int) -> int:
-    """Leaves to visit: the fewest that hold ``RECALL`` of the true neighbours of ``CALIBRATE`` queries, found by brute force."""
-    asked = queries.orderBy(F.xxhash64("vec_id", F.lit("calibrate")), "vec_id").limit(CALIBRATE).toArrow()
+def calibrate(idx: DataFrame, tree: Tree, k: int, every: int) -> int:
+    """Leaves to visit: the fewest that hold ``RECALL`` of the true neighbours of ``CALIBRATE`` rows that are no queries, found by brute force."""
+    some = idx.where(F.col("vec_id") % every != 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = some.orderBy(F.xxhash64("vec_id", F.lit("calibrate")), "vec_id").limit(CALIBRATE).toArrow()
     if not asked.num_rows:
-        return 1
+        return tree.n_leaves
     who, y = asked["vec_id"].to_numpy(), matrix(asked["vector"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

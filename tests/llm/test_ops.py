@@ -335,11 +335,32 @@ def test_neighbours(spark):
         assert [(-s, i) for _, i, s in rows_] == sorted((-s, i) for _, i, s in rows_)
         hit += len({i for _, i, _ in rows_} & set(want.tolist()))
     assert hit >= 0.9 * 20 * len(got)
+    # Calibration saw none of these queries.
     few = spark.createDataFrame(rows[:20][:5] + [(20, [1.0] * 16, 1)], "vec_id bigint, embedding array<float>, leaf int")
     assert few.count() == 6 and op6_ann.search(few).count() == 10
     assert op6_ann.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_runs_of_queries(spark, monkeypatch):
+    """Small groups and runs, a leaf with very many equal vectors, and ties by id: the same as brute force where all leaves are visited."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1200, 6))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in range(1200)], "vec_id bigint, embedding array<double>").repartition(5)
+    for name, value in (("GROUP", 64), ("QUERIES", 16), ("RECALL", 1.0), ("AT_ONCE", 7), ("BRANCH", 4)):
+        monkeypatch.setattr(op6_ann, name, value)
+    monkeypatch.setattr(op6_ann, "calibrate", lambda *a: 10**9)
+    got = collections.defaultdict(list)
+    for y in op6_ann.search(df).collect():
+        got[y["query_id"]].append((y["rank"], y["vec_id"], y["score"]))
+    assert set(got) == set(range(0, 1200, 20))
+    for q, rows in got.items():
+        score = np.einsum("ij,ij->i", x, np.broadcast_to(x[q], x.shape))
+        ids = np.array([i for i in range(1200) if i != q])
+        want = ids[np.lexsort((ids, -score[ids]))[:20]].tolist()
+        assert [i for _, i, _ in sorted(rows)] == want and all(s == score[i] for _, i, s in rows)
+
+
 def check_layout(got, rows):
     """The query's columns against brute force: whole, gapless, of the stated sizes."""
     crc32 = lambda t: zlib.crc32((t or "").encode())
