@@ -152,7 +152,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.assign(matrix(b.column(1))), pa.int32())], names=["vec_id", "vector", "leaf"])
 
     idx = C.materialize(rows.select("vec_id", "vector").mapInArrow(index, "vec_id bigint, vector array<double>, leaf int"), "ann-index")
-    queries = idx.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # Dealt out by number, so that few queries are many tasks too.
+    queries = idx.where(F.col("vec_id") % every == 0).repartition(C.parts(spark), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     count = np.zeros(tree.n_leaves, np.int64)
     for r in idx.groupBy("leaf").count().collect():  # a row a leaf; the tree is bounded by its sample
         count[r["leaf"]] = r["count"]
@@ -185,7 +186,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     n, meet = C.parts(spark), ["group", "run"]
     run = F.pmod(F.xxhash64("query_id"), F.lit(runs)).cast("int")
     at = F.lit(first.tolist())[F.col("leaf")] + F.pmod(F.xxhash64("vec_id"), F.lit(spans.tolist())[F.col("leaf")]).cast("int")
-    asked = queries.select("vec_id", "vector").repartition(n, "vec_id").mapInArrow(ask, "group int, query_id bigint, query array<double>, visits binary").withColumn("run", run)
+    asked = queries.select("vec_id", "vector").mapInArrow(ask, "group int, query_id bigint, query array<double>, visits binary").withColumn("run", run)
     lowest = F.lit([lo[g][0] for g in range(len(lo))])[F.col("group")]
     index_ = idx.withColumn("group", at.cast("int")).withColumn("lowest", lowest).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     # Dealt out by number, so that small tables are searched by as many tasks too.
