@@ -2,15 +2,19 @@
 
 P(w | before) = P(class(w) | class(before)) * P(w | class(w)), over words and one end mark for each text.
 
-Classes come from exchange clustering: the ``TOP`` most frequent words are moved, one at a time, to the class where the class bigrams'
-likelihood is greatest, until nothing moves; every other word is then moved once, to its best class by the classes on both
-sides of all its places. Words that training holds once form a class of their own with the unknown word, which has the
+Classes come from exchange clustering. The ``TOP`` most frequent words are moved, one at a time, to the class where the class bigrams'
+likelihood is greatest, until nothing moves (or ``ROUNDS`` times). Every other word is then placed by the classes of the top words around all its places, and
+after that exchanged in ``PASSES`` passes over the whole corpus, each of which moves every such word to its best class by the classes that all
+words had before the pass (a pass that moves none is the last). A sequential exchange of all words can't be spread over tasks; passes in which words
+move at once can. Words that training holds once form a class of their own with the unknown word, which has the
 share of it that Good-Turing counts give it. Class transitions are smoothed towards class frequencies.
 
 Texts are read once, into blocks (``BLOCK`` bytes of text): a row with the block's distinct words (by 64-bit hash), their training counts
 and all tokens as places in that list. Everything else works on blocks. Words meet by hash, which is where counts and
 contexts of a word add up (a row a block, so a frequent word is pre-added), and go back to their blocks, so no vocabulary is ever
-broadcast. The driver holds the pair counts of ``TOP`` words (at most TOP squared) and class tables alone.
+broadcast. The ``TOP`` words, which every block holds, don't meet: their counts and classes are known to all tasks. Where there are more than
+``WIDE`` blocks, the rows of a word are added up by runs of blocks first, as histograms of classes. The driver holds the pair counts of
+``TOP`` words (at most TOP squared) and class tables alone.
 
 A row of ``score`` has: base_score, the log10 probability by single words with one added to each count, and score, the
 model's. Edge cases: null and blank texts are an end mark alone; a null id trains; repeated rows are scored each; with nothing to
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOP, CLASSES, ROUNDS, BLOCK = 1024, 64, 6, 8 << 20
+TOP, CLASSES, ROUNDS, BLOCK = 1024, 64, 30, 8 << 20
+#: Passes over the other words; blocks whose rows of a word may meet at once.
+PASSES, WIDE = 1, 4096
 FOLDS, HELD = 7, 2
 #: Classes: 0 the end mark, 1 words seen once and unknown ones, the others by exchange. Pseudo-count of the smoothing.
 END, RARE, KAPPA = 0, 1, 50.0
 END_WORD = b"\n"
-#: Bits of a word's number in its block.
-PLACE = 26
+#: Bits of a word's number in its block, and of a block's in its partition.
+PLACE, MADE = 26, 16
 BLOCKS = "block bigint, words array<bigint>, counts array<bigint>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary"
 
 
@@ -62,10 +68,12 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             n = len(number)
+            if made >> MADE or n >> PLACE:
+                raise ValueError("too many blocks in a partition, or words in a block, for their numbers")
             words = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, n).view(np.int64)
             counts = np.bincount(np.concatenate(train), minlength=n) if train else np.zeros(n, np.int64)
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-            return pa.RecordBatch.from_arrays([pa.array([part << 12 | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(tokens).tobytes()], pa.binary())], schema=kind)
+            return pa.RecordBatch.from_arrays([pa.array([part << MADE | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(tokens).tobytes()], pa.binary())], schema=kind)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -155,13 +163,33 @@ def exchange(pairs: np.ndarray, start: np.ndarray, movable: np.ndarray, free: np
     return c
 
 
-def top_classes(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words (sorted), their classes, and the class bigrams of the corpus in these terms."""
+class Top:
+    """The most frequent words: hashes in order, counts and classes."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, end_count: int):
+        self.words, self.counts, self.end_count = words, counts, end_count
+        self.classes = np.zeros(len(words), np.int64)
+
+    def of_block(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a block's words: whether they are known here, counts, classes (the end mark is a block's first word)."""
+        k = numbers_of(words, self.words)
+        own = np.maximum(k - 2, 0)
+        known = k != 1
+        n = np.where(k > 1, self.counts[own] if len(self.words) else 0, 0)
+        cls = np.where(k > 1, self.classes[own] if len(self.words) else 0, RARE)
+        n[0], cls[0] = self.end_count, END
+        return known, n, cls
+
+
+def top_classes(held: DataFrame) -> tuple[Top, np.ndarray]:
+    """The most frequent words with their classes, and the class bigrams of the corpus in these terms."""
     words = held.select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select(F.col("z.words").alias("w"), F.col("z.counts").alias("n")).where(F.col("n") > 0)
-    top = words.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(TOP).collect()
+    found = words.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(TOP + 1).collect()
     end = end_hash()
-    rank = [r["w"] for r in top if r["w"] != end]
+    top = {r["w"]: r["n"] for r in [r for r in found if r["w"] != end][:TOP]}
+    rank = list(top)
     at = np.array(sorted(rank), np.int64)
+    known = Top(at, np.array([top[w] for w in at.tolist()], np.int64), held.agg(F.sum(F.get("counts", F.lit(0)))).first()[0] or 0)
     size = len(at) + 2  # the end mark, then any other word, then the top words in the order of their hashes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +215,8 @@ def top_classes(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     turn = np.argsort([order[w] for w in at.tolist()], kind="stable") + 2
     c = exchange(pairs, start, turn, np.arange(2, CLASSES), CLASSES) if len(at) else start
     one = np.eye(CLASSES)[c]
-    return at, c[2:], one.T @ pairs @ one
+    known.classes = c[2:]
+    return known, one.T @ pairs @ one
 
 
 def end_hash() -> int:
@@ -206,80 +235,191 @@ def numbers_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def place_words(held: DataFrame, at: np.ndarray, classes: np.ndarray, bigrams: np.ndarray) -> DataFrame:
-    """``place`` (block and number in it), ``value`` (count over all training texts and class) and ``first`` (once a word) of each block's words."""
-    spark, end = held.sparkSession, end_hash()
-    pull = np.log(bigrams + 0.1)
-    size = np.log(bigrams.sum(0) + 1), np.log(bigrams.sum(1) + 1)
+ROWS = "w bigint, place bigint, n bigint, ctx binary"
+
+
+def context_rows(block: int, words: np.ndarray, counts: np.ndarray, out: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, cls: np.ndarray, move: np.ndarray) -> list[pa.Array]:
+    """For the words of ``move`` (a mask): hash, place, count in the block, and the classes before and after (those from ``CLASSES`` on) all their places."""
+    train = ~np.repeat(out, sizes) & move[tokens]
+    left, right, t = cls[before_of(tokens, sizes)][train], cls[after_of(tokens)][train], tokens[train]
+    o = np.argsort(t, kind="stable")
+    both = np.stack([left[o], right[o] + CLASSES], 1).ravel().astype(np.uint8)
+    some = np.flatnonzero(move)
+    edge = np.append(np.searchsorted(t[o], some), len(o)) * 2
+    ctx = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(both)])
+    return [pa.array(words[some]), pa.array((block << PLACE) + some), pa.array(counts[some], pa.int64()), ctx]
+
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls_of = np.concatenate([[END, RARE], classes]).astype(np.uint8)
+def first_rows(held: DataFrame, top: Top) -> DataFrame:
+    """Rows of all words but the top ones, in whose contexts the top words have their classes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 w, counts, out, sizes, tokens = block_arrays(b, i, "words", "counts", "held", "sizes", "tokens")
-                mine = numbers_of(w, at)
-                near = cls_of[mine]
-                train = ~np.repeat(out, sizes) & (mine[tokens] == 1)
-                left, right, t = near[before_of(tokens, sizes)][train], near[after_of(tokens)][train], tokens[train]
-                o = np.argsort(t, kind="stable")
-                both = np.stack([left[o], right[o] + CLASSES], 1).ravel()
-                edge = np.searchsorted(t[o], np.arange(len(w) + 1)) * 2
-                ctx = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(both.astype(np.uint8))])
-                block = b.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array((block << PLACE) + np.arange(len(w))), pa.array(counts, pa.int64()), ctx], names=["w", "place", "n", "ctx"])
+                known, _, cls = top.of_block(w)
+                yield pa.RecordBatch.from_arrays(context_rows(b.column(0)[i].as_py(), w, counts, out, sizes, tokens, cls, ~known), names=["w", "place", "n", "ctx"])
+
+    return held.select("block", "words", "counts", "held", "sizes", "tokens").mapInArrow(work, ROWS)
+
+
+def next_rows(held: DataFrame, words: DataFrame, top: Top) -> tuple[DataFrame, np.ndarray]:
+    """Rows of the words that training holds more than once, by the classes that all words have now; and the class bigrams of these."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["w", "place", "n", "ctx", "pairs"]
+        kind = pa.schema([("w", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ctx", pa.binary()), ("pairs", pa.binary())])
+        if not left.num_rows:
+            return kind.empty_table()
+        b = left.combine_chunks().to_batches()[0]
+        w, counts, out, sizes, tokens = block_arrays(b, 0, "words", "counts", "held", "sizes", "tokens")
+        n, cls = filled(w, right, top)
+        train = ~np.repeat(out, sizes)
+        pairs = np.bincount(cls[before_of(tokens, sizes)][train] * CLASSES + cls[tokens][train], minlength=CLASSES * CLASSES)
+        move = ~top.of_block(w)[0] & (n > 1)
+        rows = context_rows(b.column(0)[0].as_py(), w, counts, out, sizes, tokens, cls, move)
+        rows = [pa.concat_arrays([r.cast(t.type), pa.array([None], t.type)]) for r, t in zip(rows, kind, strict=False)]
+        return pa.table([*rows, pa.array([None] * int(move.sum()) + [pairs.astype(np.int64).tobytes()], pa.binary())], names=names)
+
+    both = held.select("block", "words", "counts", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
+    rows = C.materialize(both.applyInArrow(work, ROWS + ", pairs binary"), "lm-rows")
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["pair", "n"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late: list[pa.RecordBatch] = []
+    return rows, _matrix(rows.where(F.col("pairs").isNotNull()).select("pairs").mapInArrow(sparse, "pair bigint, n bigint"))
+
+
+def _by_block(words: DataFrame) -> DataFrame:
+    return words.select(F.shiftright("place", PLACE).alias("block"), "place", "value")
+
+
+def _matrix(pairs: DataFrame) -> np.ndarray:
+    got = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES squared
+    out = np.zeros(CLASSES * CLASSES)
+    out[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
 
+
+def histograms(group: np.ndarray, ctx: pa.Array, some: slice) -> np.ndarray:
+    """Counts of context classes of the groups ``some``; rows are in the order of their groups."""
+    edge = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1]
+    raw = np.frombuffer(ctx.buffers()[2], np.uint8) if ctx.buffers()[2] else np.zeros(0, np.uint8)
+    a, z = np.searchsorted(group, some.start), np.searchsorted(group, some.stop)
+    of = np.repeat(group[a:z] - some.start, np.diff(edge[a : z + 1]))
+    return np.bincount(of * 2 * CLASSES + raw[edge[a] : edge[z]], minlength=(some.stop - some.start) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], done) -> Iterator[pa.RecordBatch]:
+    """``done`` of tables of whole groups, from batches that are sorted by ``keys``."""
+    late: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        late.append(b)
+        if sum(map(len, late)) >= 1 << 15:
+            t = pa.Table.from_batches(late)
+            last = np.logical_and.reduce([t[k].to_numpy() == t[k][-1].as_py() for k in keys])
+            cut = int(np.argmax(last))  # all but the last group's rows, which may go on
+            if cut:
+                yield done(t.slice(0, cut))
+                late = t.slice(cut).combine_chunks().to_batches()
+    if late:
+        yield done(pa.Table.from_batches(late))
+
+
+def best_classes(hist: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class of each row of context counts that the class bigrams' likelihood gains most by."""
+    pull, size = np.log(bigrams + 0.1), np.log(bigrams.sum(0) + 1) + np.log(bigrams.sum(1) + 1)
+    fit = hist[:, :CLASSES] @ pull + hist[:, CLASSES:] @ pull.T - hist.sum(1)[:, None] / 2 * size
+    return 2 + fit[:, 2:].argmax(1)
+
+
+def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFrame:
+    """``place`` (block and number in it), ``value`` (count over all training texts and class) and ``first`` (once a word)."""
+    spark = rows.sparkSession
+    rows = rows.select("w", "place", "n", "ctx").where(F.col("w").isNotNull())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
             w, n = t["w"].to_numpy(), t["n"].to_numpy()
             first = np.concatenate(([True], w[1:] != w[:-1]))
             group = np.cumsum(first) - 1
             total = np.bincount(group, n).astype(np.int64)
-            u = w[first]
-            ctx = t["ctx"].combine_chunks()
-            length = np.diff(np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1])
-            raw = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8)
-            cls = np.full(len(u), RARE, np.int64)
-            for lo in range(0, len(u), 4096):  # a bounded table of words by contexts
-                hi = min(lo + 4096, len(u))
-                of = np.repeat(group, length)
-                a, z = np.searchsorted(of, lo), np.searchsorted(of, hi)
-                table = np.bincount((of[a:z] - lo) * 2 * CLASSES + raw[a:z], minlength=(hi - lo) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
-                fit = table[:, :CLASSES] @ pull + table[:, CLASSES:] @ pull.T - table.sum(1)[:, None] / 2 * (size[0] + size[1])
-                cls[lo:hi] = 2 + fit[:, 2:].argmax(1)
+            ctx, cls = t["ctx"].combine_chunks(), np.full(len(total), RARE, np.int64)
+            for lo in range(0, len(total), 4096):  # a bounded table of words by contexts
+                hi = min(lo + 4096, len(total))
+                cls[lo:hi] = best_classes(histograms(group, ctx, slice(lo, hi)), bigrams)
             cls[total <= 1] = RARE
-            if len(at):
-                k = np.minimum(np.searchsorted(at, u), len(at) - 1)
-                cls = np.where(at[k] == u, classes[k], cls)
-            cls[u == end] = END
             return pa.RecordBatch.from_arrays([pa.array(t["place"].to_numpy()), pa.array((total << 8 | cls)[group]), pa.array(first)], names=["place", "value", "first"])
 
-        for b in batches:
-            if not len(b):
-                continue
-            late.append(b)
-            if sum(map(len, late)) >= 1 << 15:
-                t = pa.Table.from_batches(late)
-                w = t["w"].to_numpy()
-                cut = int(np.searchsorted(w, w[-1]))  # all but the last word's rows, which may go on
-                if cut:
-                    yield done(t.slice(0, cut))
-                    late = t.slice(cut).combine_chunks().to_batches()
-        if late:
-            yield done(pa.Table.from_batches(late))
-
-    rows = held.select("block", "words", "counts", "held", "sizes", "tokens").mapInArrow(contexts, "w bigint, place bigint, n bigint, ctx binary")
-    return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, "place bigint, value bigint, first boolean")
-
-
-def join_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+        yield from grouped(batches, ["w"], done)
+
+    if n_blocks <= WIDE:
+        return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, "place bigint, value bigint, first boolean")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the rows of a word in a run of blocks: counts, and (class, count) of its contexts."""
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            w, run, n = t["w"].to_numpy(), t["run"].to_numpy(), t["n"].to_numpy()
+            first = np.concatenate(([True], (w[1:] != w[:-1]) | (run[1:] != run[:-1])))
+            group = np.cumsum(first) - 1
+            ctx, out = t["ctx"].combine_chunks(), []
+            for lo in range(0, int(group[-1]) + 1, 4096):
+                for h in histograms(group, ctx, slice(lo, min(lo + 4096, int(group[-1]) + 1))):
+                    k = np.flatnonzero(h)
+                    out.append(np.stack([k, h[k]]).astype(np.int64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.bincount(group, n).astype(np.int64)), pa.array(out, pa.binary())], names=["w", "n", "hist"])
+
+        yield from grouped(batches, ["w", "run"], done)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> pa.RecordBatch:
+            w, n = t["w"].to_numpy(), t["n"].to_numpy()
+            first = np.concatenate(([True], w[1:] != w[:-1]))
+            group = np.cumsum(first) - 1
+            total, cls = np.bincount(group, n).astype(np.int64), np.full(int(group[-1]) + 1, RARE, np.int64)
+            pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in t["hist"].combine_chunks()]
+            of = np.repeat(group, [p.shape[1] for p in pairs])
+            k, m = np.concatenate(pairs, 1)
+            for lo in range(0, len(total), 4096):
+                hi = min(lo + 4096, len(total))
+                a, z = np.searchsorted(of, lo), np.searchsorted(of, hi)
+                hist = np.bincount((of[a:z] - lo) * 2 * CLASSES + k[a:z], m[a:z], (hi - lo) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+                cls[lo:hi] = best_classes(hist, bigrams)
+            cls[total <= 1] = RARE
+            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(total << 8 | cls)], names=["w", "value"])
+
+        yield from grouped(batches, ["w"], done)
+
+    runs = rows.withColumn("run", F.pmod(F.shiftright("place", PLACE), F.lit(-(-n_blocks // WIDE)))).repartition(C.parts(spark), "w", "run").sortWithinPartitions("w", "run")
+    sums = runs.select("w", "run", "n", "ctx").mapInArrow(part, "w bigint, n bigint, hist binary").repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(whole, "w bigint, value bigint")
+    sums = C.materialize(sums, "lm-values")
+    least = rows.groupBy("w").agg(F.min("place").alias("least"))
+    return rows.select("w", "place").join(sums, "w").join(least, "w").select("place", "value", (F.col("place") == F.col("least")).alias("first"))
+
+
+def filled(words: np.ndarray, right: pa.Table, top: Top) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all training texts and classes of a block's words: of the top words, and of those in ``right`` (place, value)."""
+    _, n, cls = top.of_block(words)
+    if right.num_rows:
+        k, value = right["place"].to_numpy() & ((1 << PLACE) - 1), right["value"].to_numpy()
+        n[k], cls[k] = value >> 8, value & 255
+    return n, cls
+
+
+def join_blocks(left: pa.Table, right: pa.Table, top: Top) -> pa.Table:
     """A block with its words' counts and classes instead of their hashes."""
     if not left.num_rows:
         return pa.table({"doc_ids": pa.array([], pa.list_(pa.int64())), "held": pa.array([], pa.list_(pa.bool_())), "sizes": pa.array([], pa.list_(pa.int32())), "tokens": pa.array([], pa.binary()), "n": pa.array([], pa.binary()), "cls": pa.array([], pa.binary())})
-    value = right["value"].to_numpy()[np.argsort(right["place"].to_numpy())]
-    n, cls = value >> 8, (value & 255).astype(np.uint8)
-    return left.select(["doc_ids", "held", "sizes", "tokens"]).append_column("n", pa.array([n.astype(np.int64).tobytes()], pa.binary())).append_column("cls", pa.array([cls.tobytes()], pa.binary()))
+    n, cls = filled(left["words"].combine_chunks()[0].values.to_numpy(), right, top)
+    return left.select(["doc_ids", "held", "sizes", "tokens"]).append_column("n", pa.array([n.astype(np.int64).tobytes()], pa.binary())).append_column("cls", pa.array([cls.astype(np.uint8).tobytes()], pa.binary()))
 
 
 def transitions(ready: DataFrame) -> np.ndarray:
@@ -296,29 +436,40 @@ def transitions(ready: DataFrame) -> np.ndarray:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["pair", "n"])
 
-    got = ready.select("held", "sizes", "tokens", "cls").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES * CLASSES)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(CLASSES, CLASSES)
+    return _matrix(ready.select("held", "sizes", "tokens", "cls").mapInArrow(count, "pair bigint, n bigint"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each document."""
     held = C.materialize(blocks(docs, id_col, text_col), "lm-blocks")
-    at, classes, bigrams = top_classes(held)
-    C.free(docs.sparkSession)
-    words = C.materialize(place_words(held, at, classes, bigrams), "lm-words")
+    spark, n_blocks = docs.sparkSession, held.count()
+    top, bigrams = top_classes(held)
+    C.free(spark)
+    words = C.materialize(place_words(first_rows(held, top), bigrams, n_blocks), "lm-words")
+    C.free(spark)
+    for _ in range(PASSES):
+        rows, bigrams = next_rows(held, words, top)
+        C.free(spark)
+        # Words that training holds once are in no row: they stay as they are, in their class.
+        anew = C.materialize(place_words(rows, bigrams, n_blocks), "lm-words")
+        once = words.where(F.shiftright("value", 8) <= 1)
+        C.drop_scratch(spark, [rows.scratch])
+        last, words = words, C.materialize(once.unionByName(anew), "lm-words")
+        C.drop_scratch(spark, [last.scratch, anew.scratch])
+        C.free(spark)
     words_n, cls = F.shiftright("value", 8), F.col("value").bitwiseAND(F.lit(255))
     once = F.col("first") & (words_n > 0)
     s = words.where(once).agg(F.count("*").alias("v"), F.sum(words_n).alias("n"), F.sum((words_n == 1).cast("long")).alias("n1"), F.sum((words_n == 2).cast("long")).alias("n2")).first()
     v, total, n1, n2 = (int(s[k] or 0) for k in ("v", "n", "n1", "n2"))
     per = {r["cls"]: int(r["n"]) for r in words.where(once).groupBy(cls.alias("cls")).agg(F.sum(words_n).alias("n")).collect()}
-    C.free(docs.sparkSession)
-    by_block = words.select(F.shiftright("place", PLACE).alias("block"), "place", "value")
-    sides = held.select("block", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(by_block.groupBy("block"))
-    ready = C.materialize(sides.applyInArrow(join_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready")
-    C.drop_scratch(docs.sparkSession, [held.scratch, words.scratch])
-    C.free(docs.sparkSession)
+    v, total, n1, n2 = v + len(top.words) + (top.end_count > 0), total + int(top.counts.sum()) + top.end_count, n1 + int((top.counts == 1).sum()), n2 + int((top.counts == 2).sum())
+    for c, n in [(END, top.end_count), *zip(top.classes.tolist(), top.counts.tolist(), strict=True)]:
+        per[c] = per.get(c, 0) + n
+    C.free(spark)
+    sides = held.select("block", "words", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
+    ready = C.materialize(sides.applyInArrow(lambda a, b: join_blocks(a, b, top), "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready")
+    C.drop_scratch(spark, [held.scratch, words.scratch])
+    C.free(spark)
     pairs = transitions(ready)
     share = np.zeros(CLASSES)
     for k, n in per.items():

@@ -289,6 +289,55 @@ def test_language_model(spark, docs, empty):
     assert only.count() == 1
 
 
+def brown(toks, held, top, passes):
+    """The model by hand: log10 probabilities of the texts (lists of words that end with the end mark)."""
+    from math import log, log10
+
+    K, end = op5_brown.CLASSES, b"\n"
+    h = lambda w: int(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64)[0])
+    train = [t for t, out in zip(toks, held, strict=True) if not out]
+    c = collections.Counter(w for t in train for w in t)
+    rank = sorted((w for w in c if c[w] > 1 and w != end), key=lambda w: (-c[w], h(w)))[:top]
+    at = {w: k + 2 for k, w in enumerate(sorted(rank, key=h))} | {end: 0}
+    pairs = np.zeros((len(rank) + 2,) * 2)
+    for t in train:
+        for a, b in zip([end, *t[:-1]], t, strict=True):
+            pairs[at.get(a, 1), at.get(b, 1)] += 1
+    start = np.array([0, 1] + [2 + rank.index(w) if rank.index(w) < K - 2 else 1 for w in sorted(rank, key=h)])
+    cls = op5_brown.exchange(pairs, start, [at[w] for w in rank], np.arange(2, K), K) if rank else start
+    of = collections.defaultdict(lambda: 1, {w: int(cls[k]) for w, k in at.items()})
+    big = lambda: [[n[a, b] for b in range(K)] for n in [collections.Counter((of[a], of[b]) for t in train for a, b in zip([end, *t[:-1]], t, strict=True))] for a in range(K)]
+    for _ in range(1 + passes):
+        n, new = np.array(big(), float), {}
+        for w in c:
+            if c[w] > 1 and w not in at:
+                sides = [(of[([end, *t])[i]], of[t[i + 1]] if i + 1 < len(t) else 0) for t in train for i, x in enumerate(t) if x == w]
+                fit = [sum(log(n[a, k] + 0.1) + log(n[k, b] + 0.1) for a, b in sides) - len(sides) * (log(n[:, k].sum() + 1) + log(n[k].sum() + 1)) for k in range(2, K)]
+                new[w] = 2 + int(np.argmax(np.round(fit, 9)))
+        for w, k in new.items():
+            of[w] = k
+    n, share = np.array(big(), float), np.zeros(K)
+    for w in c:
+        share[of[w]] += c[w]
+    share[1] += 1
+    n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+    unknown = (n1 + 1) / (n1 + 2 * n2 + 2)
+    step = lambda a, b: log10((n[a, b] + op5_brown.KAPPA * share[b] / share.sum()) / (n[a].sum() + op5_brown.KAPPA))
+    emit = lambda w: (log10((1 - unknown) / max(1, n1)) if c[w] else log10(unknown)) if of[w] == 1 else log10(c[w] / share[of[w]])
+    return [sum(step(of[a], of[b]) + emit(b) for a, b in zip([end, *t[:-1]], t, strict=True)) for t in toks]
+
+
+@pytest.mark.parametrize("top,passes,wide", [(1024, 1, 4096), (12, 0, 4096), (12, 1, 4096), (12, 2, 4096), (12, 1, 1)])
+def test_language_model_by_hand(spark, docs, monkeypatch, top, passes, wide):
+    """With all words among the top ones, and with the passes over the others; with and without sums by runs of blocks."""
+    toks = [[*(t or "").encode().lower().split(), b"\n"] for _, t, *_ in ROWS]
+    want = brown(toks, [op5_brown.held_out(i) for i, *_ in ROWS], top, passes)
+    for name, value in (("TOP", top), ("PASSES", passes), ("WIDE", wide), ("BLOCK", 2000)):
+        monkeypatch.setattr(op5_brown, name, value)
+    got = op5_brown.score(docs).collect()
+    assert bag((x["doc_id"], x["n_tokens"], round(x["score"], 5)) for x in got) == bag((i, len(t), round(float(s), 5)) for (i, *_), t, s in zip(ROWS, toks, want, strict=True))
+
+
 def test_language_model_beats_single_words(spark):
     got = queries()["op5_brown_lm"](spark, SF).where("held_out").groupBy().sum("base_score", "score").first()
     assert got[1] > got[0]
