@@ -40,6 +40,8 @@ FOLDS, HELD = 7, 2
 #: Classes: 0 the end mark, 1 words seen once and unknown ones, the others by exchange. Pseudo-count of the smoothing.
 END, RARE, KAPPA = 0, 1, 50.0
 END_WORD = b"\n"
+#: Tables between steps are packed well, as several are there at a time.
+CODEC = "zstd"
 #: Bits of a word's number in its block, and of a block's in its partition.
 PLACE, MADE = 26, 16
 BLOCKS = "block bigint, words array<bigint>, counts array<bigint>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary"
@@ -282,7 +284,7 @@ def next_rows(held: DataFrame, words: DataFrame, top: Top) -> tuple[DataFrame, n
         return pa.table([*rows, pa.array([None] * int(move.sum()) + [pairs.astype(np.int64).tobytes()], pa.binary())], names=names)
 
     both = held.select("block", "words", "counts", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
-    rows = C.materialize(both.applyInArrow(work, ROWS + ", pairs binary"), "lm-rows")
+    rows = C.materialize(both.applyInArrow(work, ROWS + ", pairs binary"), "lm-rows", CODEC)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
@@ -400,7 +402,7 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
 
     runs = rows.withColumn("run", F.pmod(F.shiftright("place", PLACE), F.lit(-(-n_blocks // WIDE)))).repartition(C.parts(spark), "w", "run").sortWithinPartitions("w", "run")
     sums = runs.select("w", "run", "n", "ctx").mapInArrow(part, "w bigint, n bigint, hist binary").repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(whole, "w bigint, value bigint")
-    sums = C.materialize(sums, "lm-values")
+    sums = C.materialize(sums, "lm-values", CODEC)
     least = rows.groupBy("w").agg(F.min("place").alias("least"))
     return rows.select("w", "place").join(sums, "w").join(least, "w").select("place", "value", (F.col("place") == F.col("least")).alias("first"))
 
@@ -441,21 +443,21 @@ def transitions(ready: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each document."""
-    held = C.materialize(blocks(docs, id_col, text_col), "lm-blocks")
+    held = C.materialize(blocks(docs, id_col, text_col), "lm-blocks", CODEC)
     spark, n_blocks = docs.sparkSession, held.count()
     top, bigrams = top_classes(held)
     C.free(spark)
-    words = C.materialize(place_words(first_rows(held, top), bigrams, n_blocks), "lm-words")
+    words = first = C.materialize(place_words(first_rows(held, top), bigrams, n_blocks), "lm-words", CODEC)
+    done = [held.scratch, first.scratch]
     C.free(spark)
     for _ in range(PASSES):
         rows, bigrams = next_rows(held, words, top)
         C.free(spark)
         # Words that training holds once are in no row: they stay as they are, in their class.
-        anew = C.materialize(place_words(rows, bigrams, n_blocks), "lm-words")
-        once = words.where(F.shiftright("value", 8) <= 1)
-        C.drop_scratch(spark, [rows.scratch])
-        last, words = words, C.materialize(once.unionByName(anew), "lm-words")
-        C.drop_scratch(spark, [last.scratch, anew.scratch])
+        anew = C.materialize(place_words(rows, bigrams, n_blocks), "lm-words", CODEC)
+        C.drop_scratch(spark, [rows.scratch, *done[2:]])
+        done[2:] = [anew.scratch]
+        words = first.where(F.shiftright("value", 8) <= 1).unionByName(anew)
         C.free(spark)
     words_n, cls = F.shiftright("value", 8), F.col("value").bitwiseAND(F.lit(255))
     once = F.col("first") & (words_n > 0)
@@ -467,8 +469,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         per[c] = per.get(c, 0) + n
     C.free(spark)
     sides = held.select("block", "words", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
-    ready = C.materialize(sides.applyInArrow(lambda a, b: join_blocks(a, b, top), "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready")
-    C.drop_scratch(spark, [held.scratch, words.scratch])
+    ready = C.materialize(sides.applyInArrow(lambda a, b: join_blocks(a, b, top), "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready", CODEC)
+    C.drop_scratch(spark, done)
     C.free(spark)
     pairs = transitions(ready)
     share = np.zeros(CLASSES)
