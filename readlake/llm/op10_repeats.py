@@ -4,23 +4,22 @@ All places where equal strings start must meet in one suffix array, and shards o
 window of ``length`` bytes gets a mark, the least hash of the ``gram``-byte strings in it: equal windows have equal marks. Consecutive
 windows of one mark are a run, and a run's bytes its context. Runs meet by mark:
 
-* a mark with one context that is there once (and doesn't repeat itself) has no repeated window;
-* a mark with one context that is there more than once is repeated as a whole;
-* the contexts of any other mark go, once each, to the shard of their mark. There blocks of windows that are the same byte for byte are
-  repeated, and go on once. Windows whose first, middle and last ``gram`` bytes no
-  other window of the shard has are left out; of the rest the suffix array is built by external induced
-  sorting (``suffix``), and windows that share ``length`` bytes with a neighbour in suffix order are repeated, and so are those of contexts
-  that are there more than once.
+* a mark with one context that is at one place (and doesn't repeat itself) has no repeated window, and goes;
+* the contexts of any other mark go to the shard of their mark, each from two of its places if it has so many, read from their texts. Windows
+  whose first, middle and last ``gram`` bytes no other window of the shard has are left out, as they can't be repeated; of all others the suffix array
+  is built by external induced sorting (``suffix``), with the lengths of common prefixes, and windows that share ``length`` bytes with another in
+  suffix order are repeated.
 
 Contexts of distinct symbols between them keep matches from running on. Repeated windows go back to all runs with their context, and
-each text's spans are merged and cut out. Texts that are there more than once are known by hash and length, read once by each
+each text's spans are merged and cut out. Texts that are there more than once (by 128 bits of hash) are read once by each
 partition, and removed whole if they are long enough.
 
 A mark that very many different contexts share (above ``HOT``) is split by a second and third mark, from other hashes of the same
-windows, so no shard grows with the corpus.
+windows, so shards don't grow with the corpus; one that is large all the same is spooled, and sorted in files: in the shared folder where tasks
+can open it, else where Spark spills.
 
 Matches never cross documents; strings are judged on the input. Edge cases: null text is empty; texts shorter than ``length`` keep all;
-repeated rows count as other places; an empty table gives no rows. Extra columns are not read by ``spans`` and are kept by ``cut``.
+repeated rows count as other places; an empty table gives no rows. Extra columns are not read by ``spans`` and are kept by ``cut``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,15 +37,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM = 400, 32
-#: Windows of a run at most; bytes of a shard, about; contexts of a mark above which it is split, and marks a window has at most;
-#: windows of a block.
-RUN, SHARD, HOT, MARKS, GRID = 1024, 4 << 20, 1000, 3, 8
+#: Windows of a run at most; bytes of a shard, about; contexts of a mark above which it is split, and marks a window has at most.
+RUN, SHARD, HOT, MARKS = 1024, 4 << 20, 1000, 3
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def text_key(text: Column) -> list[Column]:
     t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("tkey"), F.octet_length(t).cast("long").alias("n_bytes")]
+    return [F.xxhash64(t).alias("tkey"), F.xxhash64(F.lit("again"), t).alias("tkey2"), F.octet_length(t).cast("long").alias("n_bytes")]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -112,7 +110,7 @@ def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return edge, size, m, np.isin(m, many) if len(many) else np.zeros(len(m), bool)
 
 
-RUNS = "tkey bigint, n_bytes bigint, first int, windows int, mark bigint, ctx bigint, twice int"
+RUNS = "tkey bigint, tkey2 bigint, first int, windows int, mark bigint, ctx bigint, twice int"
 
 
 def runs(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
@@ -122,82 +120,98 @@ def runs(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         seen = set()
-        names = ["tkey", "n_bytes", "first", "windows", "mark", "ctx", "twice"]
+        names = ["tkey", "tkey2", "first", "windows", "mark", "ctx", "twice"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for key, n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if n < length or (key, n) in seen:
+            for key, key2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if (key, key2) in seen:
                     continue
-                seen.add((key, n))
+                seen.add((key, key2))
                 raw = text.as_buffer()
                 data = np.frombuffer(raw, np.uint8)
                 first, size, mark, twice = runs_of(data, length, gram)
                 view = memoryview(raw)
                 ctx = np.fromiter((xxh3_64_intdigest(view[a : a + m + length - 1]) for a, m in zip(first.tolist(), size.tolist(), strict=True)), np.uint64, len(first))
-                for col, v in zip(out, (np.full(len(first), key), np.full(len(first), n), first, size, mark.view(np.int64), ctx.view(np.int64), twice), strict=True):
+                for col, v in zip(out, (np.full(len(first), key), np.full(len(first), key2), first, size, mark.view(np.int64), ctx.view(np.int64), twice), strict=True):
                     col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)).cast(t) for v, t in zip(out, kinds, strict=True)], names=names)
 
+    return texts(docs, text_col, length).select("tkey", "tkey2", "text").mapInArrow(work, RUNS)
+
+
+def texts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """Texts of ``length`` bytes and more, with their keys."""
     text = F.col(text_col).cast("string")
-    return docs.select(*text_key(text), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(work, RUNS)
+    return docs.select(*text_key(text), F.coalesce(text, F.lit("")).alias("text")).where(F.col("n_bytes") >= length)
 
 
 def contexts(all_runs: DataFrame) -> DataFrame:
-    """Each context of each mark once: how often it is there, where it can be read, and how many contexts its mark has."""
-    c = all_runs.groupBy("mark", "ctx").agg(F.count("*").alias("times"), F.max("twice").alias("twice"), F.first("tkey").alias("tkey"), F.first("n_bytes").alias("n_bytes"), F.first("first").alias("first"), F.first("windows").alias("windows"))
-    # Most marks are there once: they go before contexts meet by mark.
-    many = c.groupBy("mark").agg(F.count("*").alias("kinds"), F.sum("times").alias("all"), F.max("twice").alias("any")).where((F.col("all") > 1) | (F.col("any") > 0))
-    return c.join(many.select("mark", "kinds"), "mark")
+    """The contexts of all marks that may have repeated windows, each once, with the places where it can be read: the first and last of its texts,
+    or of its places in the one text that has it."""
+    lo, hi, key, first = F.min("tkey"), F.max("tkey"), F.col("tkey"), F.col("first")
+    c = all_runs.groupBy("mark", "ctx").agg(lo.alias("lo"), hi.alias("hi"), F.min_by(first, key).alias("at_lo"), F.max_by(first, key).alias("at_hi"), F.min(first).alias("a"), F.max(first).alias("z"), F.max("twice").alias("twice"), F.first("windows").alias("windows"))
+    one = F.col("lo") == F.col("hi")
+    c = c.select("mark", "ctx", "lo", "hi", F.when(one, F.col("a")).otherwise(F.col("at_lo")).alias("a"), F.when(one, F.col("z")).otherwise(F.col("at_hi")).alias("z"), "windows", ((~one | (F.col("a") != F.col("z"))).cast("int")).alias("more"), "twice")
+    # Most marks are at one place: they go before contexts meet by mark.
+    many = c.groupBy("mark").agg(F.count("*").alias("kinds"), F.max(F.greatest("more", "twice")).alias("any")).where((F.col("kinds") > 1) | (F.col("any") > 0))
+    return c.drop("twice").join(many.select("mark", "kinds"), "mark")
+
+
+SHARDED = "mark bigint, part bigint, ctx bigint, skip int, copy int, windows int, data binary"
 
 
-def windows_of(need: DataFrame, docs: DataFrame, text_col: str, length: int, gram: int, hot: int) -> DataFrame:
+def windows_of(ctx: DataFrame, docs: DataFrame, text_col: str, length: int, gram: int, hot: int) -> DataFrame:
     """(mark, ctx, a, b): the windows a to b of each context that are repeated, by the suffix arrays of the marks' shards."""
     spark = docs.sparkSession
     folder = spill_folder(spark)
-    want = need.groupBy("tkey", "n_bytes").agg(F.collect_list(F.struct("mark", "ctx", "first", "windows", (F.col("times") > 1).cast("int").alias("often"), "kinds")).alias("want"))
-    text = F.col(text_col).cast("string")
-    texts = docs.select(*text_key(text), F.coalesce(text, F.lit("")).alias("text")).where(F.col("n_bytes") >= length)
+    place = lambda key, first, copy: F.struct(F.col(key).alias("tkey"), F.col(first).alias("first"), F.lit(copy).alias("copy"))
+    places = F.when(F.col("more") > 0, F.array(place("lo", "a", 0), place("hi", "z", 1))).otherwise(F.array(place("lo", "a", 0)))
+    each = ctx.select("mark", "ctx", "windows", "kinds", F.inline(places))
+    want = each.groupBy("tkey").agg(F.collect_list(F.struct("mark", "ctx", "first", "windows", "kinds", "copy")).alias("want"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         seen = set()
-        kind = pa.schema([("mark", pa.int64()), ("part", pa.int64()), ("ctx", pa.int64()), ("skip", pa.int32()), ("windows", pa.int32()), ("often", pa.int32()), ("data", pa.binary())])
+        kind = pa.schema([("mark", pa.int64()), ("part", pa.int64()), ("ctx", pa.int64()), ("skip", pa.int32()), ("copy", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
         for b in batches:
             out = []
-            for key, n, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                if (key, n) in seen:
+            for key, key2, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                if (key, key2) in seen:
                     continue
-                seen.add((key, n))
+                seen.add((key, key2))
                 raw = t.as_buffer().to_pybytes()
                 for x in wanted:
                     a, m = x["first"], x["windows"]
                     data = raw[a : a + m + length - 1]
+                    if xxh3_64_intdigest(data) != x["ctx"] & (2**64 - 1):
+                        continue  # another text of this key
                     for part, skip, size in pieces(data, m, x["kinds"], length, gram, hot):
-                        out.append({"mark": x["mark"], "part": part, "ctx": x["ctx"], "skip": skip, "windows": size, "often": x["often"], "data": data[skip : skip + size + length - 1]})
+                        out.append({"mark": x["mark"], "part": part, "ctx": x["ctx"], "skip": skip, "copy": x["copy"], "windows": size, "data": data[skip : skip + size + length - 1]})
                 if len(out) > 20000:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    got = texts.join(want, ["tkey", "n_bytes"]).mapInArrow(take, "mark bigint, part bigint, ctx bigint, skip int, windows int, often int, data binary")
+    got = texts(docs, text_col, length).drop("n_bytes").join(want, "tkey").select("tkey", "tkey2", "text", "want").mapInArrow(take, SHARDED)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = Shard(folder)
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and row[:4] == held[-1][:4]:
-                    continue  # one context that two copies of its text brought
-                if size >= SHARD and row[:2] != held[-1][:2]:
-                    yield shard(held, length, folder, gram)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield shard(held, length, folder, gram)
+                if held.rows and row[:5] == held.last:
+                    continue  # one place that two copies of its text brought
+                if held.size >= SHARD and row[:2] != held.last[:2]:
+                    yield held.repeats(length, gram)
+                    held = Shard(folder)
+                held.add(row)
+        if held.rows:
+            yield held.repeats(length, gram)
 
     by = ["mark", "part"]
-    return got.repartition(C.parts(spark), *by).sortWithinPartitions(*by, "ctx", "skip").mapInArrow(sort, "mark bigint, ctx bigint, a int, b int")
+    return got.repartition(C.parts(spark), *by).sortWithinPartitions(*by, "ctx", "skip", "copy").mapInArrow(sort, "mark bigint, ctx bigint, a int, b int").distinct()
 
 
 def pieces(data: bytes, windows: int, kinds: int, length: int, gram: int, hot: int = HOT) -> Iterator[tuple[int, int, int]]:
@@ -234,113 +248,109 @@ def anchored(data: np.ndarray, place: np.ndarray, length: int, gram: int) -> np.
     return out
 
 
-def same_blocks(data: np.ndarray, at: np.ndarray, size: np.ndarray, windows: np.ndarray, marks: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window (in the order of contexts): whether its block is there again, and whether it is not the first of its kind.
-
-    A block is up to ``GRID`` windows in a row, cut where their distance to the context's mark is a multiple of that, so copies of a
-    passage have the same blocks but around what differs. Blocks of one hash are held against the first of them, word by word.
-    """
-    h = gram_hashes(data, gram)
-    hits = np.flatnonzero(h == np.repeat(marks, size + 1)[: len(h)])
-    k = np.minimum(np.searchsorted(hits, at), len(hits) - 1)
-    pin = np.where((hits[k] >= at) & (hits[k] < at + size), hits[k], at) if len(hits) else at
-    place = spread(at, windows)
-    ctx = np.repeat(np.arange(len(at)), windows)
-    cell = (pin[ctx] - place) // GRID
-    first = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (cell[1:] != cell[:-1]))))
-    many = np.diff(np.append(first, len(place)))
-    lo, long = place[first], many + length - 1
-    back = powers(pow(BASE, -1, 1 << 64), len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back, out=total[1:])
-    key = remixed((total[lo + long] - total[lo]) * powers(BASE, len(data))[lo], 1) ^ remixed(long.astype(np.uint64), 2)
-    o = np.argsort(key, kind="stable")
-    head = np.concatenate(([True], key[o][1:] != key[o][:-1]))
-    lead = o[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
-    pair, with_ = o[~head], lead[~head]
-    ok = long[pair] == long[with_]
-    pair, with_ = pair[ok], with_[ok]
-    word = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
-    for k in range(0, length + GRID, 8):
-        step = np.minimum(k, long[pair] - 8)
-        ok = word[lo[pair] + step] == word[lo[with_] + step]
-        pair, with_ = pair[ok], with_[ok]
-    again, late = np.zeros(len(first), bool), np.zeros(len(first), bool)
-    again[pair] = again[with_] = late[pair] = True
-    return np.repeat(again, many), np.repeat(late, many)
-
-
-def shard(rows: list[tuple], length: int, folder: str | None, gram: int) -> pa.RecordBatch:
-    """The repeated windows of a shard's contexts."""
+class Shard:
+    """Contexts whose windows are looked for among each other. Their bytes are spooled to a file above ``SPOOL`` of them."""
+
+    def __init__(self, folder: str | None = None, spool: int = 4 * SHARD, memory: int | None = None):
+        from .suffix import MEMORY
+
+        self.folder, self.spool, self.memory = folder, spool, memory or MEMORY
+        self.rows: list[tuple[int, int, int, int, int]] = []  # mark, ctx, skip, windows, bytes
+        self.parts: list[bytes] = []
+        self.last, self.size, self.waiting, self.file = None, 0, 0, None
+
+    def add(self, row: tuple) -> None:
+        mark, _, ctx, skip, _, windows, data = row
+        self.last = row[:5]
+        self.rows.append((mark, ctx, skip, windows, len(data)))
+        self.parts += (data, b"\0")
+        self.size += len(data) + 1
+        self.waiting += len(data) + 1
+        if self.folder and self.waiting > self.spool:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile(prefix="contexts-", dir=self.folder)
+        self.file.writelines(self.parts)
+        self.parts, self.waiting = [], 0
+
+    def _bytes(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.parts), np.uint8)
+        self._flush()
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r")
+
+    def repeats(self, length: int, gram: int) -> pa.RecordBatch:
+        """mark, ctx, a, b: the windows of the contexts that are there again."""
+        from .suffix import Space
+
+        data, space = self._bytes(), Space(self.folder, self.memory)
+        size = np.array([r[4] for r in self.rows], np.int64)
+        windows = np.array([r[3] for r in self.rows], np.int64)
+        at = np.cumsum(size + 1) - (size + 1)
+        hit = space.array(len(data), bool)
+        for a, b in space.blocks(len(data)):
+            hit[a:b] = False
+        if len(data) <= space.memory:
+            place = spread(at, windows)
+            some = place[anchored(data, place, length, gram)]
+            if len(some):  # runs of such windows
+                cut = np.flatnonzero(np.concatenate(([True], np.diff(some) != 1)))
+                many = np.diff(np.append(cut, len(some)))
+                long = many + length - 1
+                to = np.cumsum(long + 1) - (long + 1)
+                short = np.zeros(int(long.sum() + len(long)), np.uint8)
+                short[spread(to, long)] = data[spread(some[cut], long)]
+                hit[some] = found(short, to, many, long, length, space)[spread(to, many)]
+        else:
+            hit = found(data, at, windows, size, length, space)
+        out: list[list[int]] = [[], [], [], []]
+        for (mark, ctx, skip, n, _), a in zip(self.rows, at.tolist(), strict=True):
+            x = np.diff(np.concatenate(([0], hit[a : a + n].view(np.int8), [0])))
+            lo, hi = np.flatnonzero(x == 1), np.flatnonzero(x == -1)
+            out[0] += [mark] * len(lo)
+            out[1] += [ctx] * len(lo)
+            out[2] += (lo + skip).tolist()
+            out[3] += (hi + skip).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["mark", "ctx", "a", "b"])
+
+
+def found(data: np.ndarray, at: np.ndarray, windows: np.ndarray, size: np.ndarray, length: int, space) -> np.ndarray:
+    """True at the windows that are there again in ``data``: pieces at ``at`` of ``size`` bytes, with as many windows, and one byte after each."""
     from .suffix import repeated, suffix_array
 
-    size = np.array([len(r[6]) for r in rows])
-    at = np.cumsum(size + 1) - (size + 1)
-    data = np.frombuffer(b"\0".join(r[6] for r in rows) + b"\0", np.uint8)
-    windows = np.array([r[4] for r in rows])
-    place = spread(at, windows)
-    hit = np.zeros(len(data), bool)
-    marks = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    again, late = same_blocks(data, at, size, windows, marks, length, gram)
-    hit[place[again]] = True
-    once = place[~late]
-    some = once[anchored(data, once, length, gram)] if len(once) else once
-    if len(some):
-        # Runs of such windows, each with a symbol of its own after it, least at the end.
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(some) != 1)))
-        many = np.diff(np.append(cut, len(some)))
-        long = many + length - 1
-        to = np.cumsum(long + 1) - (long + 1)
-        short = np.zeros(int(long.sum() + len(long)), np.uint8)
-        short[spread(to, long)] = data[spread(some[cut], long)]
-        text = short.astype(np.int64) + len(cut)
-        text[to + long] = np.arange(len(cut) - 1, -1, -1)
-        starts = np.zeros(len(short), bool)
-        own = spread(to, many)
-        starts[own] = True
-        with spill(folder) as where:
-            order = suffix_array(text, where)
-        hit[some] |= repeated(short, order, starts, length)[own]
-    hit[place[np.repeat([r[5] > 0 for r in rows], windows)]] = True
-    out: list[list[int]] = [[], [], [], []]
-    for r, a in zip(rows, at.tolist(), strict=True):
-        x = np.diff(np.concatenate(([0], hit[a : a + r[4]].view(np.int8), [0])))
-        lo, hi = np.flatnonzero(x == 1), np.flatnonzero(x == -1)
-        out[0] += [r[0]] * len(lo)
-        out[1] += [r[2]] * len(lo)
-        out[2] += (lo + r[3]).tolist()
-        out[3] += (hi + r[3]).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["mark", "ctx", "a", "b"])
+    text, starts = space.array(len(data), np.int32), space.array(len(data), bool)
+    for a, b in space.blocks(len(data)):
+        text[a:b] = data[a:b].astype(np.int32) + len(at)
+        starts[a:b] = False
+    text[at + size] = np.arange(len(at) - 1, -1, -1)  # each piece has a symbol of its own after it, least at the end
+    for a, n in zip(at.tolist(), windows.tolist(), strict=True):
+        starts[a : a + n] = True
+    return repeated(*suffix_array(text, length, space), starts, length, space)
 
 
 def spill_folder(spark) -> str | None:
-    """Where the queues' runs go: the shared folder, if tasks can open it as files; else Spark's own spill folders."""
+    """Where large shards are sorted: the shared folder, if tasks can open it as files; else where Spark spills, as that is a task's own; else
+    nowhere (in memory)."""
     base = C.shared_dir(spark)
-    return base.removeprefix("file://").removeprefix("file:") if base.startswith(("file:", "/")) else None
-
-
-def spill(folder: str | None):
-    where = folder or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
-    if where:
-        os.makedirs(where, exist_ok=True)
-    return tempfile.TemporaryDirectory(prefix="suffix-", dir=where)
+    if base.startswith(("file:", "/")):
+        return base.removeprefix("file://").removeprefix("file:")
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
 
 
 def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``tkey, n_bytes, spans`` (array of a, b; may overlap) of each text with anything to remove."""
+    """``tkey, tkey2, spans`` (array of a, b; may overlap) of each text with anything to remove."""
     spark = docs.sparkSession
     all_runs = C.materialize(runs(docs, text_col, length, gram), "runs")
     ctx = C.materialize(contexts(all_runs), "contexts")
     C.free(spark)
-    need = ctx.where((F.col("kinds") > 1) | (F.col("twice") > 0))
-    sure = ctx.where((F.col("kinds") == 1) & (F.col("twice") == 0)).select("mark", "ctx", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    hit = C.materialize(windows_of(need, docs, text_col, length, gram, hot).union(sure), "windows")
+    hit = C.materialize(windows_of(ctx, docs, text_col, length, gram, hot), "windows")
     C.free(spark)
-    text = F.col(text_col).cast("string")
-    copies = docs.select(*text_key(text)).where(F.col("n_bytes") >= length).groupBy("tkey", "n_bytes").count().where(F.col("count") > 1)
-    whole = copies.select("tkey", "n_bytes", F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b"))
-    part = all_runs.join(hit, ["mark", "ctx"]).select("tkey", "n_bytes", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length - 1).alias("b"))
-    each = part.union(whole).groupBy("tkey", "n_bytes").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    copies = texts(docs, text_col, length).groupBy("tkey", "tkey2").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where(F.col("n") > 1)
+    whole = copies.select("tkey", "tkey2", F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b"))
+    part = all_runs.join(hit, ["mark", "ctx"]).select("tkey", "tkey2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length - 1).alias("b"))
+    each = part.union(whole).groupBy("tkey", "tkey2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = C.materialize(each, "spans")
     C.free(spark)
     return out
@@ -373,7 +383,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text))
-    return d.join(spans(docs, text_col, length, hot=hot), ["tkey", "n_bytes"], "left").select("doc_id", "text", "spans").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return d.join(spans(docs, text_col, length, hot=hot), ["tkey", "tkey2"], "left").select("doc_id", "text", "spans").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -390,22 +400,20 @@ def cut(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFr
     """``docs`` with the repeated bytes cut from the texts (and what is left of a character that a cut goes through); texts that
     nothing is left of go. ``n_chars``, if there is one, is counted anew."""
     names = docs.columns
+    at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
         for b in batches:
-            texts = [kept(t.as_buffer().to_pybytes(), merged(s)).decode("utf-8", "ignore") if s else t.as_py() for t, s in zip(b.column(at), b.column(len(names)).to_pylist(), strict=True)]
-            cols = [b.column(i) for i in range(len(names))]
-            cols[at] = pa.array(texts, pa.string())
-            out = pa.RecordBatch.from_arrays(cols, names=names)
-            whole = pa.array([not s or bool(t.strip()) for t, s in zip(texts, b.column(len(names)).to_pylist(), strict=True)])
-            yield out.filter(whole)
+            row, found = b.column(0), b.column(1).to_pylist()
+            cols = [row.field(i) for i in range(len(names))]
+            texts_ = [kept(t.as_buffer().to_pybytes(), merged(s)).decode("utf-8", "ignore") if s else t.as_py() for t, s in zip(cols[at], found, strict=True)]
+            cols[at] = pa.array(texts_, pa.string())
+            whole = pa.array([not s or bool(t.strip()) for t, s in zip(texts_, found, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(whole)
 
     text = F.col(text_col).cast("string")
-    keyed = docs.select("*", *[k.alias(f"_{n}") for k, n in zip(text_key(text), ("tkey", "n_bytes"), strict=True)])
-    s = spans(docs, text_col, length)
-    j = keyed.join(s, (keyed["_tkey"] == s["tkey"]) & (keyed["_n_bytes"] == s["n_bytes"]), "left").select(*[keyed[n] for n in names], s["spans"])
-    out = j.mapInArrow(work, docs.schema)
+    keyed = docs.select(F.struct("*").alias("row"), *text_key(text))
+    out = keyed.join(spans(docs, text_col, length), ["tkey", "tkey2"], "left").select("row", "spans").mapInArrow(work, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out

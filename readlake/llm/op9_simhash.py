@@ -365,8 +365,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One document of each group of near-duplicates: that of the least id; of rows that agree in id and text, one. Rows without id stay."""
     c = cluster(docs, id_col, text_col, WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS, "minhash", WIDE_SHARE)
     heads = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    one = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").withColumn("_x", F.xxhash64(text_col)).dropDuplicates([id_col, "_x"]).drop("_x")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"))
+    one = rows.join(heads, F.col("id") == F.col("_head"), "left_semi").dropDuplicates(["id", "x"])
+    return one.unionByName(rows.where(F.col("id").isNull())).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Suffix arrays by external induced sorting.
+"""Suffix arrays with common prefixes by external induced sorting.
 
 Suffixes are of type S if less than the one after them and L if greater; an S suffix after an L suffix is an LMS suffix. LMS
 suffixes are sorted by recursion on the string of the names of their LMS substrings. Each sorted suffix then induces the one before it: all L
@@ -6,81 +6,251 @@ suffixes in ascending order from the LMS suffixes, all S suffixes in descending
 monotone priority queue, keyed by first symbol and type; ties leave in the order of arrival, which is that of the suffixes that
 induced them.
 
-The queue works in bulk: sorted runs, merged when alike in size; long runs lie on disk. A step takes a batch of least keys and
-keeps the longest prefix that nothing induced by the batch itself should precede.
+The queue's tuples carry the length of the common prefix with the tuple of the same key that arrived before: one more than the least of the
+lengths between the two suffixes that induced them, as these left the queue. Where the key changes within a symbol both suffixes are followed
+through its run, and suffixes of different symbols share nothing. The recursion returns common prefixes counted in names; whole names are
+turned into symbols by their places, and only what two different names share at last is read from the text. Lengths count up to ``cap``.
+
+Nothing of the size of the text need be in memory: text, types, names, orders and lengths above ``memory`` items are files that are mapped,
+worked on in blocks of ``memory`` items, and the queue's runs above a quarter of that are files too, of which the heads are read.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
+import tempfile
 
 import numpy as np
 
-#: Items of a run that stay in memory at most; larger runs are files.
-MEMORY = 1 << 21
+#: Items of an array that stay in memory at most.
+MEMORY = 1 << 23
 
 
-class Queue:
-    """(key, place) tuples by key and arrival, in sorted runs; runs of more than ``memory`` items are on disk in ``folder``."""
+class Space:
+    """Arrays: in memory up to ``memory`` items, else files in ``folder``, which are gone with their last user."""
 
     def __init__(self, folder: str | None = None, memory: int = MEMORY):
-        self.folder, self.memory, self.runs, self.files = folder, memory, [], []
+        self.folder, self.memory = folder, memory
+
+    def array(self, n: int, kind) -> np.ndarray:
+        return np.empty(n, kind) if self.folder is None or n <= self.memory else self.file(n, kind)
+
+    def file(self, n: int, kind) -> np.ndarray:
+        f, path = tempfile.mkstemp(prefix="array-", dir=self.folder)
+        try:
+            os.ftruncate(f, n * np.dtype(kind).itemsize)
+            return np.memmap(path, kind, "r+", shape=(n,))
+        finally:
+            os.close(f)
+            os.unlink(path)  # the mapping holds it
 
-    def _stored(self, run: np.ndarray) -> np.ndarray:
-        if self.folder is None or run.shape[1] <= self.memory:
-            return run
-        path = os.path.join(self.folder, f"run-{uuid.uuid4().hex}.npy")
-        np.save(path, run)
-        self.files.append(path)
-        return np.load(path, mmap_mode="r")
+    def blocks(self, n: int):
+        return ((a, min(a + self.memory, n)) for a in range(0, n, self.memory))
+
+
+class Queue:
+    """(rank, item) tuples, least rank first; ranks are unique. Sorted runs, merged when alike in size; long ones are files."""
 
-    def __len__(self) -> int:
-        return sum(r.shape[1] - at for r, at in self.runs)
+    def __init__(self, space: Space):
+        self.space, self.runs = space, []
 
-    def push(self, keys: np.ndarray, places: np.ndarray) -> None:
-        if not len(keys):
+    def push(self, rank: np.ndarray, item: np.ndarray) -> None:
+        if not len(rank):
             return
-        o = np.argsort(keys, kind="stable")
-        run = np.stack([keys[o], places[o]])
-        while self.runs and self.runs[-1][0].shape[1] - self.runs[-1][1] < 3 * run.shape[1]:
-            old, at = self.runs.pop()
-            both = np.concatenate([old[:, at:], run], 1)  # the older items first
-            run = both[:, np.argsort(both[0], kind="stable")]
-        self.runs.append([self._stored(run), 0])
-
-    def pop(self, about: int) -> np.ndarray:
-        """The least items, all that are up to one key: about ``about`` of a run at most, or all."""
-        ends = [r[0, at + about - 1] for r, at in self.runs if at + about < r.shape[1]]
-        upto = min(ends) if ends else max(r[0, -1] for r, _ in self.runs)
-        got = []
+        o = np.argsort(rank)
+        run, most = (rank[o], item[o]), self.space.memory // 4 if self.space.folder else 1 << 62
+        while self.runs and len(run[0]) <= most and (left := len(self.runs[-1][0]) - self.runs[-1][2]) < 3 * len(run[0]) and left <= most:
+            old, value, at = self.runs.pop()
+            both = np.concatenate([old[at:], run[0]])
+            o = np.argsort(both)
+            run = both[o], np.concatenate([value[at:], run[1]])[o]
+        if len(run[0]) > most:
+            kept = self.space.file(len(run[0]), np.int64), self.space.file(len(run[0]), np.int64)
+            kept[0][:], kept[1][:] = run
+            run = kept
+        self.runs.append([*run, 0])
+
+    def pop(self, about: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least tuples: ``about`` of them, or, if there are fewer, all."""
+        about = max(8, about // len(self.runs))
+        ends = [r[at + about - 1] for r, _, at in self.runs if at + about < len(r)]
+        upto = min(ends) if ends else max(r[-1] for r, _, _ in self.runs)
+        got, self.taken = [], [(x, x[2]) for x in self.runs]
         for x in self.runs:
-            end = x[1] + int(np.searchsorted(x[0][0, x[1] :], upto, "right"))
-            got.append(np.asarray(x[0][:, x[1] : end]))
-            x[1] = end
-        self.runs = [x for x in self.runs if x[1] < x[0].shape[1]]
-        both = np.concatenate(got, 1)
-        return both[:, np.argsort(both[0], kind="stable")] if len(got) > 1 else both
+            end = x[2] + int(np.searchsorted(x[0][x[2] : x[2] + about], upto, "right"))
+            got.append((np.asarray(x[0][x[2] : end]), np.asarray(x[1][x[2] : end])))
+            x[2] = end
+        self.runs = [x for x in self.runs if x[2] < len(x[0])]
+        if len(got) == 1:
+            return got[0]
+        rank = np.concatenate([r for r, _ in got])
+        o = np.argsort(rank)
+        return rank[o], np.concatenate([v for _, v in got])[o]
 
-    def close(self) -> None:
-        self.runs = []
-        for path in self.files:
-            os.unlink(path)
-        self.files = []
+    def put_back(self, rank: int) -> None:
+        """What the last ``pop`` took from ``rank`` on is as if it had not been taken."""
+        for x, start in self.taken:
+            x[2] = start + int(np.searchsorted(x[0][start : x[2]], rank))
+        self.runs = [x for x, _ in self.taken if x[2] < len(x[0])]
 
 
-def types(text: np.ndarray) -> np.ndarray:
+def types(text: np.ndarray, space: Space) -> np.ndarray:
     """True at S suffixes; the last is S."""
     n = len(text)
-    step = np.ones(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]  # where the run of equal symbols ends
-    return step[at] > 0
+    s = space.array(n, bool)
+    s[n - 1] = after = True
+    for a, b in reversed(list(space.blocks(n - 1))):
+        x = np.asarray(text[a : b + 1]).astype(np.int64)
+        step = np.sign(x[1:] - x[:-1])
+        at = np.where(step != 0, np.arange(b - a), b - a)
+        at = np.minimum.accumulate(at[::-1])[::-1]  # where the run of equal symbols ends
+        s[a:b] = np.append(step > 0, after)[at]
+        after = bool(s[a])
+    return s
+
+
+def leftmost(s: np.ndarray, space: Space) -> np.ndarray:
+    """Places of LMS suffixes."""
+    found = lambda a, b: np.flatnonzero(s[a + 1 : b + 1] & ~s[a:b]) + a + 1
+    out, at = space.array(sum(len(found(a, b)) for a, b in space.blocks(len(s) - 1)), np.int64), 0
+    for a, b in space.blocks(len(s) - 1):
+        x = found(a, b)
+        out[at : at + len(x)] = x
+        at += len(x)
+    return out
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, cap: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, at most ``cap``, of which ``known`` symbols are known to agree."""
+    out, on, last = np.minimum(known, cap), np.arange(len(a)), len(text) - 1
+    on = on[out < cap]
+    while len(on):
+        x, y = a[on] + out[on], b[on] + out[on]
+        on = on[(np.maximum(x, y) <= last) & (text[np.minimum(x, last)] == text[np.minimum(y, last)])]
+        out[on] += 1
+        on = on[out[on] < cap]
+    return out
 
 
-def names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Dense ranks of the LMS substrings; one that ends where another goes on is the greater, as its last symbol is of type S."""
+def range_min(e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of e[lo..hi], ends included, by tables of doubling width."""
+    out, level, width = np.empty(len(lo), e.dtype), e, 1
+    k = np.frexp(hi - lo + 1)[1] - 1
+    for step in range(int(k.max()) + 1 if len(k) else 0):
+        some = np.flatnonzero(k == step)
+        out[some] = np.minimum(level[lo[some]], level[hi[some] - width + 1])
+        level, width = np.minimum(level[:-width], level[width:]), width * 2
+    return out
+
+
+def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, shared: np.ndarray | None, total: int, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
+    """The ``total`` suffixes that ``seeds`` (in order, with their common prefixes) are and bring, in order: ascending with L suffixes
+    induced, or ``down`` with S suffixes; and what each shares with the one before it (nothing is carried where ``shared`` is None)."""
+    n, bits = len(text), (len(text) + len(seeds)).bit_length()
+    carry, wide = shared is not None, max(1, cap).bit_length()
+    sign = -1 if down else 1
+    q, seq, about = Queue(space), 0, 4096
+    for a, b in space.blocks(len(seeds)):
+        p = np.asarray(seeds[a:b])
+        q.push(sign * (2 * text[p].astype(np.int64) + s[p]) << bits | np.arange(seq, seq + b - a), p << wide | (shared[a:b] if carry else 0))
+        seq += b - a
+    out, common_ = space.array(total, np.int64), space.array(total, np.int32) if carry else None
+    done, last, last_key = 0, -1, None
+    open_keys, open_least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while q.runs:
+        rank, item = q.pop(min(about, space.memory))
+        p = item >> wide
+        before = np.maximum(p - 1, 0)
+        ok = (p > 0) & (s[before] == down)
+        own = sign * (2 * text[before].astype(np.int64) + down)
+        made = np.where(ok, own << bits | (seq + np.cumsum(ok) - 1), np.iinfo(np.int64).max)
+        early = np.minimum.accumulate(made) < rank
+        cut = int(early.argmax()) if early.any() else len(rank)
+        about = min(1 << 20, about * 2) if cut == len(rank) else max(256, min(about, cut * 2))
+        if cut < len(rank):
+            q.put_back(rank[cut])
+            rank, item, p, ok, own, made = rank[:cut], item[:cut], p[:cut], ok[:cut], own[:cut], made[:cut]
+        out[done : done + cut] = p
+        pushed = np.flatnonzero(ok)
+        lengths: np.ndarray | int = 0
+        if carry:
+            key = rank >> bits
+            old, old_key = np.append(last, p[:-1]), np.append(key[0] - 4 if last_key is None else last_key, key[:-1])
+            e = np.where(key == old_key, item & ((1 << wide) - 1), 0)
+            turn = np.flatnonzero((key != old_key) & ((sign * key) >> 1 == (sign * old_key) >> 1))
+            e[turn] = common(text, old[turn], p[turn], np.ones(len(turn), np.int64), cap)
+            common_[done : done + cut] = e
+            last, last_key = p[-1], key[-1]
+            # What an induced suffix shares with the one of its key before it.
+            o = np.argsort(made[pushed])
+            to, at = own[pushed][o], pushed[o]
+            head = np.append(True, to[1:] != to[:-1]) if len(to) else np.zeros(0, bool)
+            least = np.zeros(len(to), np.int64)
+            mid = np.flatnonzero(~head)
+            least[mid] = range_min(e, at[mid - 1] + 1, at[mid])
+            first = np.flatnonzero(head)
+            ahead, behind = np.minimum.accumulate(e), np.append(np.minimum.accumulate(e[::-1])[::-1], np.iinfo(np.int64).max)
+            if len(open_keys) and len(first):
+                k = np.minimum(np.searchsorted(open_keys, to[first]), len(open_keys) - 1)
+                least[first] = np.where(open_keys[k] == to[first], np.minimum(open_least[k], ahead[at[first]]), 0)
+            lengths = np.empty(len(to), np.int64)
+            lengths[o] = np.minimum(least + 1, cap)
+            # Keys whose next tuple may share more than a symbol with their last one: the suffixes since then share some.
+            ends = np.append(first[1:], len(to)) - 1 if len(first) else first
+            stay = np.isin(open_keys, to[first], invert=True, assume_unique=True)
+            keys = np.concatenate([open_keys[stay], to[first]])
+            low = np.concatenate([np.minimum(open_least[stay], ahead[-1]), behind[at[ends] + 1]])
+            keys, low = keys[low > 0], low[low > 0]
+            o = np.argsort(keys)
+            open_keys, open_least = keys[o], low[o]
+        q.push(made[pushed], before[:cut][pushed] << wide | lengths)
+        seq += len(pushed)
+        done += cut
+    return out, common_
+
+
+def names(text: np.ndarray, lms: np.ndarray, s: np.ndarray, space: Space) -> tuple[np.ndarray, int]:
+    """Dense ranks of the LMS substrings in the order of their places, and how many there are: the suffixes are induced from unsorted LMS suffixes,
+    which sorts them by LMS substrings, and neighbours are compared."""
+    n = len(lms)
+    if space.folder is None or len(text) <= space.memory:
+        rank = packed_names(np.asarray(text), np.asarray(lms))
+        return rank, int(rank.max()) + 1
+    order = _sorted(text, s, lms, None, 0, space)[0]
+    out, place, at = space.array(n, np.int64), space.array(n, np.int64), 0
+    for a, b in space.blocks(len(text)):
+        p = np.asarray(order[a:b])
+        p = p[(p > 0) & s[p] & ~s[np.maximum(p - 1, 0)]]
+        place[at : at + len(p)] = p
+        at += len(p)
+    del order
+    many, last = 0, -1
+    for a, b in space.blocks(n):
+        p = np.asarray(place[a:b])
+        old = np.append(last, p[:-1])
+        k, j = np.searchsorted(lms, p), np.searchsorted(lms, old)
+        end = lambda i: np.where(i + 1 < n, lms[np.minimum(i + 1, n - 1)], lms[np.minimum(i, n - 1)])
+        size, with_ = end(k) - p, end(j) - old
+        same = (size == with_) & (size > 0) & (old >= 0)
+        on = np.flatnonzero(same)
+        step = 0
+        while len(on):
+            differ = text[p[on] + step] != text[old[on] + step]
+            same[on[differ]] = False
+            step += 1
+            on = on[~differ]
+            on = on[size[on] >= step]  # the first symbol of the next LMS substring counts
+        rank = np.cumsum(~same) + many
+        out[k] = rank - 1
+        many, last = int(rank[-1]), p[-1]
+    for a, b in space.blocks(n):  # the greatest came first
+        out[a:b] = many - 1 - out[a:b]
+    return out, many
+
+
+def packed_names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same in memory: several symbols at a time, of which each round sorts what is still equal. A substring that ends where another
+    goes on is the greater, as its last symbol is of type S."""
     n = len(lms)
     size = np.append(np.diff(lms) + 1, 1)
     high = int(text.max()) + 1
@@ -110,60 +280,85 @@ def names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return (np.cumsum(used) - 1)[rank]
 
 
-def induce(key: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, folder: str | None, memory: int) -> np.ndarray:
-    """Places in the order of their keys, where each place p brings p - 1 in its turn if that is ``wanted``."""
-    q, out, about = Queue(folder, memory), [], 4096
-    q.push(key[seeds], seeds)
-    while q.runs:
-        k, p = q.pop(about)
-        before = p - 1
-        ok = (p > 0) & wanted[before]
-        made = np.where(ok, key[before], np.iinfo(np.int64).max)
-        early = np.minimum.accumulate(made) < k
-        cut = int(early.argmax()) if early.any() else len(k)
-        about = min(1 << 20, about * 2) if cut == len(k) else max(256, min(about, cut * 2))
-        out.append(p[:cut])
-        ok = ok[:cut]
-        # What wasn't taken goes back ahead of what is new, as it came first.
-        q.push(np.concatenate([k[cut:], made[:cut][ok]]), np.concatenate([p[cut:], before[:cut][ok]]))
-    q.close()
-    return np.concatenate(out)
-
-
-def suffix_array(text: np.ndarray, folder: str | None = None, memory: int = MEMORY) -> np.ndarray:
-    """The places of all suffixes of ``text`` (integers; the last is the only least one) in order."""
+def _sorted(text: np.ndarray, s: np.ndarray, lms: np.ndarray, shared: np.ndarray | None, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
+    """All suffixes from LMS suffixes in order (with what each shares with the one before): greatest first, with what each shares with the one before it."""
+    n, carry = len(text), shared is not None
+    up, up_shared = induce(text, s, False, lms, shared, len(lms) + sum(int((~s[a:b]).sum()) for a, b in space.blocks(n)), cap, space)
+    left, left_shared = space.array(n - sum(int(s[a:b].sum()) for a, b in space.blocks(n)) + 1, np.int64), space.array(len(up) + 1, np.int32) if carry else None
+    # L suffixes, greatest first. Those of a symbol follow each other, so what a suffix shares with the next greater one is what came with that one.
+    at, after = 0, 0
+    for a, b in reversed(list(space.blocks(len(up)))):
+        p = np.asarray(up[a:b])[::-1]
+        large = ~s[p]
+        left[at : at + int(large.sum())] = p[large]
+        if carry:
+            with_ = np.append(after, up_shared[a:b][::-1][:-1])
+            left_shared[at : at + int(large.sum())] = with_[large]
+            after = up_shared[a]
+        at += int(large.sum())
+    left[at] = n - 1  # of type S and no one's predecessor: the last of all
+    if carry:
+        left_shared[at] = 0
+        left_shared = left_shared[: at + 1]
+    return induce(text, s, True, left, left_shared, n, cap, space)
+
+
+def suffix_array(text: np.ndarray, cap: int, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all suffixes of ``text`` (integers; the last is the only least one) in order, and what each shares with the one before it."""
+    space = space or Space()
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
-    s = types(text)
-    lms = np.flatnonzero(s & np.concatenate(([False], ~s[:-1])))
-    name = names(text, lms)
-    if len(lms) == 1 or int(name.max()) + 1 == len(lms):
-        order = lms[np.argsort(name, kind="stable")]
+        return np.zeros(1, np.int64), np.zeros(1, np.int32)
+    s = types(text, space)
+    lms = leftmost(s, space)
+    name, many = names(text, lms, s, space)
+    if many == len(lms):
+        turn, shared = space.array(many, np.int64), space.array(many, np.int32)
+        for a, b in space.blocks(many):
+            turn[name[a:b]] = np.arange(a, b)
+            shared[a:b] = 0
     else:
-        order = lms[suffix_array(name, folder, memory)]
-    key = 2 * text.astype(np.int64) + s
-    up = induce(key, ~s, order, folder, memory)
-    left = up[~s[up]]
-    # The last suffix is of type S and no one's predecessor: it starts the descent's end by itself.
-    down = induce(-key, s, np.concatenate([left[::-1], [n - 1]]), folder, memory)
-    return down[::-1]
-
-
-def repeated(data: np.ndarray, order: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """True at the places of ``starts`` (a mask) whose ``length`` bytes are those of another such place: of neighbours in suffix order
-    the common prefix is followed word by word, up to ``length``, as long as it goes on."""
-    out = np.zeros(len(data), bool)
-    at = order[starts[order]]
-    if len(at) < 2:
-        return out
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
-    pair = np.arange(len(at) - 1)
-    for k in [*range(0, length - 7, 8), max(0, length - 8)]:
-        pair = pair[word[at[pair] + k] == word[at[pair + 1] + k]]
-        if not len(pair):
-            break
-    out[at[pair]] = True
-    out[at[pair + 1]] = True
+        turn, shared = suffix_array(name, cap, space)
+    del name
+    # From names to symbols, and on to where two names differ.
+    seeds, seed_shared, last = space.array(len(lms), np.int64), space.array(len(lms), np.int32), len(lms) - 1
+    for a, b in space.blocks(len(lms)):
+        r, m = np.asarray(turn[a:b]), np.asarray(shared[a:b]).astype(np.int64)
+        p = lms[r]
+        old = np.append(lms[turn[a - 1]] if a else p[0], p[:-1])
+        seeds[a:b] = p
+        seed_shared[a:b] = common(text, old, p, lms[np.minimum(r + m, last)] - p, cap)
+    if len(lms):
+        seed_shared[0] = 0
+    down, with_ = _sorted(text, s, seeds, seed_shared, cap, space)
+    order, out = space.array(n, np.int64), space.array(n, np.int32)
+    for a, b in space.blocks(n):
+        order[a:b] = down[n - b : n - a][::-1]
+        out[a + (a == 0) : b] = with_[n - b + 1 : n - a + (a > 0)][::-1]
+    out[0] = 0
+    return order, out
+
+
+def repeated(order: np.ndarray, shared: np.ndarray, starts: np.ndarray, length: int, space: Space | None = None) -> np.ndarray:
+    """True at the places of ``starts`` (a mask) whose ``length`` symbols are those of another such place: neighbours among them in suffix order
+    share as much as the least that is shared between them."""
+    space = space or Space()
+    out = space.array(len(order), bool)
+    for a, b in space.blocks(len(order)):
+        out[a:b] = False
+    last, least = -1, 0  # the start before, and what has been shared since
+    for a, b in space.blocks(len(order)):
+        p, e = np.asarray(order[a:b]), np.asarray(shared[a:b])
+        at = np.flatnonzero(starts[p])
+        if not len(at):
+            least = min(least, int(e.min()))
+            continue
+        low = np.minimum.reduceat(e, np.append(0, at[:-1] + 1))
+        low[0] = min(int(low[0]), least) if last >= 0 else 0
+        mine = p[at]
+        old = np.append(last, mine[:-1])
+        both = low >= length
+        out[mine[both]] = True
+        out[old[both]] = True
+        last, least = int(mine[-1]), int(e[at[-1] + 1 :].min(initial=np.iinfo(np.int32).max))
     return out

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from parity import same
+from pyspark.sql import functions as F
 
 from readlake.llm import common as C
 from readlake.llm import op1_quality, op2_token_files, op3_url_rules, op4_mix, op5_brown, op6_ann, op7_reshard, op8_pack, op9_simhash, op10_repeats
@@ -650,22 +651,91 @@ def test_repeats_with_many_contexts(spark, hot):
     assert list(op10_repeats.pieces(b"x" * 500, 101, op10_repeats.HOT + 1, 400, 32)) and list(op10_repeats.pieces(rows[0][1].encode()[:600], 201, op10_repeats.HOT + 1, 400, 32))[0][1] == 0
 
 
+def shared(x, y, cap):
+    k = 0
+    while k < min(len(x), len(y), cap) and x[k] == y[k]:
+        k += 1
+    return k
+
+
 def test_suffix_arrays(tmp_path):
-    from readlake.llm.suffix import repeated, suffix_array
+    """Orders and common prefixes, in memory and with all arrays and queues in files, against sorting."""
+    from readlake.llm.suffix import Space, repeated, suffix_array
 
     r = np.random.default_rng(1)
     for _ in range(300):
         x = np.append(r.integers(1, r.integers(2, 6), r.integers(1, 60)), 0)
-        assert suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        cap, want = int(r.integers(1, 30)), sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        for space in (None, Space(str(tmp_path), int(r.integers(8, 40)))):
+            order, lcp = suffix_array(x, cap, space)
+            assert order.tolist() == want
+            assert lcp.tolist() == [0] + [shared(x[a:].tolist(), x[b:].tolist(), cap) for a, b in zip(want, want[1:], strict=False)]
     x = np.append(np.tile(r.integers(1, 4, 700), 3), 0)
     b = x.astype(np.uint8).tobytes()
-    got = suffix_array(x, str(tmp_path), 64)  # the queues' runs on disk
-    assert got.tolist() == sorted(range(len(x)), key=lambda i: b[i:]) and not list(tmp_path.iterdir())
-    data = np.frombuffer(b, np.uint8)
     starts = np.zeros(len(x), bool)
     starts[: len(x) - 21] = True
     seen = collections.Counter(b[i : i + 21] for i in range(len(x) - 21))
-    assert repeated(data, got, starts, 21).tolist()[: len(x) - 21] == [seen[b[i : i + 21]] > 1 for i in range(len(x) - 21)]
+    for space in (None, Space(str(tmp_path), 64)):
+        got = suffix_array(x, 50, space)
+        assert got[0].tolist() == sorted(range(len(x)), key=lambda i: b[i:]) and not list(tmp_path.iterdir())
+        assert repeated(*got, starts, 21, space).tolist()[: len(x) - 21] == [seen[b[i : i + 21]] > 1 for i in range(len(x) - 21)]
+
+
+def test_a_shard_far_larger_than_memory(tmp_path):
+    """A shard of over 50 times the items that may stay in memory: the answer of brute force, and no more than that in memory."""
+    import tracemalloc
+
+    r, length = random.Random(3), 100
+    memory = 1 << 13
+    passages = ["".join(r.choice("abcdef ") for _ in range(r.randint(80, 300))) for _ in range(40)]
+    rows = ["".join(r.choice(["".join(r.choice("abcdef ") for _ in range(r.randint(20, 200))), r.choice(passages)]) for _ in range(8)).encode() for _ in range(450)]
+    shard = op10_repeats.Shard(str(tmp_path), spool=1 << 16, memory=memory)
+    op10_repeats.Shard().repeats(length, 32)  # what is imported on the way is there already
+    tracemalloc.start()
+    for i, b in enumerate(rows):
+        if len(b) >= length:
+            shard.add((1, 0, i, 0, 0, len(b) - length + 1, b))
+    got = shard.repeats(length, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shard.size > 50 * memory and peak < 4 * shard.size  # a suffix array in memory takes over 60 bytes a symbol
+    hit = [set() for _ in rows]
+    for i, a, z in zip(got["ctx"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True):
+        hit[i] |= set(range(a, z))
+    seen = collections.Counter(b[i : i + length] for b in rows for i in range(len(b) - length + 1))
+    assert hit == [{i for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1} for b in rows] and sum(map(len, hit)) > 5000
+
+
+def test_planted_passages_are_cut(spark):
+    """Passages of just over 50 words that documents share go; what surrounds them, and clean documents, stay as they are."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    lex = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(lex) for _ in range(n))
+    passages = [prose(51) for _ in range(10)]
+    rows = [(i, f"{prose(r.randint(30, 200))} {passages[i % 10]} {prose(r.randint(30, 200))}", "x") for i in range(60)] + [(i, prose(r.randint(60, 400)), "x") for i in range(60, 160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string").repartition(3)
+    got = {x["doc_id"]: x["text"] for x in dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, docs, SF).collect()}
+    assert all(got[i] == t for i, t, _ in rows if i >= 60)
+    for i, t, _ in rows[:60]:
+        left, right = t.split(passages[i % 10])
+        # The blanks beside a passage, or single letters that happen to be the same there, may go with it.
+        assert got[i].startswith(left[:-8]) and got[i].endswith(right[8:]) and len(left) + len(right) - 16 <= len(got[i]) <= len(left) + len(right)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3])
+def test_stages_take_awkward_rows(spark, docs, empty, stage):
+    """Nulls, empty and repeated rows, ties, clashing names and empty tables: a stage gives rows of its input's columns, and of an empty table none."""
+    import corpus_pipeline
+
+    names = ["_id", "_w", "_head", "_row", "tkey", "row", "h", "x", "in", "at"]
+    odd = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    work = corpus_pipeline.STAGES[stage][1]
+    out = work(spark, odd, SF)
+    assert out.columns == odd.columns and out.where("_id = 7 and tkey = 7 and row = 7").count() == out.count() > 0
+    assert {x["doc_id"] for x in out.collect()} <= {i for i, *_ in ROWS}
+    assert work(spark, odd.limit(0), SF).count() == 0
 
 
 def test_pipeline(spark):
