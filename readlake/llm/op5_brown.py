@@ -238,6 +238,30 @@ def numbers_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 ROWS = "w bigint, place bigint, n bigint, ctx binary"
+#: Numbers of words in a block, with their values: count over all training texts and class. Block -1: sums, see ``values_of``.
+WORDS = "block bigint, once boolean, numbers array<int>, values array<bigint>"
+STATS = -1
+
+
+def values_of(place: np.ndarray, value: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Words by block, those that training holds once (or never) in rows of their own; and of each distinct word (``first``) the sums: tokens of
+    each class, then distinct words in training, and those with one and two tokens."""
+    once = value >> 8 <= 1
+    key = (place >> PLACE << 1) | once
+    o = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], key[o][1:] != key[o][:-1]))) if len(o) else np.zeros(0, np.int64)
+    rows = [(int(k) >> 1, bool(k & 1)) for k in key[o][edge]]
+    numbers, values, ends = [(place & ((1 << PLACE) - 1))[o]], [value[o]], [*edge.tolist(), len(o)]
+    for flag in (False, True):
+        n, cls = value[first & (once == flag)] >> 8, value[first & (once == flag)] & 255
+        sums = np.append(np.bincount(cls, n, CLASSES), [(n > 0).sum(), (n == 1).sum(), (n == 2).sum()]).astype(np.int64)
+        rows.append((STATS, flag))
+        numbers.append(np.arange(len(sums)))
+        values.append(sums)
+        ends.append(ends[-1] + len(sums))
+    at = pa.array(ends, pa.int32())
+    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(t.to_pandas_dtype()), t)) for x, t in ((numbers, pa.int32()), (values, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.bool_()), *lists], names=["block", "once", "numbers", "values"])
 
 
 def context_rows(block: int, words: np.ndarray, counts: np.ndarray, out: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, cls: np.ndarray, move: np.ndarray) -> list[pa.Array]:
@@ -283,7 +307,7 @@ def next_rows(held: DataFrame, words: DataFrame, top: Top) -> tuple[DataFrame, n
         rows = [pa.concat_arrays([r.cast(t.type), pa.array([None], t.type)]) for r, t in zip(rows, kind, strict=False)]
         return pa.table([*rows, pa.array([None] * int(move.sum()) + [pairs.astype(np.int64).tobytes()], pa.binary())], names=names)
 
-    both = held.select("block", "words", "counts", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
+    both = held.select("block", "words", "counts", "held", "sizes", "tokens").groupBy("block").cogroup(words.where(F.col("block") != STATS).groupBy("block"))
     rows = C.materialize(both.applyInArrow(work, ROWS + ", pairs binary"), "lm-rows", CODEC)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +321,6 @@ def next_rows(held: DataFrame, words: DataFrame, top: Top) -> tuple[DataFrame, n
     return rows, _matrix(rows.where(F.col("pairs").isNotNull()).select("pairs").mapInArrow(sparse, "pair bigint, n bigint"))
 
 
-def _by_block(words: DataFrame) -> DataFrame:
-    return words.select(F.shiftright("place", PLACE).alias("block"), "place", "value")
-
-
 def _matrix(pairs: DataFrame) -> np.ndarray:
     got = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES squared
     out = np.zeros(CLASSES * CLASSES)
@@ -343,7 +363,7 @@ def best_classes(hist: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
 
 
 def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFrame:
-    """``place`` (block and number in it), ``value`` (count over all training texts and class) and ``first`` (once a word)."""
+    """The classes of the words of ``rows``, as ``WORDS``."""
     spark = rows.sparkSession
     rows = rows.select("w", "place", "n", "ctx").where(F.col("w").isNotNull())
 
@@ -358,12 +378,12 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
                 hi = min(lo + 4096, len(total))
                 cls[lo:hi] = best_classes(histograms(group, ctx, slice(lo, hi)), bigrams)
             cls[total <= 1] = RARE
-            return pa.RecordBatch.from_arrays([pa.array(t["place"].to_numpy()), pa.array((total << 8 | cls)[group]), pa.array(first)], names=["place", "value", "first"])
+            return values_of(t["place"].to_numpy(), (total << 8 | cls)[group], first)
 
         yield from grouped(batches, ["w"], done)
 
     if n_blocks <= WIDE:
-        return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, "place bigint, value bigint, first boolean")
+        return rows.repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(meet, WORDS)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the rows of a word in a run of blocks: counts, and (class, count) of its contexts."""
@@ -403,15 +423,23 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
     runs = rows.withColumn("run", F.pmod(F.shiftright("place", PLACE), F.lit(-(-n_blocks // WIDE)))).repartition(C.parts(spark), "w", "run").sortWithinPartitions("w", "run")
     sums = runs.select("w", "run", "n", "ctx").mapInArrow(part, "w bigint, n bigint, hist binary").repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(whole, "w bigint, value bigint")
     sums = C.materialize(sums, "lm-values", CODEC)
-    least = rows.groupBy("w").agg(F.min("place").alias("least"))
-    return rows.select("w", "place").join(sums, "w").join(least, "w").select("place", "value", (F.col("place") == F.col("least")).alias("first"))
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(0).to_numpy()
+            yield values_of(np.zeros(len(v), np.int64), v, np.ones(len(v), bool))
+
+    value = F.col("value")
+    d = rows.select("w", "place").join(sums, "w").select(F.shiftright("place", PLACE).alias("block"), (F.shiftright("value", 8) <= 1).alias("once"), F.struct(F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("k"), value.alias("v")).alias("z"))
+    each = d.groupBy("block", "once").agg(F.collect_list("z").alias("z")).select("block", "once", F.col("z.k").alias("numbers"), F.col("z.v").alias("values"))  # a block's words
+    return each.unionByName(sums.select("value").mapInArrow(stats, WORDS).where(F.col("block") == STATS))
 
 
 def filled(words: np.ndarray, right: pa.Table, top: Top) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all training texts and classes of a block's words: of the top words, and of those in ``right`` (place, value)."""
+    """Counts over all training texts and classes of a block's words: of the top words, and of those in ``right``."""
     _, n, cls = top.of_block(words)
     if right.num_rows:
-        k, value = right["place"].to_numpy() & ((1 << PLACE) - 1), right["value"].to_numpy()
+        k, value = (right[c].combine_chunks().flatten().to_numpy() for c in ("numbers", "values"))
         n[k], cls[k] = value >> 8, value & 255
     return n, cls
 
@@ -457,18 +485,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         anew = C.materialize(place_words(rows, bigrams, n_blocks), "lm-words", CODEC)
         C.drop_scratch(spark, [rows.scratch, *done[2:]])
         done[2:] = [anew.scratch]
-        words = first.where(F.shiftright("value", 8) <= 1).unionByName(anew)
+        words = first.where("once").unionByName(anew)
         C.free(spark)
-    words_n, cls = F.shiftright("value", 8), F.col("value").bitwiseAND(F.lit(255))
-    once = F.col("first") & (words_n > 0)
-    s = words.where(once).agg(F.count("*").alias("v"), F.sum(words_n).alias("n"), F.sum((words_n == 1).cast("long")).alias("n1"), F.sum((words_n == 2).cast("long")).alias("n2")).first()
-    v, total, n1, n2 = (int(s[k] or 0) for k in ("v", "n", "n1", "n2"))
-    per = {r["cls"]: int(r["n"]) for r in words.where(once).groupBy(cls.alias("cls")).agg(F.sum(words_n).alias("n")).collect()}
+    got = words.where(F.col("block") == STATS).select(F.posexplode("values").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    sums = [0] * (CLASSES + 3)
+    for r in got:
+        sums[r["k"]] = int(r["n"])
+    per, (v, n1, n2) = dict(enumerate(sums[:CLASSES])), sums[CLASSES:]
+    total = sum(per.values())
     v, total, n1, n2 = v + len(top.words) + (top.end_count > 0), total + int(top.counts.sum()) + top.end_count, n1 + int((top.counts == 1).sum()), n2 + int((top.counts == 2).sum())
     for c, n in [(END, top.end_count), *zip(top.classes.tolist(), top.counts.tolist(), strict=True)]:
         per[c] = per.get(c, 0) + n
     C.free(spark)
-    sides = held.select("block", "words", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(_by_block(words).groupBy("block"))
+    sides = held.select("block", "words", "doc_ids", "held", "sizes", "tokens").groupBy("block").cogroup(words.where(F.col("block") != STATS).groupBy("block"))
     ready = C.materialize(sides.applyInArrow(lambda a, b: join_blocks(a, b, top), "doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, n binary, cls binary"), "lm-ready", CODEC)
     C.drop_scratch(spark, done)
     C.free(spark)
