@@ -75,7 +75,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, n).view(np.int64)
             counts = np.bincount(np.concatenate(train), minlength=n) if train else np.zeros(n, np.int64)
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-            return pa.RecordBatch.from_arrays([pa.array([part << MADE | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(tokens).tobytes()], pa.binary())], schema=kind)
+            return pa.RecordBatch.from_arrays([pa.array([part << MADE | made], pa.int64()), one(words, pa.int64()), one(counts, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([packed(np.concatenate(tokens))], pa.binary())], schema=kind)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -99,11 +99,24 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, BLOCKS)
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Tokens as they are kept and shuffled: small numbers, packed by zstandard."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(tokens.astype("<u4").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
+
+
 def block_arrays(b: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
     out = []
     for n in names:
         v = b.column(b.schema.get_field_index(n))[i]
-        out.append(np.frombuffer(v.as_buffer(), np.uint32) if n == "tokens" else v.values.to_numpy(zero_copy_only=False))
+        out.append(unpacked(v.as_buffer()) if n == "tokens" else v.values.to_numpy(zero_copy_only=False))
     return out
 
 
