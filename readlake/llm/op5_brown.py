@@ -250,7 +250,7 @@ def numbers_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-ROWS = "w bigint, place bigint, n bigint, ctx binary"
+ROWS = "w bigint, place bigint, ctx binary"
 #: Numbers of words in a block, with their values: count over all training texts and class. Block -1: sums, see ``values_of``.
 WORDS = "block bigint, once boolean, numbers array<int>, values array<bigint>"
 STATS = -1
@@ -277,8 +277,8 @@ def values_of(place: np.ndarray, value: np.ndarray, first: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.bool_()), *lists], names=["block", "once", "numbers", "values"])
 
 
-def context_rows(block: int, words: np.ndarray, counts: np.ndarray, out: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, cls: np.ndarray, move: np.ndarray) -> list[pa.Array]:
-    """For the words of ``move`` (a mask): hash, place, count in the block, and the classes before and after (those from ``CLASSES`` on) all their places."""
+def context_rows(block: int, words: np.ndarray, out: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, cls: np.ndarray, move: np.ndarray) -> list[pa.Array]:
+    """For the words of ``move`` (a mask): hash, place, and the classes before and after (those from ``CLASSES`` on) all their places in training texts."""
     train = ~np.repeat(out, sizes) & move[tokens]
     left, right, t = cls[before_of(tokens, sizes)][train], cls[after_of(tokens)][train], tokens[train]
     o = np.argsort(t, kind="stable")
@@ -286,7 +286,12 @@ def context_rows(block: int, words: np.ndarray, counts: np.ndarray, out: np.ndar
     some = np.flatnonzero(move)
     edge = np.append(np.searchsorted(t[o], some), len(o)) * 2
     ctx = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(both)])
-    return [pa.array(words[some]), pa.array((block << PLACE) + some), pa.array(counts[some], pa.int64()), ctx]
+    return [pa.array(words[some]), pa.array((block << PLACE) + some), ctx]
+
+
+def places(ctx: pa.Array) -> np.ndarray:
+    """How many places the contexts of each row are of."""
+    return np.diff(np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1]) // 2
 
 
 def first_rows(held: DataFrame, top: Top) -> DataFrame:
@@ -295,32 +300,32 @@ def first_rows(held: DataFrame, top: Top) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                w, counts, out, sizes, tokens = block_arrays(b, i, "words", "counts", "held", "sizes", "tokens")
+                w, out, sizes, tokens = block_arrays(b, i, "words", "held", "sizes", "tokens")
                 known, _, cls = top.of_block(w)
-                yield pa.RecordBatch.from_arrays(context_rows(b.column(0)[i].as_py(), w, counts, out, sizes, tokens, cls, ~known), names=["w", "place", "n", "ctx"])
+                yield pa.RecordBatch.from_arrays(context_rows(b.column(0)[i].as_py(), w, out, sizes, tokens, cls, ~known), names=["w", "place", "ctx"])
 
-    return held.select("block", "words", "counts", "held", "sizes", "tokens").mapInArrow(work, ROWS)
+    return held.select("block", "words", "held", "sizes", "tokens").mapInArrow(work, ROWS)
 
 
 def next_rows(held: DataFrame, words: DataFrame, top: Top) -> tuple[DataFrame, np.ndarray]:
     """Rows of the words that training holds more than once, by the classes that all words have now; and the class bigrams of these."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["w", "place", "n", "ctx", "pairs"]
-        kind = pa.schema([("w", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ctx", pa.binary()), ("pairs", pa.binary())])
+        names = ["w", "place", "ctx", "pairs"]
+        kind = pa.schema([("w", pa.int64()), ("place", pa.int64()), ("ctx", pa.binary()), ("pairs", pa.binary())])
         if not left.num_rows:
             return kind.empty_table()
         b = left.combine_chunks().to_batches()[0]
-        w, counts, out, sizes, tokens = block_arrays(b, 0, "words", "counts", "held", "sizes", "tokens")
+        w, out, sizes, tokens = block_arrays(b, 0, "words", "held", "sizes", "tokens")
         n, cls = filled(w, right, top)
         train = ~np.repeat(out, sizes)
         pairs = np.bincount(cls[before_of(tokens, sizes)][train] * CLASSES + cls[tokens][train], minlength=CLASSES * CLASSES)
         move = ~top.of_block(w)[0] & (n > 1)
-        rows = context_rows(b.column(0)[0].as_py(), w, counts, out, sizes, tokens, cls, move)
+        rows = context_rows(b.column(0)[0].as_py(), w, out, sizes, tokens, cls, move)
         rows = [pa.concat_arrays([r.cast(t.type), pa.array([None], t.type)]) for r, t in zip(rows, kind, strict=False)]
         return pa.table([*rows, pa.array([None] * int(move.sum()) + [pairs.astype(np.int64).tobytes()], pa.binary())], names=names)
 
-    both = held.select("block", "words", "counts", "held", "sizes", "tokens").groupBy("block").cogroup(words.where(F.col("block") != STATS).groupBy("block"))
+    both = held.select("block", "words", "held", "sizes", "tokens").groupBy("block").cogroup(words.where(F.col("block") != STATS).groupBy("block"))
     rows = C.materialize(both.applyInArrow(work, ROWS + ", pairs binary"), "lm-rows", CODEC)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,15 +383,15 @@ def best_classes(hist: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
 def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFrame:
     """The classes of the words of ``rows``, as ``WORDS``."""
     spark = rows.sparkSession
-    rows = rows.select("w", "place", "n", "ctx").where(F.col("w").isNotNull())
+    rows = rows.select("w", "place", "ctx").where(F.col("w").isNotNull())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
-            w, n = t["w"].to_numpy(), t["n"].to_numpy()
+            w, ctx = t["w"].to_numpy(), t["ctx"].combine_chunks()
             first = np.concatenate(([True], w[1:] != w[:-1]))
             group = np.cumsum(first) - 1
-            total = np.bincount(group, n).astype(np.int64)
-            ctx, cls = t["ctx"].combine_chunks(), np.full(len(total), RARE, np.int64)
+            total = np.bincount(group, places(ctx)).astype(np.int64)
+            cls = np.full(len(total), RARE, np.int64)
             for lo in range(0, len(total), 4096):  # a bounded table of words by contexts
                 hi = min(lo + 4096, len(total))
                 cls[lo:hi] = best_classes(histograms(group, ctx, slice(lo, hi)), bigrams)
@@ -402,7 +407,7 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
         """Of the rows of a word in a run of blocks: counts, and (class, count) of its contexts."""
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            w, run, n = t["w"].to_numpy(), t["run"].to_numpy(), t["n"].to_numpy()
+            w, run = t["w"].to_numpy(), t["run"].to_numpy()
             first = np.concatenate(([True], (w[1:] != w[:-1]) | (run[1:] != run[:-1])))
             group = np.cumsum(first) - 1
             ctx, out = t["ctx"].combine_chunks(), []
@@ -410,7 +415,7 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
                 for h in histograms(group, ctx, slice(lo, min(lo + 4096, int(group[-1]) + 1))):
                     k = np.flatnonzero(h)
                     out.append(np.stack([k, h[k]]).astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.bincount(group, n).astype(np.int64)), pa.array(out, pa.binary())], names=["w", "n", "hist"])
+            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.bincount(group, places(ctx)).astype(np.int64)), pa.array(out, pa.binary())], names=["w", "n", "hist"])
 
         yield from grouped(batches, ["w", "run"], done)
 
@@ -434,7 +439,7 @@ def place_words(rows: DataFrame, bigrams: np.ndarray, n_blocks: int) -> DataFram
         yield from grouped(batches, ["w"], done)
 
     runs = rows.withColumn("run", F.pmod(F.shiftright("place", PLACE), F.lit(-(-n_blocks // WIDE)))).repartition(C.parts(spark), "w", "run").sortWithinPartitions("w", "run")
-    sums = runs.select("w", "run", "n", "ctx").mapInArrow(part, "w bigint, n bigint, hist binary").repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(whole, "w bigint, value bigint")
+    sums = runs.select("w", "run", "ctx").mapInArrow(part, "w bigint, n bigint, hist binary").repartition(C.parts(spark), "w").sortWithinPartitions("w").mapInArrow(whole, "w bigint, value bigint")
     sums = C.materialize(sums, "lm-values", CODEC)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
