@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import os
@@ -9,9 +10,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import reads as rd
 from .operators import reference as ref
-from .operators.integrity import file_fingerprint
-from .sources import archive
+from .operators.integrity import MODES, file_fingerprint
+from .sources import archive, blocks
 from .sources.fasta import FastaSource, contigs
 from .sources.fastq import FastqSource
 from .sources.files import local_paths
@@ -20,32 +22,63 @@ log = logging.getLogger("readlake")
 
 
 def register(spark: SparkSession) -> None:
-    for s in (FastqSource, FastaSource):
+    for s in (FastqSource, FastaSource, blocks.BlockSource):
         spark.dataSource.register(s)
 
 
-def open_reads(spark: SparkSession, path: str, mode: str = "PERMISSIVE", split_bytes: int = 32 << 20) -> DataFrame:
-    """Reads of FASTQ files, plain or gzip by their content."""
+def open_reads(spark: SparkSession, path: str, mode: str = "PERMISSIVE", split_bytes: int = 32 << 20, keep_cr: bool = False) -> DataFrame:
+    """Reads of FASTQ files, plain or gzip by their content. ``keep_cr``: a record whose lines end in a carriage return has one after its id."""
     register(spark)
-    return spark.read.format("fastq").option("mode", mode).option("splitBytes", split_bytes).load(path)
+    return spark.read.format("fastq").option("mode", mode).option("splitBytes", split_bytes).option("keepCR", str(keep_cr)).load(path)
 
 
 def open_reference(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of a reference; the files of a folder lie one after the other, in the order of their names."""
     register(spark)
-    return spark.read.format("fasta").load(path)
+    d = spark.read.format("fasta").load(path)
+    if len(local_paths(path)) == 1:
+        return d
+    before, at = {}, 0
+    for r in d.groupBy("file_idx").agg(F.sum(F.length("seq")).alias("n")).orderBy("file_idx").collect():  # a row a file
+        before[r["file_idx"]], at = at, at + r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("file_idx")) if before else F.lit(0)
+    return d.withColumn("base0", F.col("base0") + offset.cast("long"))
 
 
 def fingerprint(path: str) -> str:
-    with open(local_paths(path)[0], "rb") as f:
-        return file_fingerprint(f)
-
-
-def compress(spark: SparkSession, path: str, out: str, reference: str | None = None, force: bool = False, remove: bool = False, pack: bool = False) -> None:
-    """FASTQ files to an archive. ``remove`` deletes the input, after the archive was read back and found whole; ``pack`` keeps what is
-    needed of the reference in the archive."""
+    """Of a file; of several, of their fingerprints in order."""
+    found = []
+    for p in local_paths(path):
+        with open(p, "rb") as f:
+            found.append(file_fingerprint(f))
+    return found[0] if len(found) == 1 else hashlib.md5("".join(found).encode()).hexdigest()[:8]
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """``fastq`` where every record of every file is valid, else ``binary``."""
+    ok = F.lit(True)
+    for v in rd.checks().values():
+        ok = ok & v
+    id_ = F.when(F.col("id").endswith("\r"), F.expr("substring(id, 1, length(id) - 1)")).otherwise(F.col("id"))
+    least = open_reads(spark, path, keep_cr=True).withColumn("id", id_).select(F.coalesce(ok, F.lit(False)).cast("int").alias("ok")).agg(F.min("ok")).first()[0]
+    return "fastq" if least == 1 else "binary"
+
+
+def compress(spark: SparkSession, path: str, out: str, reference: str | None = None, force: bool = False, remove: bool = False, pack: bool = False, level: int = 5) -> None:
+    """Files to an archive: FASTQ as columns, anything else as blocks of bytes. ``level`` sets the size of blocks. ``remove`` deletes the input, after the
+    archive was read back and found whole; ``pack`` keeps what is needed of the reference in the archive."""
+    mode, size = "overwrite" if force else "errorifexists", rd.LEVELS[level]
+    if kind_of(spark, path) == "binary":
+        blocks.write(spark.read.format("blocks").option("blockBytes", min(size, blocks.SIZE)).load(path), out, mode)
+        if remove:
+            if blocks.unpacked(spark.read.parquet(f"{out}/data")).where("not coalesce(ok, false)").limit(1).count():
+                raise ValueError(f"{out} is damaged; the input stays")
+            for p in local_paths(path):
+                os.remove(p)
+        return
     segments = open_reference(spark, reference) if reference else None
     facts = {} if segments is None else {"reference": os.path.basename(reference), "reference_len": int(segments.agg(F.sum(F.length("seq"))).first()[0] or 0), "reference_fp": fingerprint(reference)}
-    archive.write(open_reads(spark, path, "FAILFAST"), out, segments, "overwrite" if force else "errorifexists", facts, pack)
+    archive.write(open_reads(spark, path, "FAILFAST", size, keep_cr=True), out, segments, mode, facts | {"level": level}, pack)
     if remove:
         if archive.damaged(spark, out, segments).limit(1).count():
             raise ValueError(f"{out} is damaged; the input stays")
@@ -53,10 +86,24 @@ def compress(spark: SparkSession, path: str, out: str, reference: str | None = N
             os.remove(p)
 
 
-def decompress(spark: SparkSession, path: str, out: str, reference: str | None = None, zipped: bool = False, force: bool = False) -> None:
-    """An archive back to FASTQ text."""
+def decompress(spark: SparkSession, path: str, out: str, reference: str | None = None, zipped: bool = False, force: bool = False, mode: str = "FAILFAST") -> None:
+    """An archive back to FASTQ text, or to the files that it was made of. Blocks are held against their MD5 first: damaged ones fail it
+    (FAILFAST), are left out (DROPMALFORMED), or are written with a warning (PERMISSIVE)."""
+    if mode not in MODES:
+        raise ValueError(mode)
+    if archive.meta(spark, path).get("kind") == "binary":
+        blocks.restore(spark, path, out, force, mode)
+        return
     segments = check_reference(spark, path, reference)
-    archive.write_text(archive.read(spark, path, segments), out, zipped, "overwrite" if force else "errorifexists")
+    reads = archive.read(spark, path, segments)
+    bad = archive.damaged(spark, path, segments)
+    if mode == "DROPMALFORMED":
+        reads = reads.join(bad.select("file_idx", "block_id"), ["file_idx", "block_id"], "left_anti")
+    elif n := bad.count():
+        if mode == "FAILFAST":
+            raise ValueError(f"{n} damaged blocks in {path}")
+        log.warning("%d damaged blocks in %s", n, path)
+    archive.write_text(reads, out, zipped, "overwrite" if force else "errorifexists")
 
 
 def check_reference(spark: SparkSession, path: str, reference: str | None) -> DataFrame | None:

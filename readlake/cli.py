@@ -22,7 +22,9 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compress")
     c.add_argument("-e", "--remove", action="store_true", help="delete the input after the archive was verified")
     c.add_argument("-i", "--pack", action="store_true", help="keep what is needed of the reference in the archive")
+    c.add_argument("-l", "--level", type=int, choices=range(1, 10), default=5, help="size of blocks")
     d = sub.add_parser("decompress")
+    d.add_argument("-m", "--mode", choices=["FAILFAST", "DROPMALFORMED", "PERMISSIVE"], default="FAILFAST", help="what to do with damaged blocks")
     d.add_argument("-z", "--gzip", action="store_true")
     i = sub.add_parser("index")
     q = sub.add_parser("query")
@@ -66,14 +68,15 @@ def main(argv: list[str] | None = None) -> int:
         os.makedirs(a.folder, exist_ok=True)
     if a.command == "compress":
         with spooled(a.input) as path:
-            api.compress(spark, path, a.output or output_name(a.input, a.folder), a.reference, a.force, a.remove and path == a.input, a.pack)
+            api.compress(spark, path, a.output or output_name(a.input, a.folder), a.reference, a.force, a.remove and path == a.input, a.pack, a.level)
     elif a.command == "decompress" and a.output == "-":
         from .sources import archive
 
         for text in archive.text(archive.read(spark, a.input, api.check_reference(spark, a.input, a.reference))).toLocalIterator(prefetchPartitions=True):
-            sys.stdout.write(text["value"] + "\n")
+            sys.stdout.buffer.write(text["value"].encode("latin-1") + b"\n")
+        sys.stdout.buffer.flush()
     elif a.command == "decompress":
-        api.decompress(spark, a.input, a.output or restored_name(a.input, a.folder, a.gzip), a.reference, a.gzip, a.force)
+        api.decompress(spark, a.input, a.output or restored_name(a.input, a.folder, a.gzip), a.reference, a.gzip, a.force, a.mode)
     elif a.command == "index":
         api.index(spark, a.input, a.output or output_name(a.input, a.folder, ".index"), a.force)
     else:

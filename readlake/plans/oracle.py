@@ -154,5 +154,7 @@ SQL = {
     "q_archive_union": "SELECT (doc_id % 2)::int AS file_idx, doc_id // 250 AS block_id, count(*) AS n_rec FROM documents GROUP BY 1, 2",
     "q_level_block_size": f"SELECT l.level, l.size AS block_size, (b // l.size + CASE WHEN b % l.size > 0 THEN 1 ELSE 0 END)::bigint AS blocks FROM (VALUES {', '.join(f'({k}, {v}::bigint)' for k, v in LEVELS.items())}) l(level, size), (SELECT sum(strlen(text))::bigint AS b FROM documents)",
     "q_meta_json": """SELECT event_id, '{"type":"'||event_type||'","stream":{"id":'||user_id||',"k":'||(event_id % 7)||'}}' AS doc, event_type AS type, user_id AS id, event_id % 7 AS k FROM events""",
+    "q_binary_roundtrip": "SELECT doc_id, strlen(text) AS n, greatest(1, (strlen(text) + 4095) // 4096) AS blocks, md5(text) AS md5, 1 AS ok FROM documents WHERE text IS NOT NULL",
+    "q_long_read_roundtrip": f"WITH {REF}, l AS (SELECT rid, size, (rid * 997) % (n - size) AS at_, s FROM (SELECT s_suppkey AS rid, least(s_suppkey * 1201 % 11901 + 100, n // 2) AS size, n, s FROM supplier, ref)), w AS (SELECT rid, substr(s, (at_ + 1)::int, size::int) AS w FROM l) SELECT rid, length(w) AS n, md5(CASE WHEN rid % 2 = 1 THEN {RC('w')} ELSE w END) AS md5, 1 AS ok FROM w",
     "q_stream_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -245,6 +245,23 @@ def archive_roundtrip(spark, sf: str) -> DataFrame:
     return archive.block_md5(d).select("block_id", "n_rec", "n_bytes", "md5").join(now, "block_id").withColumn("ok", (F.col("md5") == F.col("back")).cast("int"))
 
 
+def binary_roundtrip(docs: DataFrame) -> DataFrame:
+    """Texts as files of bytes: cut in blocks of 4096, compressed, restored and put together again in order."""
+    from ..sources import blocks
+
+    d = docs.select("doc_id", F.encode("text", "UTF-8").alias("data")).where(F.col("data").isNotNull())
+    back = blocks.unpacked(blocks.packed(blocks.cut(d, "data", 4096))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_id", "data"))).alias("b"), F.sum("n_bytes").alias("n"), F.min(F.col("ok").cast("int")).alias("ok"))
+    whole = F.aggregate("b", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["data"]))
+    return back.select("doc_id", "n", F.size("b").cast("long").alias("blocks"), F.md5(whole).alias("md5"), "ok")
+
+
+def long_read_roundtrip(spark, sf: str) -> DataFrame:
+    """Reads of 100 to 12,000 bases, mapped, kept as place and difference, and restored."""
+    r, s = views.long_reads(spark, sf), views.segments(spark, sf)
+    back = M.restored(M.map_reads(r, s), r, s).withColumnRenamed("bases", "back")
+    return r.join(back, "rid").select("rid", F.length("back").cast("long").alias("n"), F.md5("back").alias("md5"), (F.col("back") == F.col("bases")).cast("int").alias("ok"))
+
+
 def streamed_counts(spark, sf: str) -> DataFrame:
     """Events by type and hour, read as a stream with a watermark; the state is complete when the files are read."""
     from ..streaming.micro import windowed_counts
@@ -319,5 +336,7 @@ QUERIES = {
     "q_level_block_size": level_block_size,
     "q_meta_json": meta_json,
     "q_archive_roundtrip": archive_roundtrip,
+    "q_binary_roundtrip": _docs(binary_roundtrip),
+    "q_long_read_roundtrip": long_read_roundtrip,
     "q_stream_counts": streamed_counts,
 }

@@ -61,3 +61,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.col("rid") % READ + 1).cast("int")
     swapped = F.concat(F.substring("w", F.lit(1), p - 1), F.translate(F.substring("w", p, F.lit(1)), "ACGT", "CATG"), F.substring("w", p + 1, F.lit(READ)))
     return d.select("rid", "at", F.when(F.col("rid") % 2 == 1, B.revcomp(swapped)).otherwise(swapped).alias("bases"))
+
+
+def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read of 100 to 12,000 bases (at most half of the reference) for each supplier, odd keys on the other strand."""
+    total = table(spark, sf_dir, "part").count() * SEG
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rid"))
+    size = F.least(F.col("rid") * 1201 % 11901 + 100, F.lit(total // 2))
+    d = d.select("rid", size.cast("int").alias("n")).withColumn("at", F.col("rid") * 997 % (total - F.col("n")))
+    keys = F.sequence(F.floor(F.col("at") / SEG), F.floor((F.col("at") + F.col("n") - 1) / SEG))
+    w = F.substring(F.array_join(F.transform(keys, seg), ""), (F.col("at") % SEG + 1).cast("int"), F.col("n"))
+    return d.select("rid", w.alias("w")).select("rid", F.when(F.col("rid") % 2 == 1, B.revcomp("w")).otherwise(F.col("w")).alias("bases"))

@@ -95,12 +95,13 @@ def damaged(spark: SparkSession, path: str, segments: DataFrame | None = None) -
 
 
 def text(reads: DataFrame) -> DataFrame:
-    """Reads as text in order, over sorted ranges."""
+    """Reads as text in order, over sorted ranges. Characters stand for bytes, as the fastq source reads them."""
     d = reads.repartitionByRange("file_idx", "block_id", "rec").sortWithinPartitions("file_idx", "block_id", "rec")
-    return d.select(F.expr("concat_ws('\n', id, bases, comment, qual)").alias("value"))
+    turned = F.expr("concat(concat_ws('\r\n', substring(id, 1, length(id) - 1), bases, comment, qual), '\r')")  # all lines of the record had one
+    return d.select(F.when(F.col("id").endswith("\r"), turned).otherwise(F.expr("concat_ws('\n', id, bases, comment, qual)")).alias("value"))
 
 
 def write_text(reads: DataFrame, path: str, zipped: bool = False, mode: str = "errorifexists") -> None:
     """Reads as text files in order."""
-    w = text(reads).write.mode(mode)
+    w = text(reads).select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.mode(mode)
     (w.option("compression", "gzip") if zipped else w).text(path)

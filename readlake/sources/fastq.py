@@ -28,12 +28,20 @@ def valid(four: list[bytes]) -> bool:
     return four[0][:1] == b"@" and bool(BASES.match(four[1])) and four[2][:1] == b"+" and len(four[3]) == len(four[1])
 
 
-def records(r: Range, mode: str) -> Iterator[tuple[int, list[bytes]]]:
+def plain(four: list[bytes]) -> list[bytes]:
+    """A record without its carriage returns, but for one after the id if all of its lines have one."""
+    if not any(x.endswith(b"\r") for x in four):
+        return four
+    out = [x.removesuffix(b"\r") for x in four]
+    return [out[0] + b"\r", *out[1:]] if all(x.endswith(b"\r") for x in four) else four
+
+
+def records(r: Range, mode: str, keep_cr: bool = False) -> Iterator[tuple[int, list[bytes]]]:
     """(offset, four lines) of the records that begin in the range.
 
     Modes: FAILFAST raises at an invalid record; DROPMALFORMED goes on at the next valid one; PERMISSIVE gives the record as it is.
     """
-    rows = lines(r.path, max(0, r.start - 1))
+    rows = lines(r.path, max(0, r.start - 1), keep_cr)
     if r.start:
         next(rows, None)  # the rest of a line that began before, or the end of the one before
     held: deque[tuple[int, bytes]] = deque()
@@ -46,7 +54,7 @@ def records(r: Range, mode: str) -> Iterator[tuple[int, list[bytes]]]:
             continue
         if held[0][0] >= r.end:
             return
-        four = [x for _, x in held]
+        four = plain([x for _, x in held]) if keep_cr else [x for _, x in held]
         if valid(four):
             yield held[0][0], four
             held.clear()
@@ -69,6 +77,7 @@ class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mode = options["path"], options.get("mode", "PERMISSIVE").upper()
         self.split = int(options.get("splitbytes", options.get("splitBytes", 32 << 20)))
+        self.keep_cr = options.get("keepcr", options.get("keepCR", "false")).lower() == "true"
 
     def partitions(self) -> list[Range]:
         out = []
@@ -80,7 +89,7 @@ class FastqReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[tuple]:
         # A record's number: its place in the file, which orders records across ranges.
-        for at, four in records(partition, self.mode):
+        for at, four in records(partition, self.mode, self.keep_cr):
             yield (partition.file_idx, partition.number, at, *(x.decode("latin-1") for x in four))
 
 

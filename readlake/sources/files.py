@@ -23,14 +23,15 @@ def is_gzip(path: str) -> bool:
         return f.read(2) == b"\x1f\x8b" and os.path.getsize(path) > 3
 
 
-def lines(path: str, start: int = 0) -> Iterator[tuple[int, bytes]]:
+def lines(path: str, start: int = 0, keep_cr: bool = False) -> Iterator[tuple[int, bytes]]:
     """(offset, line without its end) from ``start`` on; all members of a gzip file are read. Blank lines are lines."""
     with (gzip.open(path, "rb") if is_gzip(path) else open(path, "rb")) as f:
         if start:
             f.seek(start)
         at = start
         for line in f:
-            yield at, line.rstrip(b"\n").removesuffix(b"\r")
+            own = line.rstrip(b"\n")
+            yield at, own if keep_cr else own.removesuffix(b"\r")
             at += len(line)
 
 

@@ -183,4 +183,73 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("reads_in").count() == 30
-    assert callable(stream_to_blocks)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for _ in range(2):  # the second time there is nothing new
+        stream_to_blocks(read_stream(spark, str(tmp_path / "in")), out, mark).awaitTermination()
+        assert spark.read.parquet(out).count() == 30
+
+
+def restored(folder) -> bytes:
+    return b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
+
+
+def test_bytes_come_back_as_they_were(spark, tmp_path):
+    """Characters beyond ASCII, carriage returns, and both in one file."""
+    text = fastq(20).replace("@run", "@r\xe9n").encode("latin-1")
+    for name, raw in (("latin", text), ("crlf", fastq(20).replace("\n", "\r\n").encode()), ("mixed", text + fastq(5).replace("\n", "\r\n").encode() + text)):
+        (tmp_path / name).write_bytes(raw)
+        api.compress(spark, str(tmp_path / name), str(tmp_path / f"{name}.rla"))
+        assert archive.meta(spark, str(tmp_path / f"{name}.rla")).get("kind") != "binary"
+        api.decompress(spark, str(tmp_path / f"{name}.rla"), str(tmp_path / f"{name}.back"))
+        assert restored(tmp_path / f"{name}.back") == raw
+
+
+def test_binary_files(spark, tmp_path, monkeypatch):
+    """What is no FASTQ goes to blocks and comes back byte for byte; a damaged block fails it."""
+    from readlake.sources import blocks
+
+    monkeypatch.setattr(blocks, "SIZE", 1000)
+    (tmp_path / "in").mkdir()
+    content = {"a.bin": random.Random(1).randbytes(4321), "b.fastq": (fastq(10) + "@broken\nAC\n").encode(), "empty": b"", "z.gz": gzip.compress(b"not reads" * 50)}
+    for name, raw in content.items():
+        (tmp_path / "in" / name).write_bytes(raw)
+    api.compress(spark, str(tmp_path / "in"), str(tmp_path / "x.rla"), level=1)
+    api.decompress(spark, str(tmp_path / "x.rla"), str(tmp_path / "back"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "back").iterdir()} == content
+    assert spark.read.parquet(str(tmp_path / "x.rla/data")).where("name = 'a.bin'").count() == 5
+    bad = spark.read.parquet(str(tmp_path / "x.rla/data")).withColumn("md5", F.when((F.col("name") == "a.bin") & (F.col("block_id") == 2), "x").otherwise(F.col("md5")))
+    bad.write.parquet(str(tmp_path / "y.rla/data"))
+    spark.read.parquet(str(tmp_path / "x.rla/meta")).write.parquet(str(tmp_path / "y.rla/meta"))
+    with pytest.raises(ValueError, match="1 damaged"):
+        api.decompress(spark, str(tmp_path / "y.rla"), str(tmp_path / "no"))
+    api.decompress(spark, str(tmp_path / "y.rla"), str(tmp_path / "some"), mode="DROPMALFORMED")
+    assert (tmp_path / "some" / "a.bin").read_bytes() == content["a.bin"][:2000] + bytes(1000) + content["a.bin"][3000:]
+
+
+def test_damaged_blocks_of_reads(spark, tmp_path):
+    (tmp_path / "r.fastq").write_text(fastq(60))
+    api.compress(spark, str(tmp_path / "r.fastq"), str(tmp_path / "r.rla"))
+    reads = spark.read.parquet(str(tmp_path / "r.rla/reads"))
+    reads.withColumn("qual", F.regexp_replace("qual", "^.", "#")).write.partitionBy("file_idx").parquet(str(tmp_path / "d.rla/reads"))
+    for name in ("blocks", "meta"):
+        spark.read.parquet(str(tmp_path / f"r.rla/{name}")).write.parquet(str(tmp_path / f"d.rla/{name}"))
+    with pytest.raises(ValueError, match="1 damaged"):
+        api.decompress(spark, str(tmp_path / "d.rla"), str(tmp_path / "no"))
+    api.decompress(spark, str(tmp_path / "d.rla"), str(tmp_path / "none"), mode="DROPMALFORMED")
+    assert restored(tmp_path / "none") == b""
+    api.decompress(spark, str(tmp_path / "d.rla"), str(tmp_path / "all"), mode="PERMISSIVE")
+    assert len(restored(tmp_path / "all")) == len(fastq(60))
+
+
+def test_reference_of_several_files(spark, tmp_path):
+    g = genome(9000)
+    (tmp_path / "ref").mkdir()
+    (tmp_path / "ref" / "c1.fa").write_text(">c1\n" + g[:4500] + "\n")
+    (tmp_path / "ref" / "c2.fa").write_text(">c2\n" + g[4500:] + "\n")
+    df = api.open_reference(spark, str(tmp_path / "ref"))
+    assert "".join(r["seq"] for r in df.orderBy("base0").collect()) == g
+    text = mapped_reads(g, 40)
+    (tmp_path / "r.fastq").write_text(text)
+    api.compress(spark, str(tmp_path / "r.fastq"), str(tmp_path / "r.rla"), str(tmp_path / "ref"))
+    api.decompress(spark, str(tmp_path / "r.rla"), str(tmp_path / "back"), str(tmp_path / "ref"))
+    assert restored(tmp_path / "back").decode() == text
