@@ -112,14 +112,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """The documents that pass, with all their columns."""
-    slim = docs.select(id_col, text_col, stratum)
-    feats = C.materialize(features(slim, text_col).drop(text_col), "quality")
-    cuts = cutoffs(feats, labels, id_col, stratum)
-    whole = features(docs.select(F.struct("*").alias("_row"), F.col(text_col), F.col(stratum)), text_col)
-    names = [stratum, "base_failed", *(f"_{f}" for f in FEATURES)]
-    # Through an explode no predicate is pushed: the filter would take copies of all features' expressions with it.
-    held = whole.select("_row", F.explode(F.array(F.struct(*names))).alias("_f")).select("_row", *[F.col("_f")[n].alias(n) for n in names])
-    return verdict(held, cuts, stratum).where("kept").select("_row.*")
+    # Features are worked out once: rows and features are written together, and cut-offs and verdicts read what they need of them.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.col(stratum).alias("_lang"))
+    feats = C.materialize(features(rows, "_text").drop("_text"), "quality")
+    cuts = cutoffs(feats, labels, "_doc", "_lang")
+    return verdict(feats, cuts, "_lang").where("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
