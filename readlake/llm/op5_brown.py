@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOP, CLASSES, ROUNDS, BLOCK = 1024, 64, 30, 8 << 20
+TOP, CLASSES, ROUNDS, BLOCK = 1024, 64, 30, 12 << 20
 #: Passes over the other words; blocks whose rows of a word may meet at once.
 PASSES, WIDE = 1, 4096
 FOLDS, HELD = 7, 2
