@@ -493,11 +493,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark, n_blocks = docs.sparkSession, held.count()
     top, bigrams = top_classes(held)
     C.free(spark)
-    words = first = C.materialize(place_words(first_rows(held, top), bigrams, n_blocks), "lm-words", CODEC)
-    done = [held.scratch, first.scratch]
+    # In two folders, as only the words that training holds once are needed in the end.
+    path = C.new_path(spark, "lm-words")
+    place_words(first_rows(held, top), bigrams, n_blocks).write.option("compression", CODEC).partitionBy("once").parquet(path)
+    words = first = spark.read.schema(WORDS).parquet(path).select("block", "once", "numbers", "values")
+    done = [held.scratch, path]
     C.free(spark)
     for _ in range(PASSES):
         rows, bigrams = next_rows(held, words, top)
+        C.drop_scratch(spark, [f"{path}/once=false"])
         C.free(spark)
         # Words that training holds once are in no row: they stay as they are, in their class.
         anew = C.materialize(place_words(rows, bigrams, n_blocks), "lm-words", CODEC)
