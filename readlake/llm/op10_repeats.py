@@ -240,7 +240,7 @@ def anchored(data: np.ndarray, place: np.ndarray, length: int, gram: int) -> np.
     key = h[place]
     for k, at in enumerate(((length - gram) // 2, length - gram), 1):
         key = remixed(key, k) ^ h[place + at]
-    o = np.argsort(key, kind="stable")
+    o = np.argsort(key)
     same = key[o][1:] == key[o][:-1]
     out = np.zeros(len(place), bool)
     out[o[1:]] = same

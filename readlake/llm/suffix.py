@@ -55,14 +55,14 @@ class Queue:
         self.space, self.runs = space, []
 
     def push(self, rank: np.ndarray, item: np.ndarray) -> None:
+        """Tuples in order of their ranks."""
         if not len(rank):
             return
-        o = np.argsort(rank)
-        run, most = (rank[o], item[o]), self.space.memory // 4 if self.space.folder else 1 << 62
+        run, most = (rank, item), self.space.memory // 4 if self.space.folder else 1 << 62
         while self.runs and len(run[0]) <= most and (left := len(self.runs[-1][0]) - self.runs[-1][2]) < 3 * len(run[0]) and left <= most:
             old, value, at = self.runs.pop()
             both = np.concatenate([old[at:], run[0]])
-            o = np.argsort(both)
+            o = np.argsort(both, kind="stable")  # merges sorted runs
             run = both[o], np.concatenate([value[at:], run[1]])[o]
         if len(run[0]) > most:
             kept = self.space.file(len(run[0]), np.int64), self.space.file(len(run[0]), np.int64)
@@ -84,7 +84,7 @@ class Queue:
         if len(got) == 1:
             return got[0]
         rank = np.concatenate([r for r, _ in got])
-        o = np.argsort(rank)
+        o = np.argsort(rank, kind="stable")
         return rank[o], np.concatenate([v for _, v in got])[o]
 
     def put_back(self, rank: int) -> None:
@@ -143,6 +143,30 @@ def range_min(e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_rounds(text: np.ndarray, s: np.ndarray, p: np.ndarray, e: np.ndarray | None, open_: int, cap: int, most: int) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """What the suffixes ``p`` of one key, all that wait for it, bring to that same key: those one symbol longer, those two symbols longer and so on,
+    each in the order of ``p``; and their common prefixes, from ``e`` and, for the first, what is shared since the last of ``p`` was induced
+    (``open_``). None above ``most`` of them."""
+    places, lengths, n = [], [], 0
+    while True:
+        before = np.maximum(p - 1, 0)
+        on = np.flatnonzero((p > 0) & (text[before] == text[p[0]]) & (s[before] == s[p[0]]))
+        if not len(on):
+            break
+        if e is not None:
+            least = np.minimum.reduceat(e[: on[-1] + 1], np.append(0, on[:-1] + 1))
+            least[0] = min(int(least[0]), open_)
+            open_ = int(e[on[-1] + 1 :].min(initial=cap))
+            e = np.minimum(least + 1, cap)
+            lengths.append(e)
+        p = before[on]
+        places.append(p)
+        n += len(p)
+        if n > most:
+            return None
+    return np.concatenate(places), np.concatenate(lengths) if e is not None else None
+
+
 def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, shared: np.ndarray | None, total: int, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
     """The ``total`` suffixes that ``seeds`` (in order, with their common prefixes) are and bring, in order: ascending with L suffixes
     induced, or ``down`` with S suffixes; and what each shares with the one before it (nothing is carried where ``shared`` is None)."""
@@ -152,10 +176,12 @@ def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, share
     q, seq, about = Queue(space), 0, 4096
     for a, b in space.blocks(len(seeds)):
         p = np.asarray(seeds[a:b])
-        q.push(sign * (2 * text[p].astype(np.int64) + s[p]) << bits | np.arange(seq, seq + b - a), p << wide | (shared[a:b] if carry else 0))
+        rank, item = sign * (2 * text[p].astype(np.int64) + s[p]) << bits | np.arange(seq, seq + b - a), p << wide | (shared[a:b] if carry else 0)
+        o = np.argsort(rank, kind="stable")
+        q.push(rank[o], item[o])
         seq += b - a
     out, common_ = space.array(total, np.int64), space.array(total, np.int32) if carry else None
-    done, last, last_key = 0, -1, None
+    done, last, last_key, too_long = 0, -1, None, None
     open_keys, open_least = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while q.runs:
         rank, item = q.pop(min(about, space.memory))
@@ -170,20 +196,43 @@ def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, share
         if cut < len(rank):
             q.put_back(rank[cut])
             rank, item, p, ok, own, made = rank[:cut], item[:cut], p[:cut], ok[:cut], own[:cut], made[:cut]
-        out[done : done + cut] = p
-        pushed = np.flatnonzero(ok)
-        lengths: np.ndarray | int = 0
+        key = rank >> bits
         if carry:
-            key = rank >> bits
             old, old_key = np.append(last, p[:-1]), np.append(key[0] - 4 if last_key is None else last_key, key[:-1])
             e = np.where(key == old_key, item & ((1 << wide) - 1), 0)
             turn = np.flatnonzero((key != old_key) & ((sign * key) >> 1 == (sign * old_key) >> 1))
             e[turn] = common(text, old[turn], p[turn], np.ones(len(turn), np.int64), cap)
+        # A run of equal symbols would leave the queue one symbol at a time: where all tuples of the last key are at hand, its runs are followed here.
+        own = own[:cut]
+        again = np.flatnonzero(ok & (own == key[-1]))
+        if len(again) and key[-1] != too_long and key[again[0]] == key[-1] and not any(x[0][x[2]] >> bits == key[-1] for x in q.runs):
+            from_ = int(np.searchsorted(key, key[-1]))
+            k = np.searchsorted(open_keys, key[-1])
+            least = open_least[k] if k < len(open_keys) and open_keys[k] == key[-1] else 0
+            rounds = run_rounds(text, s, p[from_:], e[from_:] if carry else None, min(int(least), int(e[:from_].min(initial=cap))) if carry else 0, cap, space.memory)
+            if rounds is None:
+                too_long = key[-1]
+            else:
+                ok[again] = False
+                more = rounds[0]
+                before_more = np.maximum(more - 1, 0)
+                own_more = sign * (2 * text[before_more].astype(np.int64) + down)
+                ok_more = (more > 0) & (s[before_more] == down) & (own_more != key[-1])
+                p, key, own = np.append(p, more), np.append(key, np.full(len(more), key[-1])), np.append(own, own_more)
+                ok, before = np.append(ok, ok_more), np.append(before[:cut], before_more)
+                if carry:
+                    e = np.append(e, rounds[1])
+                cut += len(more)
+                made = np.where(ok, own << bits | (seq + np.cumsum(ok) - 1), np.iinfo(np.int64).max)
+        out[done : done + cut] = p
+        pushed = np.flatnonzero(ok)
+        o = np.argsort(made[pushed])
+        to, at = own[pushed[o]], pushed[o]
+        lengths: np.ndarray | int = 0
+        if carry:
             common_[done : done + cut] = e
             last, last_key = p[-1], key[-1]
             # What an induced suffix shares with the one of its key before it.
-            o = np.argsort(made[pushed])
-            to, at = own[pushed][o], pushed[o]
             head = np.append(True, to[1:] != to[:-1]) if len(to) else np.zeros(0, bool)
             least = np.zeros(len(to), np.int64)
             mid = np.flatnonzero(~head)
@@ -193,17 +242,17 @@ def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, share
             if len(open_keys) and len(first):
                 k = np.minimum(np.searchsorted(open_keys, to[first]), len(open_keys) - 1)
                 least[first] = np.where(open_keys[k] == to[first], np.minimum(open_least[k], ahead[at[first]]), 0)
-            lengths = np.empty(len(to), np.int64)
-            lengths[o] = np.minimum(least + 1, cap)
+            lengths = np.minimum(least + 1, cap)
             # Keys whose next tuple may share more than a symbol with their last one: the suffixes since then share some.
             ends = np.append(first[1:], len(to)) - 1 if len(first) else first
-            stay = np.isin(open_keys, to[first], invert=True, assume_unique=True)
+            k = np.searchsorted(to[first], open_keys)
+            stay = np.append(to[first], np.iinfo(np.int64).max)[k] != open_keys
             keys = np.concatenate([open_keys[stay], to[first]])
             low = np.concatenate([np.minimum(open_least[stay], ahead[-1]), behind[at[ends] + 1]])
             keys, low = keys[low > 0], low[low > 0]
-            o = np.argsort(keys)
+            o = np.argsort(keys, kind="stable")
             open_keys, open_least = keys[o], low[o]
-        q.push(made[pushed], before[:cut][pushed] << wide | lengths)
+        q.push(made[at], before[at] << wide | lengths)
         seq += len(pushed)
         done += cut
     return out, common_
@@ -264,7 +313,7 @@ def packed_names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
             c = text[np.minimum(at + (done + k), last)].astype(np.int64)
             packed = (packed << bits) | np.where(left > k, c, high)
         done += per
-        o = np.lexsort((packed, rank[active]))
+        o = np.lexsort((packed, rank[active])) if done > per else np.argsort(packed)
         r, p = rank[active][o], packed[o]
         new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
         group = np.concatenate(([True], r[1:] != r[:-1]))

@@ -670,6 +670,14 @@ def test_suffix_arrays(tmp_path):
             order, lcp = suffix_array(x, cap, space)
             assert order.tolist() == want
             assert lcp.tolist() == [0] + [shared(x[a:].tolist(), x[b:].tolist(), cap) for a, b in zip(want, want[1:], strict=False)]
+    for _ in range(60):  # long runs of equal symbols, as in repeated words and lines, that bring more than fits in memory
+        parts = [np.repeat(v, n) for v, n in zip(r.integers(1, 4, 12), r.integers(1, 40, 12))]
+        x = np.append(np.concatenate([parts[i] for i in r.integers(0, 12, 10)] + [np.tile([2, 1, 3], 20)]), 0)
+        cap, want = int(r.integers(1, 90)), sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        for space in (None, Space(str(tmp_path), int(r.integers(8, 60)))):
+            order, lcp = suffix_array(x, cap, space)
+            assert order.tolist() == want
+            assert lcp.tolist() == [0] + [shared(x[a:].tolist(), x[b:].tolist(), cap) for a, b in zip(want, want[1:], strict=False)]
     x = np.append(np.tile(r.integers(1, 4, 700), 3), 0)
     b = x.astype(np.uint8).tobytes()
     starts = np.zeros(len(x), bool)
