@@ -402,7 +402,7 @@ def repeated(order: np.ndarray, shared: np.ndarray, starts: np.ndarray, length:
         if not len(at):
             least = min(least, int(e.min()))
             continue
-        low = np.minimum.reduceat(e, np.append(0, at[:-1] + 1))
+        low = np.minimum.reduceat(e[: at[-1] + 1], np.append(0, at[:-1] + 1))
         low[0] = min(int(low[0]), least) if last >= 0 else 0
         mine = p[at]
         old = np.append(last, mine[:-1])

@@ -678,15 +678,19 @@ def test_suffix_arrays(tmp_path):
             order, lcp = suffix_array(x, cap, space)
             assert order.tolist() == want
             assert lcp.tolist() == [0] + [shared(x[a:].tolist(), x[b:].tolist(), cap) for a, b in zip(want, want[1:], strict=False)]
-    x = np.append(np.tile(r.integers(1, 4, 700), 3), 0)
-    b = x.astype(np.uint8).tobytes()
-    starts = np.zeros(len(x), bool)
-    starts[: len(x) - 21] = True
-    seen = collections.Counter(b[i : i + 21] for i in range(len(x) - 21))
-    for space in (None, Space(str(tmp_path), 64)):
-        got = suffix_array(x, 50, space)
-        assert got[0].tolist() == sorted(range(len(x)), key=lambda i: b[i:]) and not list(tmp_path.iterdir())
-        assert repeated(*got, starts, 21, space).tolist()[: len(x) - 21] == [seen[b[i : i + 21]] > 1 for i in range(len(x) - 21)]
+    for _ in range(8):
+        x = np.append(np.tile(r.integers(1, 4, 700), 3), 0)
+        b = x.astype(np.uint8).tobytes()
+        starts = np.zeros(len(x), bool)
+        starts[: len(x) - 21] = True
+        seen = collections.Counter(b[i : i + 21] for i in range(len(x) - 21))
+        for space in (None, Space(str(tmp_path), 64)):
+            got = suffix_array(x, 50, space)
+            assert got[0].tolist() == sorted(range(len(x)), key=lambda i: b[i:]) and not list(tmp_path.iterdir())
+            assert repeated(*got, starts, 21, space).tolist()[: len(x) - 21] == [seen[b[i : i + 21]] > 1 for i in range(len(x) - 21)]
+    # The greatest start is followed by suffixes that aren't starts and share less.
+    order, lcp = suffix_array(np.array([1, 2, 1, 2, 3, 0]), 9)
+    assert repeated(order, lcp, np.array([True, False, True, False, False, False]), 2).tolist() == [True, False, True, False, False, False]
 
 
 def test_a_shard_far_larger_than_memory(tmp_path):
