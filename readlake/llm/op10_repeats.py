@@ -295,16 +295,24 @@ class Shard:
         if len(data) <= space.memory:
             place = spread(at, windows)
             some = place[anchored(data, place, length, gram)]
-            if len(some):  # runs of such windows
-                cut = np.flatnonzero(np.concatenate(([True], np.diff(some) != 1)))
-                many = np.diff(np.append(cut, len(some)))
-                long = many + length - 1
+            if len(some):  # pieces of such windows: those whose bytes meet are in one
+                cut = np.flatnonzero(np.concatenate(([True], np.diff(some) > length)))
+                last = np.append(cut[1:], len(some)) - 1
+                long = some[last] - some[cut] + length
                 to = np.cumsum(long + 1) - (long + 1)
                 short = np.zeros(int(long.sum() + len(long)), np.uint8)
                 short[spread(to, long)] = data[spread(some[cut], long)]
-                hit[some] = found(short, to, many, long, length, space)[spread(to, many)]
+                moved = some + np.repeat(to - some[cut], last - cut + 1)
+                starts = np.zeros(len(short), bool)
+                starts[moved] = True
+                hit[some] = found(short, to, long, starts, length, space)[moved]
         else:
-            hit = found(data, at, windows, size, length, space)
+            starts = space.array(len(data), bool)
+            for a, b in space.blocks(len(data)):
+                starts[a:b] = False
+            for a, n in zip(at.tolist(), windows.tolist(), strict=True):
+                starts[a : a + n] = True
+            hit = found(data, at, size, starts, length, space)
         out: list[list[int]] = [[], [], [], []]
         for (mark, ctx, skip, n, _), a in zip(self.rows, at.tolist(), strict=True):
             x = np.diff(np.concatenate(([0], hit[a : a + n].view(np.int8), [0])))
@@ -316,17 +324,14 @@ class Shard:
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["mark", "ctx", "a", "b"])
 
 
-def found(data: np.ndarray, at: np.ndarray, windows: np.ndarray, size: np.ndarray, length: int, space) -> np.ndarray:
-    """True at the windows that are there again in ``data``: pieces at ``at`` of ``size`` bytes, with as many windows, and one byte after each."""
+def found(data: np.ndarray, at: np.ndarray, size: np.ndarray, starts: np.ndarray, length: int, space) -> np.ndarray:
+    """True at the windows (``starts``, a mask) that are there again in ``data``: pieces at ``at`` of ``size`` bytes, and one byte after each."""
     from .suffix import repeated, suffix_array
 
-    text, starts = space.array(len(data), np.int32), space.array(len(data), bool)
+    text = space.array(len(data), np.int32)
     for a, b in space.blocks(len(data)):
         text[a:b] = data[a:b].astype(np.int32) + len(at)
-        starts[a:b] = False
     text[at + size] = np.arange(len(at) - 1, -1, -1)  # each piece has a symbol of its own after it, least at the end
-    for a, n in zip(at.tolist(), windows.tolist(), strict=True):
-        starts[a : a + n] = True
     return repeated(*suffix_array(text, length, space), starts, length, space)
 
 

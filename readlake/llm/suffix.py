@@ -143,14 +143,14 @@ def range_min(e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_rounds(text: np.ndarray, s: np.ndarray, p: np.ndarray, e: np.ndarray | None, open_: int, cap: int, most: int) -> tuple[np.ndarray, np.ndarray | None] | None:
+def run_rounds(kind: np.ndarray, p: np.ndarray, e: np.ndarray | None, open_: int, cap: int, most: int) -> tuple[np.ndarray, np.ndarray | None] | None:
     """What the suffixes ``p`` of one key, all that wait for it, bring to that same key: those one symbol longer, those two symbols longer and so on,
     each in the order of ``p``; and their common prefixes, from ``e`` and, for the first, what is shared since the last of ``p`` was induced
     (``open_``). None above ``most`` of them."""
     places, lengths, n = [], [], 0
     while True:
         before = np.maximum(p - 1, 0)
-        on = np.flatnonzero((p > 0) & (text[before] == text[p[0]]) & (s[before] == s[p[0]]))
+        on = np.flatnonzero((p > 0) & (kind[before] == kind[p[0]]))
         if not len(on):
             break
         if e is not None:
@@ -167,16 +167,16 @@ def run_rounds(text: np.ndarray, s: np.ndarray, p: np.ndarray, e: np.ndarray | N
     return np.concatenate(places), np.concatenate(lengths) if e is not None else None
 
 
-def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, shared: np.ndarray | None, total: int, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
+def induce(text: np.ndarray, kind: np.ndarray, down: bool, seeds: np.ndarray, shared: np.ndarray | None, total: int, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
     """The ``total`` suffixes that ``seeds`` (in order, with their common prefixes) are and bring, in order: ascending with L suffixes
-    induced, or ``down`` with S suffixes; and what each shares with the one before it (nothing is carried where ``shared`` is None)."""
+    induced, or ``down`` with S suffixes (``kind``: twice the symbol, plus 1 at S suffixes); and what each shares with the one before it (nothing is carried where ``shared`` is None)."""
     n, bits = len(text), (len(text) + len(seeds)).bit_length()
     carry, wide = shared is not None, max(1, cap).bit_length()
     sign = -1 if down else 1
     q, seq, about = Queue(space), 0, 4096
     for a, b in space.blocks(len(seeds)):
         p = np.asarray(seeds[a:b])
-        rank, item = sign * (2 * text[p].astype(np.int64) + s[p]) << bits | np.arange(seq, seq + b - a), p << wide | (shared[a:b] if carry else 0)
+        rank, item = sign * kind[p].astype(np.int64) << bits | np.arange(seq, seq + b - a), p << wide | (shared[a:b] if carry else 0)
         o = np.argsort(rank, kind="stable")
         q.push(rank[o], item[o])
         seq += b - a
@@ -187,8 +187,9 @@ def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, share
         rank, item = q.pop(min(about, space.memory))
         p = item >> wide
         before = np.maximum(p - 1, 0)
-        ok = (p > 0) & (s[before] == down)
-        own = sign * (2 * text[before].astype(np.int64) + down)
+        own = kind[before].astype(np.int64)
+        ok = (p > 0) & (own & 1 == down)
+        own *= sign
         made = np.where(ok, own << bits | (seq + np.cumsum(ok) - 1), np.iinfo(np.int64).max)
         early = np.minimum.accumulate(made) < rank
         cut = int(early.argmax()) if early.any() else len(rank)
@@ -209,15 +210,15 @@ def induce(text: np.ndarray, s: np.ndarray, down: bool, seeds: np.ndarray, share
             from_ = int(np.searchsorted(key, key[-1]))
             k = np.searchsorted(open_keys, key[-1])
             least = open_least[k] if k < len(open_keys) and open_keys[k] == key[-1] else 0
-            rounds = run_rounds(text, s, p[from_:], e[from_:] if carry else None, min(int(least), int(e[:from_].min(initial=cap))) if carry else 0, cap, space.memory)
+            rounds = run_rounds(kind, p[from_:], e[from_:] if carry else None, min(int(least), int(e[:from_].min(initial=cap))) if carry else 0, cap, space.memory)
             if rounds is None:
                 too_long = key[-1]
             else:
                 ok[again] = False
                 more = rounds[0]
                 before_more = np.maximum(more - 1, 0)
-                own_more = sign * (2 * text[before_more].astype(np.int64) + down)
-                ok_more = (more > 0) & (s[before_more] == down) & (own_more != key[-1])
+                own_more = sign * kind[before_more].astype(np.int64)
+                ok_more = (more > 0) & (own_more & 1 == down) & (own_more != key[-1])
                 p, key, own = np.append(p, more), np.append(key, np.full(len(more), key[-1])), np.append(own, own_more)
                 ok, before = np.append(ok, ok_more), np.append(before[:cut], before_more)
                 if carry:
@@ -332,7 +333,10 @@ def packed_names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
 def _sorted(text: np.ndarray, s: np.ndarray, lms: np.ndarray, shared: np.ndarray | None, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray | None]:
     """All suffixes from LMS suffixes in order (with what each shares with the one before): greatest first, with what each shares with the one before it."""
     n, carry = len(text), shared is not None
-    up, up_shared = induce(text, s, False, lms, shared, len(lms) + sum(int((~s[a:b]).sum()) for a, b in space.blocks(n)), cap, space)
+    kind = space.array(n, text.dtype)
+    for a, b in space.blocks(n):
+        kind[a:b] = 2 * text[a:b] + s[a:b]
+    up, up_shared = induce(text, kind, False, lms, shared, len(lms) + sum(int((~s[a:b]).sum()) for a, b in space.blocks(n)), cap, space)
     left, left_shared = space.array(n - sum(int(s[a:b].sum()) for a, b in space.blocks(n)) + 1, np.int64), space.array(len(up) + 1, np.int32) if carry else None
     # L suffixes, greatest first. Those of a symbol follow each other, so what a suffix shares with the next greater one is what came with that one.
     at, after = 0, 0
@@ -349,7 +353,7 @@ def _sorted(text: np.ndarray, s: np.ndarray, lms: np.ndarray, shared: np.ndarray
     if carry:
         left_shared[at] = 0
         left_shared = left_shared[: at + 1]
-    return induce(text, s, True, left, left_shared, n, cap, space)
+    return induce(text, kind, True, left, left_shared, n, cap, space)
 
 
 def suffix_array(text: np.ndarray, cap: int, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
