@@ -193,7 +193,7 @@ def induce(text: np.ndarray, kind: np.ndarray, down: bool, seeds: np.ndarray, sh
         made = np.where(ok, own << bits | (seq + np.cumsum(ok) - 1), np.iinfo(np.int64).max)
         early = np.minimum.accumulate(made) < rank
         cut = int(early.argmax()) if early.any() else len(rank)
-        about = min(1 << 20, about * 2) if cut == len(rank) else max(256, min(about, cut * 2))
+        about = min(1 << 20, about * 2) if cut == len(rank) else max(2048, min(about, cut * 2))
         if cut < len(rank):
             q.put_back(rank[cut])
             rank, item, p, ok, own, made = rank[:cut], item[:cut], p[:cut], ok[:cut], own[:cut], made[:cut]
