@@ -151,16 +151,11 @@ def ref_match(spark, sf: str) -> DataFrame:
 
 
 def seed_join(spark, sf: str) -> DataFrame:
-    s = views.segments(spark, sf)
-    total = s.agg(F.sum(F.length("seq"))).first()[0] or 0
-    return M.candidates(views.reads(spark, sf), X.postings(X.seeds(s)), total).select("rid", "off", "rn", "mpos", F.col("mdir").cast("int").alias("mdir"))
+    return M.candidates(views.reads(spark, sf), M.Held(views.segments(spark, sf)))
 
 
 def extend_score(spark, sf: str) -> DataFrame:
-    s, r = views.segments(spark, sf), views.reads(spark, sf)
-    total = s.agg(F.sum(F.length("seq"))).first()[0] or 0
-    c = M.candidates(r, X.postings(X.seeds(s)), total).groupBy("rid", "mpos", "mdir").agg(F.min("off").alias("off"), F.min("rn").alias("rn"), F.count("*").alias("hits"))
-    return M.extend(c, r, s).select("rid", "mpos", F.col("mdir").cast("int").alias("mdir"), "hits", "mm")
+    return M.scored(views.reads(spark, sf), M.Held(views.segments(spark, sf)))
 
 
 def mapped(spark, sf: str) -> DataFrame:
@@ -169,8 +164,9 @@ def mapped(spark, sf: str) -> DataFrame:
 
 def map_roundtrip(spark, sf: str) -> DataFrame:
     r, s = views.reads(spark, sf), views.segments(spark, sf)
-    back = M.restored(M.map_reads(r, s), r, s).withColumnRenamed("bases", "back")
-    return r.join(back, "rid").select("rid", "back", (F.col("back") == F.col("bases")).cast("int").alias("ok"))
+    held = M.Held(s)
+    back = M.restored(M.map_reads(r, s, held), r, s, held).withColumnRenamed("bases", "back")
+    return r.hint("shuffle_merge").join(back, "rid").select("rid", "back", (F.col("back") == F.col("bases")).cast("int").alias("ok"))
 
 
 def _cover(work):
@@ -258,8 +254,9 @@ def binary_roundtrip(docs: DataFrame) -> DataFrame:
 def long_read_roundtrip(spark, sf: str) -> DataFrame:
     """Reads of 100 to 12,000 bases, mapped, kept as place and difference, and restored."""
     r, s = views.long_reads(spark, sf), views.segments(spark, sf)
-    back = M.restored(M.map_reads(r, s), r, s).withColumnRenamed("bases", "back")
-    return r.join(back, "rid").select("rid", F.length("back").cast("long").alias("n"), F.md5("back").alias("md5"), (F.col("back") == F.col("bases")).cast("int").alias("ok"))
+    held = M.Held(s)
+    back = M.restored(M.map_reads(r, s, held), r, s, held).withColumnRenamed("bases", "back")
+    return r.hint("shuffle_merge").join(back, "rid").select("rid", F.length("back").cast("long").alias("n"), F.md5("back").alias("md5"), (F.col("back") == F.col("bases")).cast("int").alias("ok"))
 
 
 def streamed_counts(spark, sf: str) -> DataFrame:
@@ -316,7 +313,7 @@ QUERIES = {
     "q_kmer_count": kmer_count,
     "q_seed_topk": seed_topk,
     "q_ref_match": ref_match,
-    "q_probe_kmers": lambda spark, sf: M.probes(views.reads(spark, sf)).groupBy("rid").agg(F.count("*").alias("n"), F.sum("flip").alias("flips"), F.sum(F.col("key") % 1000003).alias("sum")),
+    "q_probe_kmers": lambda spark, sf: M.probe_sums(views.reads(spark, sf)),
     "q_seed_join": seed_join,
     "q_extend_score": extend_score,
     "q_map_best": lambda spark, sf: mapped(spark, sf).drop("diff"),

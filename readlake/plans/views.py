@@ -39,9 +39,13 @@ def broken(reads: DataFrame) -> DataFrame:
     )
 
 
-def seg(key: Column) -> Column:
+def _digits(key: Column) -> tuple[Column, Column]:
     k = key.cast("string")
-    return F.translate(F.concat(F.md5(F.concat(F.lit("r"), k)), F.md5(F.concat(F.lit("s"), k))), HEX, "ACGTACGTACGTACGT")
+    return F.md5(F.concat(F.lit("r"), k)), F.md5(F.concat(F.lit("s"), k))
+
+
+def seg(key: Column) -> Column:
+    return F.translate(F.concat(*_digits(key)), HEX, "ACGTACGTACGTACGT")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +54,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select((F.col("p_partkey") * SEG).alias("base0"), seg(F.col("p_partkey")).alias("seq"))
 
 
+def _dealt(d: DataFrame, key: str, rows: int) -> DataFrame:
+    """Bare keys dealt to tasks of some ``rows`` each, before wide rows are made of them: how the table's files are cut doesn't matter."""
+    return d.repartition(max(1, -(-d.count() // rows)), key)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read of 100 bases for each order: its place by key, one substitution, odd keys on the other strand."""
     total = table(spark, sf_dir, "part").count() * SEG
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"))
+    o = _dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid")), "rid", 1 << 15)
     at = (F.col("rid") * 37) % (total - READ)
     d = o.select("rid", at.alias("at"), F.floor(at / SEG).alias("k"))
     # A read reaches into three segments at most: they are made here from their keys, as the table's rows are.
-    d = d.select("rid", "at", F.substring(F.concat(seg(F.col("k")), seg(F.col("k") + 1), seg(F.col("k") + 2)), (F.col("at") % SEG + 1).cast("int"), F.lit(READ)).alias("w"))
+    w = F.substring(F.concat(*[x for i in range(3) for x in _digits(F.col("k") + i)]), (F.col("at") % SEG + 1).cast("int"), F.lit(READ))
+    d = d.select("rid", "at", F.translate(w, HEX, "ACGTACGTACGTACGT").alias("w"))
     p = (F.col("rid") % READ + 1).cast("int")
     swapped = F.concat(F.substring("w", F.lit(1), p - 1), F.translate(F.substring("w", p, F.lit(1)), "ACGT", "CATG"), F.substring("w", p + 1, F.lit(READ)))
     return d.select("rid", "at", F.when(F.col("rid") % 2 == 1, B.revcomp(swapped)).otherwise(swapped).alias("bases"))
@@ -66,9 +76,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read of 100 to 12,000 bases (at most half of the reference) for each supplier, odd keys on the other strand."""
     total = table(spark, sf_dir, "part").count() * SEG
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rid"))
+    d = _dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rid")), "rid", 1 << 8)
     size = F.least(F.col("rid") * 1201 % 11901 + 100, F.lit(total // 2))
     d = d.select("rid", size.cast("int").alias("n")).withColumn("at", F.col("rid") * 997 % (total - F.col("n")))
     keys = F.sequence(F.floor(F.col("at") / SEG), F.floor((F.col("at") + F.col("n") - 1) / SEG))
-    w = F.substring(F.array_join(F.transform(keys, seg), ""), (F.col("at") % SEG + 1).cast("int"), F.col("n"))
-    return d.select("rid", w.alias("w")).select("rid", F.when(F.col("rid") % 2 == 1, B.revcomp("w")).otherwise(F.col("w")).alias("bases"))
+    w = F.substring(F.array_join(F.transform(keys, lambda k: F.concat(*_digits(k))), ""), (F.col("at") % SEG + 1).cast("int"), F.col("n"))
+    d = d.select("rid", F.translate(w, HEX, "ACGTACGTACGTACGT").alias("w"))
+    return d.select("rid", F.when(F.col("rid") % 2 == 1, B.revcomp("w")).otherwise(F.col("w")).alias("bases"))
