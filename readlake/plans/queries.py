@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +104,14 @@ def skip_damaged(docs: DataFrame) -> DataFrame:
 
 def bwt(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for pdf in batches:
-            t = pdf["t"].map(codecs.bwt_blocks)
-            yield pdf.assign(bwt=t, ok=[int(codecs.unbwt_blocks(b) == x) for b, x in zip(t, pdf["t"], strict=True)]).drop(columns="t")
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).mapInPandas(run, "doc_id bigint, bwt string, ok int")
+        for whole in batches:
+            for b in codecs.slices(whole, 1):
+                texts = b.column(1).to_pylist()
+                t = [codecs.bwt_blocks(x) for x in texts]
+                ok = [int(codecs.unbwt_blocks(y) == x) for x, y in zip(texts, t, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.string()), pa.array(ok, pa.int32())], names=["doc_id", "bwt", "ok"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).mapInArrow(run, "doc_id bigint, bwt string, ok int")
 
 
 def _pair(spark, sf: str) -> DataFrame:
