@@ -240,8 +240,9 @@ def archive_roundtrip(spark, sf: str) -> DataFrame:
     path = f"{base}/readlake-archive-{os.urandom(8).hex()}"
     d = views.fq(spark, sf).select(F.lit(0).alias("file_idx"), "block_id", "rec", "id", "bases", "comment", "qual")
     s = views.segments(spark, sf)
-    archive.write(d, path, s)
-    now = archive.block_md5(archive.read(spark, path, s)).select("block_id", F.col("md5").alias("back"))
+    held = M.Held(s)  # both ways
+    archive.write(d, path, s, held=held)
+    now = archive.block_md5(archive.read(spark, path, s, held=held)).select("block_id", F.col("md5").alias("back"))
     return archive.block_md5(d).select("block_id", "n_rec", "n_bytes", "md5").join(now, "block_id").withColumn("ok", (F.col("md5") == F.col("back")).cast("int"))
 
 

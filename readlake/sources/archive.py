@@ -25,17 +25,17 @@ def block_md5(reads: DataFrame) -> DataFrame:
     return d.select("file_idx", "block_id", "n_rec", "n_bytes", F.md5(F.array_join(F.transform("r", lambda x: x["m"]), "")).alias("md5"))
 
 
-def write(reads: DataFrame, path: str, segments: DataFrame | None = None, mode: str = "errorifexists", meta: dict | None = None, pack: bool = False) -> None:
+def write(reads: DataFrame, path: str, segments: DataFrame | None = None, mode: str = "errorifexists", meta: dict | None = None, pack: bool = False, held: mapping.Held | None = None) -> None:
     """Write an archive; ``reads`` as the fastq source gives them. With reference segments, bases are kept as place and difference; ``pack``
-    puts the parts of the reference that reads map to into the archive."""
+    puts the parts of the reference that reads map to into the archive. ``held``: the segments, if tasks have them already."""
     spark = reads.sparkSession
     kind = F.when(F.col("comment") == "+", "PLUS").when(F.expr("substring(comment, 2) = substring(id, 2)"), "ID").otherwise("OTHER")
     d = reads.withColumn("comment_kind", kind).withColumn("comment", F.when(kind == "OTHER", F.col("comment")))
     d = d.withColumn("n_at", R.n_places(F.col("bases"))).withColumn("lower_at", lower_places())
     if segments is not None:
         d = d.withColumn("rid", F.col("file_idx").cast("long") * (1 << 44) + F.col("rec"))
-        m = mapping.map_reads(d.select("rid", "bases"), segments)
-        d = d.join(m, "rid").withColumn("bases", F.lit(None).cast("string")).drop("rid", "mm")
+        m = mapping.map_reads(d.select("rid", "bases"), segments, held)
+        d = d.hint("shuffle_merge").join(m, "rid").withColumn("bases", F.lit(None).cast("string")).drop("rid", "mm")
     else:
         d = d.withColumn("mpos", F.lit(None).cast("long")).withColumn("mdir", F.lit(None).cast("int")).withColumn("diff", F.lit(None).cast("string"))
     d.repartition("file_idx", "block_id").sortWithinPartitions("file_idx", "block_id", "rec").write.mode(mode).option("compression", "zstd").partitionBy("file_idx").parquet(f"{path}/reads")
@@ -66,19 +66,19 @@ def meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
 
 
-def read(spark: SparkSession, path: str, segments: DataFrame | None = None, positions: tuple[int, int] | None = None) -> DataFrame:
-    """The reads of an archive; a position range prunes to reads that begin in [lo, hi)."""
+def read(spark: SparkSession, path: str, segments: DataFrame | None = None, positions: tuple[int, int] | None = None, held: mapping.Held | None = None) -> DataFrame:
+    """The reads of an archive; a position range prunes to reads that begin in [lo, hi). ``held``: the segments, if tasks have them already."""
     d = spark.read.parquet(f"{path}/reads")
     if positions is not None:
         d = d.where((F.col("mpos") >= positions[0]) & (F.col("mpos") < positions[1]) & (F.col("mdir") < 2))
     if meta(spark, path).get("mapped"):
         if meta(spark, path).get("packed"):
-            segments = spark.read.parquet(f"{path}/reference")
+            segments, held = spark.read.parquet(f"{path}/reference"), None
         if segments is None:
             raise ValueError("this archive needs its reference")
         d = d.withColumn("rid", F.col("file_idx").cast("long") * (1 << 44) + F.col("rec"))
-        plain = mapping.restored(d.select("rid", "mpos", "mdir", "diff"), d, segments).withColumnRenamed("bases", "_b")
-        d = d.join(plain, "rid").withColumn("bases", F.col("_b"))
+        plain = mapping.restored(d.select("rid", "mpos", "mdir", "diff"), d, segments, held).withColumnRenamed("bases", "_b")
+        d = d.hint("shuffle_merge").join(plain, "rid").withColumn("bases", F.col("_b"))
         at = F.filter(F.split("bases", ""), lambda x: x != "")
         fixed = F.transform(at, lambda x, i: F.when(F.array_contains("n_at", i), F.lit("N")).otherwise(x))
         fixed = F.transform(fixed, lambda x, i: F.when(F.array_contains("lower_at", i), F.lower(x)).otherwise(x))
