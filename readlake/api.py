@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .operators import reads as rd
 from .operators import reference as ref
 from .operators.integrity import MODES, file_fingerprint
+from .operators.mapping import Held
 from .sources import archive, blocks
 from .sources.fasta import FastaSource, contigs
 from .sources.fastq import FastqSource
@@ -95,8 +96,9 @@ def decompress(spark: SparkSession, path: str, out: str, reference: str | None =
         blocks.restore(spark, path, out, force, mode)
         return
     segments = check_reference(spark, path, reference)
-    reads = archive.read(spark, path, segments)
-    bad = archive.damaged(spark, path, segments)
+    held = None if segments is None else Held(segments)  # for both
+    reads = archive.read(spark, path, segments, held=held)
+    bad = archive.damaged(spark, path, segments, held)
     if mode == "DROPMALFORMED":
         reads = reads.join(bad.select("file_idx", "block_id"), ["file_idx", "block_id"], "left_anti")
     elif n := bad.count():

@@ -87,9 +87,9 @@ def read(spark: SparkSession, path: str, segments: DataFrame | None = None, posi
     return d.withColumn("comment", comment).select("file_idx", "block_id", "rec", "id", "bases", "comment", "qual")
 
 
-def damaged(spark: SparkSession, path: str, segments: DataFrame | None = None) -> DataFrame:
+def damaged(spark: SparkSession, path: str, segments: DataFrame | None = None, held: mapping.Held | None = None) -> DataFrame:
     """Blocks whose restored text has another MD5 than when it was written."""
-    now = block_md5(read(spark, path, segments)).select("file_idx", "block_id", F.col("md5").alias("now"))
+    now = block_md5(read(spark, path, segments, held=held)).select("file_idx", "block_id", F.col("md5").alias("now"))
     old = spark.read.parquet(f"{path}/blocks")
     return old.join(now, ["file_idx", "block_id"], "left").where(~F.col("md5").eqNullSafe(F.col("now")))
 
